@@ -65,7 +65,8 @@ def expand_cron(schedules: DataFrame, start: str = "start", end: str = "end", cr
     nothing is made that does not fire. As usual, when both the day of month and
     the day of week are restricted either of them is enough.
     """
-    day_us, hour_us, minute_us = 86_400_000_000, 3_600_000_000, 60_000_000
+    day_us, hour_us, minute_us = (
+        F.lit(us).cast("bigint") for us in (86_400_000_000, 3_600_000_000, 60_000_000))
     parts = F.split(F.trim(F.col(cron)), r"\s+")
     day0 = F.floor(F.col(start) / day_us).cast("bigint")
     day1 = F.floor((F.col(end) - 1) / day_us).cast("bigint")

@@ -122,12 +122,12 @@ def lifecycle_firings(spark, sf):
     return Tr.fire_lifecycle(runs, trig, "startup").unionByName(Tr.fire_lifecycle(runs, trig, "shutdown"))
 
 
-@query(f"""WITH {I.TX}, state AS (SELECT w.at, tx.*, row_number() OVER (PARTITION BY w.at, id ORDER BY tx_id DESC) AS rn
-  FROM tx, (VALUES ('old', TIMESTAMP '{I.HALF}'), ('new', TIMESTAMP '{I.UNTIL}')) w(at, t) WHERE tx_time <= t),
-res AS (SELECT at, id, type FROM state WHERE rn = 1 AND op = 'put' AND type <> 'view')
-SELECT id, type, 'added' AS change, CAST(1 AS BIGINT) AS n FROM (SELECT id, type FROM res WHERE at = 'new' EXCEPT ALL SELECT id, type FROM res WHERE at = 'old')
+@query(f"""WITH {I.TX}, state AS (SELECT w.moment, tx.*, row_number() OVER (PARTITION BY w.moment, id ORDER BY tx_id DESC) AS rn
+  FROM tx, (VALUES ('old', TIMESTAMP '{I.HALF}'), ('new', TIMESTAMP '{I.UNTIL}')) w(moment, t) WHERE tx_time <= t),
+res AS (SELECT moment, id, type FROM state WHERE rn = 1 AND op = 'put' AND type <> 'view')
+SELECT id, type, 'added' AS change, CAST(1 AS BIGINT) AS n FROM (SELECT id, type FROM res WHERE moment = 'new' EXCEPT ALL SELECT id, type FROM res WHERE moment = 'old')
 UNION ALL
-SELECT id, type, 'removed', 1 FROM (SELECT id, type FROM res WHERE at = 'old' EXCEPT ALL SELECT id, type FROM res WHERE at = 'new')""")
+SELECT id, type, 'removed', 1 FROM (SELECT id, type FROM res WHERE moment = 'old' EXCEPT ALL SELECT id, type FROM res WHERE moment = 'new')""")
 def trig_query_changes(spark, sf):
     t = I.tx(spark, sf).select("tx_id", "tx_time", "op", "id", "type")
     result = lambda at: St.as_of(t, time=I.ntz(at)).filter(F.col("type") != "view").select("id", "type")
@@ -146,7 +146,7 @@ def _windows(spark, sf, kind):
     return w.withColumn("start", I.micros(F.col("start"))).withColumn("end", I.micros(F.col("end")))
 
 
-@query(f"""WITH {_WINDOWS} SELECT id, tx_id, n, epoch_us(t0) + n * k * 60000000 AS at
+@query(f"""WITH {_WINDOWS} SELECT id, tx_id, n, epoch_us(t0) + n * k * 60000000 AS "at"
 FROM (SELECT *, unnest(generate_series(0, CAST(ceil((epoch_us(t1) - epoch_us(t0)) / (k * 60000000.0)) AS BIGINT) - 1)) AS n
   FROM win WHERE type = 'signup' AND k > 0 AND t1 > t0)""")
 def schedule_every(spark, sf):
@@ -158,7 +158,7 @@ def schedule_every(spark, sf):
 
 @query(f"""WITH {_WINDOWS}, hours AS (
   SELECT *, unnest(generate_series(date_trunc('hour', t0), t1, INTERVAL 1 HOUR)) AS h FROM win WHERE type = 'purchase')
-SELECT id, tx_id, epoch_us(h) + (k % 60) * 60000000 AS at FROM hours
+SELECT id, tx_id, epoch_us(h) + (k % 60) * 60000000 AS "at" FROM hours
 WHERE hour(h) % 6 = 0 AND dayofweek(h) BETWEEN 1 AND 5
   AND epoch_us(h) + (k % 60) * 60000000 >= epoch_us(t0) AND epoch_us(h) + (k % 60) * 60000000 < epoch_us(t1)""")
 def schedule_cron(spark, sf):

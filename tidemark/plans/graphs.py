@@ -120,8 +120,8 @@ GLOBS = [
 _GLOB_ROWS = ", ".join(f"('{g}', '{r}')" for g, r in GLOBS)
 
 
-@query(f"""WITH {I.PATHS}, globs AS (SELECT * FROM (VALUES {_GLOB_ROWS}) v(glob, regex))
-SELECT page_id, id, glob FROM paths JOIN globs ON regexp_matches(id, regex)""")
+@query(f"""WITH {I.PATHS}, globs AS (SELECT * FROM (VALUES {_GLOB_ROWS}) v("glob", regex))
+SELECT page_id, id, "glob" FROM paths JOIN globs ON regexp_matches(id, regex)""")
 def glob_match(spark, sf):
     from tidemark.operators.triggers import match_globs
 

@@ -105,7 +105,7 @@ REFS = """refs AS (
   SELECT doc_id AS src, doc_id - doc_id % 16 + (doc_id % 16 * (doc_id % 16) + 3) % 16 AS dst FROM documents)"""
 
 CLOSURE = """closure(seed, node) AS (
-  SELECT dst, src FROM refs
+  SELECT dst, src FROM refs WHERE dst IN (SELECT doc_id FROM documents)
   UNION
   SELECT c.seed, r.src FROM closure c JOIN refs r ON r.dst = c.node)"""
 
@@ -238,7 +238,7 @@ def triggers(spark: SparkSession, sf: str) -> DataFrame:
     segment = lambda s: users.filter(F.col("c_mktsegment") == s)
     toxic = docs(spark, sf).filter(F.col("toxic") == 1).select(
         F.col("id").alias("self_id"), F.floor(F.col("doc_id") * 37 % 1440 / 60).cast("bigint").alias("since"))
-    two = F.explode(F.array(F.lit(0), F.lit(1)))
+    machinery = segment("MACHINERY").withColumn("idx", F.explode(F.array(F.lit(0), F.lit(1))))
     fixed = spark.range(len(PATTERNS)).withColumn(
         "glob", F.array(*[F.lit(p) for p in PATTERNS])[F.col("id").cast("int")])
     named = lambda kind, n: spark.range(n).select(
@@ -247,7 +247,7 @@ def triggers(spark: SparkSession, sf: str) -> DataFrame:
         "has_call", F.col("self_id") == "/triggers/query-0")
     parts = [
         rows(segment("BUILDING"), "modify", F.lit(0), F.lit(False)),
-        rows(segment("MACHINERY"), "modify", two, F.lit(True)),
+        rows(machinery, "modify", F.col("idx"), F.lit(True)),
         rows(segment("AUTOMOBILE"), "startup", F.lit(0), F.lit(False)),
         rows(segment("AUTOMOBILE"), "shutdown", F.lit(0), F.lit(False)),
         rows(fixed.select(F.concat(F.lit("/triggers/pattern-"), F.col("id").cast("string")).alias("self_id"), "glob"),

@@ -54,7 +54,8 @@ def descendants(folders: DataFrame, docs: DataFrame, folder: str = "folder", id_
     A parent chain is written in the id, so recursion is not needed: each document
     is exploded to its ancestor folders (as many as its path is deep) and joined.
     """
-    up = docs.select(F.col(id_).alias("id"), F.posexplode(ancestors(F.col(id_))).alias("level", "anc"))
+    ids = docs.select(F.col(id_).alias("id"))
+    up = ids.select("id", F.explode(ancestors(F.col("id"))).alias("anc"))
     hit = up.join(folders.select(F.col(folder).alias("folder")).distinct(), F.col("anc") == F.col("folder"))
     below = F.size(F.split("id", "/")) - F.size(F.split("folder", "/"))
     return hit.select("folder", "id", below.alias("depth"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["patterns", "history", "graphs", "firings"]
+MODULES = ["patterns", "history", "graphs", "firings", "messages", "formats"]
 
 
 def catalogue() -> dict:

@@ -7,7 +7,7 @@ import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tidemark.functions import text as X, values as V
 
@@ -130,7 +130,7 @@ def _leaves(part) -> list[tuple[str, str]]:
     return [leaf for k in kids for leaf in _leaves(k)]
 
 
-@F.pandas_udf("array<struct<kind:string,body:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())])))
 def mime_parts(messages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Content type and decoded text of each part of a MIME message."""
     for batch in messages:

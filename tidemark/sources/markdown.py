@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import paths as P, text as X
 from tidemark.model import NAMESPACE
@@ -59,7 +59,7 @@ def front_matter_json(yml: str | None, namespace: str) -> str | None:
 
 
 def parse_front_matter(md: Column, namespace: str = NAMESPACE) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def to_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: front_matter_json(t, namespace))

@@ -24,14 +24,8 @@ def filename_str(s: Column) -> Column:
 
 def filename_inst(ts: Column) -> Column:
     """ISO instant with dots for colons; fraction digits only when there are any."""
-    base = F.date_format(ts, "yyyy-MM-dd'T'HH.mm.ss")
-    micros = F.date_format(ts, "SSSSSS")
-    fraction = (
-        F.when(micros == "000000", F.lit(""))
-        .when(micros.endswith("000"), F.concat(F.lit("."), F.substring(micros, 1, 3)))
-        .otherwise(F.concat(F.lit("."), micros))
-    )
-    return F.concat(base, fraction, F.lit("Z"))
+    text = F.date_format(ts, "yyyy-MM-dd'T'HH.mm.ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"(?:\.000000|(?<=\.\d{3})000)$", ""), F.lit("Z"))
 
 
 def unix_newlines(s: Column) -> Column:

@@ -76,10 +76,9 @@ SELECT conv_id, turn,
   trim(regexp_replace(CASE WHEN length(subject) > 80 THEN substring(subject, 1, 77) || '...' ELSE subject END,
     '[\\/:*?"<>|]', ' ', 'g')) || '.eml' AS name FROM j""")
 def message_filename(spark, sf):
-    m = I.messages(spark, sf)
-    raw = F.col("text")
-    date = F.to_utc_timestamp(Ml.parse_date(Ml.header(raw, "date")), F.current_timezone()).cast("timestamp_ntz")
-    name = Ml.message_filename(date, Ml.header(raw, "subject"), Ml.header(raw, "message-id"))
+    m = Ml.parse_messages(I.messages(spark, sf))
+    date = F.to_utc_timestamp("date", F.current_timezone()).cast("timestamp_ntz")
+    name = Ml.message_filename(date, F.col("subject"), F.col("message-id"))
     return m.select("conv_id", "turn", name.alias("name"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import email
-import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tidemark.functions import text as X, values as V
+from tidemark.functions import text as X
+from tidemark.functions.values import let, short_hash
 
 # What a line that starts a message looks like, and what stands in for a body.
 FROM_LINE = r"^From \S+.*\d{4}$"
@@ -25,7 +24,7 @@ def message_filename(date: Column, subject: Column, message_id: Column) -> Colum
     when = F.coalesce(date, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     mid = F.coalesce(message_id, F.concat(F.lit("<no-message-id-"), F.uuid(), F.lit(">")))
     title = X.filename_str(X.ellipsis(F.coalesce(subject, F.lit("<no subject>")), 80))
-    return F.concat(X.filename_inst(when), F.lit(" "), V.short_hash(mid), F.lit(" "), title, F.lit(".eml"))
+    return F.concat(X.filename_inst(when), F.lit(" "), short_hash(mid), F.lit(" "), title, F.lit(".eml"))
 
 
 # -- messages ---------------------------------------------------------------
@@ -37,8 +36,8 @@ def header_block(message: Column) -> Column:
 
 def body_text(message: Column) -> Column:
     """What follows the first blank line, newlines normalised."""
-    m = X.unix_newlines(message)
-    return F.when(F.contains(m, F.lit("\n\n")), F.regexp_replace(m, r"(?s)\A.*?\n\n", "")).otherwise("")
+    return let(X.unix_newlines(message), lambda m: F.when(
+        F.instr(m, "\n\n") > 0, m.substr(F.instr(m, "\n\n") + 2, F.length(m))).otherwise(""))
 
 
 def header_lines(message: Column) -> Column:
@@ -46,10 +45,14 @@ def header_lines(message: Column) -> Column:
     return F.split(F.regexp_replace(header_block(message), "\n[ \t]+", " "), "\n")
 
 
+def header_of(lines: Column, name: str) -> Column:
+    """Value of the last header line with a name (any case), null when absent."""
+    hits = F.filter(lines, lambda l: F.lower(F.substring_index(l, ":", 1)) == name.lower())
+    return F.trim(F.regexp_replace(F.try_element_at(hits, F.lit(-1)), "^[^:]*:", ""))
+
+
 def header(message: Column, name: str) -> Column:
-    """Value of the last header with a name (any case), null when absent."""
-    hits = F.filter(header_lines(message), lambda l: F.lower(F.substring_index(l, ":", 1)) == name.lower())
-    return F.when(F.size(hits) > 0, F.trim(F.regexp_replace(F.element_at(hits, -1), "^[^:]*:", "")))
+    return header_of(header_lines(message), name)
 
 
 def address(value: Column) -> Column:
@@ -74,32 +77,37 @@ def labels_of(value: Column) -> Column:
 
 def parse_date(value: Column) -> Column:
     """Instant of a Date header, null when it is not one."""
+    def read(clean: Column) -> Column:
+        return F.coalesce(
+            F.try_to_timestamp(clean, F.lit("d MMM yyyy HH:mm:ss xx")),
+            F.try_to_timestamp(clean, F.lit("d MMM yyyy HH:mm xx")))
+
     clean = F.regexp_replace(F.regexp_replace(value, r"\s*\([^)]*\)\s*$", ""), r"^[A-Za-z]{3},\s*", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"\s+", " "), r"(?:GMT|UTC?|Z)$", "+0000")
-    return F.coalesce(
-        F.try_to_timestamp(clean, F.lit("d MMM yyyy HH:mm:ss xx")),
-        F.try_to_timestamp(clean, F.lit("d MMM yyyy HH:mm xx")))
+    return let(F.regexp_replace(F.regexp_replace(clean, r"\s+", " "), r"(?:GMT|UTC?|Z)$", "+0000"), read)
 
 
 def parse_messages(messages: DataFrame, message: str = "text") -> DataFrame:
     """Headers and body of single-part messages as columns, all JVM-side."""
     m = F.col(message)
-    empty_to_null = lambda a: F.when(F.size(a) > 0, a)
-    listed = lambda name: empty_to_null(addresses(header(m, name)))
-    return messages.select(
+    # a column of its own, so that the header block is split once per message
+    lined = messages.withColumn("__lines", header_lines(m))
+    h = lambda name: header_of(F.col("__lines"), name)
+    some = lambda a: let(a, lambda x: F.when(F.size(x) > 0, x))
+    listed = lambda name: some(addresses(h(name)))
+    return lined.select(
         *[c for c in messages.columns if c != message],
-        parse_date(header(m, "date")).alias("date"),
+        parse_date(h("date")).alias("date"),
         listed("from").alias("from"), listed("to").alias("to"), listed("cc").alias("cc"),
         listed("bcc").alias("bcc"),
-        address(header(m, "sender")).alias("sender"),
-        header(m, "subject").alias("subject"),
+        let(h("sender"), address).alias("sender"),
+        h("subject").alias("subject"),
         body_text(m).alias("text"),
-        header(m, "message-id").alias("message-id"),
-        empty_to_null(F.filter(F.split(header(m, "references"), r"\s+"), lambda r: r != "")).alias("references"),
-        header(m, "in-reply-to").alias("in-reply-to"),
-        header(m, "reply-to").alias("reply-to"),
-        header(m, "x-gm-thrid").alias("thread-id"),
-        labels_of(header(m, "x-gmail-labels")).alias("labels"))
+        h("message-id").alias("message-id"),
+        some(F.filter(F.split(h("references"), r"\s+"), lambda r: r != "")).alias("references"),
+        h("in-reply-to").alias("in-reply-to"),
+        h("reply-to").alias("reply-to"),
+        h("x-gm-thrid").alias("thread-id"),
+        labels_of(h("x-gmail-labels")).alias("labels"))
 
 
 def is_multipart(message: Column) -> Column:
@@ -133,10 +141,12 @@ def _leaves(part) -> list[tuple[str, str]]:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())])))
 def mime_parts(messages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Content type and decoded text of each part of a MIME message."""
+    from email import message_from_string
+    from email.policy import default
+
     for batch in messages:
         yield batch.map(lambda m: None if m is None else [
-            {"kind": k, "body": b}
-            for k, b in _leaves(email.message_from_string(m, policy=email.policy.default))])
+            {"kind": k, "body": b} for k, b in _leaves(message_from_string(m, policy=default))])
 
 
 def parts_text(parts: Column) -> Column:

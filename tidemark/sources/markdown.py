@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions import paths as P, text as X
 from tidemark.model import NAMESPACE
 from tidemark.operators.graph import refs_of, resolve_links
-from tidemark.sources import edn
+from tidemark.sources.edn import to_json as edn_to_json
 
 
 def _plain(v):
@@ -47,9 +47,9 @@ def front_matter_json(yml: str | None, namespace: str) -> str | None:
         if ns == namespace or ns.startswith(namespace + "."):
             v = out[k]
             if isinstance(v, str):
-                v = json.loads(edn.to_json(v) or "null")
+                v = json.loads(edn_to_json(v) or "null")
             elif isinstance(v, list):
-                v = [json.loads(edn.to_json(x) or "null") if isinstance(x, str) else x for x in v]
+                v = [json.loads(edn_to_json(x) or "null") if isinstance(x, str) else x for x in v]
             else:
                 v = None
             # what reads as nothing leaves the attribute as it was written

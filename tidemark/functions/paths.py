@@ -150,6 +150,41 @@ def glob_folder(glob: Column) -> Column:
         F.regexp_extract(glob, r"^((?:[^*?\[{\\/]*/)*)", 1), "/$", "")
 
 
+def glob_parts(glob: Column) -> Column:
+    """``struct<kind, prefix, suffix, regex>`` of a glob.
+
+    Most globs are literal text around at most one wildcard. Those are decided by
+    comparing ends (kind ``exact``, ``star`` or ``deep``); only the others (kind
+    ``regex``) need their regular expression.
+    """
+    plain = r"[^*?\[\]{}\\]*"
+    head, tail = F.regexp_extract(glob, f"(?s)^({plain})", 1), F.regexp_extract(glob, f"(?s)({plain})$", 1)
+    kind = (
+        F.when(glob.rlike(f"(?s)^{plain}$"), "exact")
+        .when(glob.rlike(rf"(?s)^{plain}\*{plain}$"), "star")
+        .when(glob.rlike(rf"(?s)^{plain}\*\*{plain}$"), "deep")
+        .otherwise("regex")
+    )
+    return F.struct(kind.alias("kind"), head.alias("prefix"), tail.alias("suffix"), glob_regex(glob).alias("regex"))
+
+
+def matches_parts(id_: Column, parts: Column) -> Column:
+    """Whether an id matches a glob taken apart by ``glob_parts``."""
+    prefix, suffix = parts["prefix"], parts["suffix"]
+    ends = (
+        id_.startswith(prefix) & id_.endswith(suffix)
+        & (F.length(id_) >= F.length(prefix) + F.length(suffix))
+    )
+    middle = id_.substr(F.length(prefix) + 1, F.length(id_) - F.length(prefix) - F.length(suffix))
+    return (
+        F.when(parts["kind"] == "exact", id_ == prefix)
+        .when(~id_.startswith(prefix), False)
+        .when(parts["kind"] == "regex", F.call_function("rlike", id_, parts["regex"]))
+        .when(parts["kind"] == "deep", ends)
+        .otherwise(ends & ~F.contains(middle, F.lit("/")))
+    )
+
+
 def matches_glob(id_: Column, glob: Column | str) -> Column:
     glob = F.lit(glob) if isinstance(glob, str) else glob
     return F.call_function("rlike", id_, glob_regex(glob))

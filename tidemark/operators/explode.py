@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
-def explode_nested(docs: DataFrame, levels: int | None = None) -> DataFrame:
-    """``(id, doc)`` → one row ``(source, id, doc)`` per map, references in the nested maps' place.
+
+def split_maps(text: str | None, prefix: str) -> list[dict] | None:
+    """``[{path, doc}]`` of a JSON value, inner maps first: each map with references in its nested maps' place.
+
+    A reference is ``<prefix><path>.edn``. None when no map is nested in the value.
+    """
+    value = json.loads(text) if text else None
+    if isinstance(value, list):
+        value = {str(i): v for i, v in enumerate(value)}
+    if not isinstance(value, dict):
+        return None
+    found: list[dict] = []
+
+    def walk(v, path: str):
+        below = lambda k: f"{path}.{k}" if path else str(k)
+        if isinstance(v, dict):
+            doc = {k: walk(x, below(k)) for k, x in v.items()}
+            found.append({"path": path or "root", "doc": json.dumps(doc, ensure_ascii=False)})
+            return f"{prefix}{path}.edn"
+        if isinstance(v, list):
+            return [walk(x, below(i)) for i, x in enumerate(v)]
+        return v
+
+    walk(value, "")
+    return found if len(found) > 1 else None
+
+
+_PIECES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("doc", T.StringType())]))
+
+
+@F.pandas_udf(_PIECES)
+def _pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for ids, texts in batches:
+        yield pd.Series(
+            [split_maps(text, f"{id_}.explode/") for id_, text in zip(ids, texts)], dtype=object)
+
+
+def explode_nested(docs: DataFrame) -> DataFrame:
+    """``(id, doc VARIANT)`` → one row ``(source, id, doc)`` per map, references in the nested maps' place.
 
     A child is named ``<source>.explode/<path>.edn`` and the document itself
     ``<source>.explode/root.edn``. An array at the top counts as a map from index
-    to value; documents without a nested map give no row. Each level of nesting is
-    one ``variant_explode`` over independent rows; only the entries of one map are
-    ever put back together. Name ``levels`` when the depth is known: otherwise
-    each level is looked at for a next one, which costs a job.
+    to value; documents without a nested map give no row. A document is one row,
+    so this needs no shuffle.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col("id").alias("source"), F.lit("").alias("at"), F.col("doc").alias("v"))
-    entries = None
-    while True:
-        rows = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        name = F.coalesce("key", F.col("pos").cast("string"))
-        rows = rows.select(
-            "source", "at", name.alias("key"), "value",
-            F.when(F.col("at") == "", name).otherwise(F.concat("at", F.lit("."), name)).alias("path"),
-            F.schema_of_variant("value").startswith("OBJECT").alias("is_map"))
-        ref = F.concat("source", F.lit(".explode/"), "path", F.lit(".edn")).cast("variant")
-        part = rows.select(
-            "source", "at", "key", "is_map", F.when(F.col("is_map"), ref).otherwise(F.col("value")).alias("value"))
-        entries = part if entries is None else entries.unionByName(part)
-        level = rows.filter("is_map").select("source", F.col("path").alias("at"), F.col("value").alias("v"))
-        if levels is not None:
-            levels -= 1
-            if levels == 0:
-                break
-        elif level.isEmpty():
-            break
-    nested = entries.filter("is_map").select("source").distinct()
-    out = F.concat(
-        "source", F.lit(".explode/"), F.when(F.col("at") == "", "root").otherwise(F.col("at")), F.lit(".edn"))
-    return (
-        entries.join(nested, "source", "left_semi")
-        .groupBy("source", "at")
-        .agg(F.to_variant_object(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("doc"))
-        .select("source", out.alias("id"), "doc")
-    )
+    rows = docs.select(
+        F.col("id").alias("source"), F.explode(_pieces(F.col("id"), F.to_json("doc"))).alias("p"))
+    return rows.select(
+        "source", F.concat("source", F.lit(".explode/"), "p.path", F.lit(".edn")).alias("id"),
+        F.parse_json("p.doc").alias("doc"))

@@ -67,11 +67,12 @@ def expand_cron(schedules: DataFrame, start: str = "start", end: str = "end", cr
     """
     day_us, hour_us, minute_us = (
         F.lit(us).cast("bigint") for us in (86_400_000_000, 3_600_000_000, 60_000_000))
-    parts = F.split(F.trim(F.col(cron)), r"\s+")
     day0 = F.floor(F.col(start) / day_us).cast("bigint")
     day1 = F.floor((F.col(end) - 1) / day_us).cast("bigint")
-    parsed = schedules.filter((F.size(parts) == 5) & (F.col(end) > F.col(start))).select(
-        "*",
+    # many schedules share few expressions: each is read once
+    parts = F.split(F.trim(F.col(cron)), r"\s+")
+    lines = schedules.select(cron).distinct().filter(F.size(parts) == 5).select(
+        cron,
         cron_field(parts[0], 0, 59).alias("__minutes"),
         cron_field(parts[1], 0, 23).alias("__hours"),
         cron_field(parts[2], 1, 31).alias("__dom"),
@@ -80,6 +81,7 @@ def expand_cron(schedules: DataFrame, start: str = "start", end: str = "end", cr
         (parts[2] == "*").alias("__any_dom"),
         (parts[4] == "*").alias("__any_dow"),
     )
+    parsed = schedules.filter(F.col(end) > F.col(start)).join(lines, cron)
     days = parsed.withColumn("__day", F.explode(F.sequence(day0, day1)))
     date = F.date_from_unix_date(F.col("__day").cast("int"))
     in_dom = F.array_contains("__dom", F.dayofmonth(date))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORD = r"([\p{L}\p{N}]+)"
+WORD = r"[\p{L}\p{N}]"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+def occurrences(text: Column, terms: list[str]) -> Column:
+    """The terms a text holds as whole words, lower-cased, one entry per occurrence."""
+    words = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{WORD})({words})(?!{WORD})"), F.lit(1))
 
 
 def _equals(term: str) -> Callable[[Column], Column]:
@@ -25,7 +28,7 @@ def text_search(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     as scalar subqueries in the second pass.
     """
     terms = sorted({t.lower() for t in terms})
-    counted = docs.withColumn("__tokens", tokens(F.col(text)))
+    counted = docs.withColumn("__tokens", occurrences(F.col(text), terms))
     for i, t in enumerate(terms):
         counted = counted.withColumn(f"__tf{i}", F.size(F.filter("__tokens", _equals(t))))
     counted = counted.drop("__tokens", text)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.paths import ancestors, glob_folder, glob_regex
+from tidemark.functions.paths import ancestors, glob_folder, glob_parts, matches_parts
 from tidemark.functions.text import out_name
 from tidemark.functions.values import call_specs
 from tidemark.model import FIRING_COLUMNS, NAMESPACE, TRIGGER_RANK
@@ -96,14 +96,14 @@ def match_globs(ids: DataFrame, globs: DataFrame, id_: str = "id", glob: str = "
 
     Each glob names literally the folder it starts in; an id can only match globs
     that start in one of its own ancestor folders. Joining on that folder makes it
-    an equi-join whose expansion is bounded by path depth; the regular expression
-    then decides.
+    an equi-join whose expansion is bounded by path depth; the glob itself then
+    decides.
     """
     g = globs.withColumn("__folder", glob_folder(F.col(glob))).withColumn(
-        "__regex", glob_regex(F.col(glob)))
+        "__glob", glob_parts(F.col(glob)))
     i = ids.withColumn("__folder", F.explode(ancestors(F.col(id_))))
-    matches = F.call_function("rlike", F.col(id_), F.col("__regex"))
-    return i.join(g, "__folder").filter(matches).drop("__folder", "__regex")
+    return i.join(g, "__folder").filter(
+        matches_parts(F.col(id_), F.col("__glob"))).drop("__folder", "__glob")
 
 
 def fire_pattern(ops: DataFrame, triggers: DataFrame, namespace: str = NAMESPACE) -> DataFrame:

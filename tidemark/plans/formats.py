@@ -43,6 +43,7 @@ def strip_nil_empty(spark, sf):
        ELSE o_orderpriority || ',' || o_orderstatus END AS tags FROM orders""")
 def edn_docs(spark, sf):
     o = I.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = I.spread(o, "o_orderkey")
     text = F.concat(
         F.lit("{:customer "), F.col("o_custkey").cast("string"), F.lit(' ; the buyer\n :tags #{"'), "o_orderstatus",
         F.lit('" "'), "o_orderpriority", F.lit('"}, :order {:status "'), "o_orderstatus", F.lit('" :prio ["'),
@@ -57,7 +58,7 @@ def edn_docs(spark, sf):
 
 @query(f"""WITH {I.DOCS} SELECT id, lang, n_chars, source || ',' || lang AS tags, n_chars AS size FROM docs""")
 def md_front_matter(spark, sf):
-    d = I.documents(spark, sf, "text")
+    d = I.spread(I.documents(spark, sf, "text"), "doc_id")
     text = F.concat(
         F.lit("---\nlang: "), "lang", F.lit("\nn_chars: "), F.col("n_chars").cast("string"), F.lit("\ntags:\n  - "),
         "source", F.lit("\n  - "), "lang", F.lit("\ntide/k: '{:size "), F.col("n_chars").cast("string"),
@@ -135,7 +136,7 @@ def html_extract(spark, sf):
 WHERE regexp_matches(html, '(?s)<article><h1>(.*?)</h1>')""")
 def html_select(spark, sf):
     """Headings picked by a selector; the oracle's text is the page's markup, so entities are put back."""
-    p = I.table(spark, sf, "pages").select("page_id", "html")
+    p = I.spread(I.table(spark, sf, "pages").select("page_id", "html"), "page_id")
     nodes = H.select_nodes(p, "article h1")
     text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
                      F.lit(">"), F.lit("&gt;"))

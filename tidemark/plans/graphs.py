@@ -85,7 +85,7 @@ def doc_explode(spark, sf):
         F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")).alias("id"),
         F.to_variant_object(F.struct(
             F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "customer")).alias("doc"))
-    return Ex.explode_nested(nested, levels=3).withColumn("doc", F.to_json("doc"))
+    return Ex.explode_nested(nested).withColumn("doc", F.to_json("doc"))
 
 
 @query(f"""WITH {I.PATHS} SELECT page_id, mount, rel, id, regexp_replace(id, '/[^/]*$', '') AS parent,

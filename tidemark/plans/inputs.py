@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores.
+
+    For work that is heavy per row. A table of many splits, which is any large
+    one, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores else df
+
+
 def ts_text(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -134,8 +145,8 @@ PATHS = """paths AS (
 
 def vault(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as markdown files of one vault, with links into it; some dangle."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    n = d.agg(F.count("*").alias("n")).scalar()
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    n = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
     k = ((F.col("doc_id") * 7 + 1) % (n + 50)).cast("string")
     own = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     body = F.concat(
@@ -172,7 +183,7 @@ def _message_date() -> Column:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as mail; CRLF line ends on odd turns, a date on all but the user's."""
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"), "conv_id", "turn")
     other = F.when(F.col("role") == "user", "assistant").otherwise("user")
     subject = F.trim(F.substring(F.regexp_replace("text", r"[\r\n]+", " "), 1, 90))
     date = F.when(F.col("role") != "user", F.concat(

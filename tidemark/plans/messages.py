@@ -95,7 +95,7 @@ def label_derive(spark, sf):
 @query("""SELECT page_id, 'plain body of ' || page_id || chr(10) AS text, 'Page ' || page_id AS subject FROM pages""")
 def mime_text(spark, sf):
     """Pages sent as mail with a plain and an HTML alternative; the plain one is the text."""
-    p = I.table(spark, sf, "pages")
+    p = I.spread(I.table(spark, sf, "pages").select("page_id", "html"), "page_id")
     key = F.col("page_id").cast("string")
     raw = F.concat(
         F.lit("Subject: Page "), key, F.lit("\nMIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=cut\n\n"

@@ -27,7 +27,7 @@ def pattern_exists(spark, sf):
 @query(r"""SELECT DISTINCT source, word
 FROM (SELECT source, unnest(regexp_split_to_array(text, '[ \t\n\r]+')) AS word FROM documents) WHERE word <> ''""")
 def pattern_multi_valued(spark, sf):
-    d = I.table(spark, sf, "documents").select("source", "text")
+    d = I.spread(I.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
     words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
     return M.find(M.each_value(d, F.array_distinct(words), "word"), "source", "word")
 
@@ -35,7 +35,7 @@ def pattern_multi_valued(spark, sf):
 @query(r"""SELECT doc_id, lang FROM documents
 WHERE list_contains(regexp_split_to_array(text, '[ \t\n\r]+'), 'the')""")
 def pattern_any_element(spark, sf):
-    d = I.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = I.spread(I.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     return d.filter(M.has_value(F.split("text", r"[ \t\n\r]+"), "the")).select("doc_id", "lang")
 
 
@@ -181,5 +181,5 @@ df AS (SELECT t, count(*) AS df FROM tf GROUP BY t)
 SELECT doc_id, round(sum(tf * ln((SELECT count(*) FROM documents) / CAST(df AS DOUBLE))), 4) AS score
 FROM tf JOIN df USING (t) GROUP BY doc_id""")
 def text_search(spark, sf):
-    d = I.table(spark, sf, "documents").select("doc_id", "text")
+    d = I.spread(I.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return S.text_search(d, "text", TERMS).select("doc_id", F.round("score", 4).alias("score"))

@@ -117,9 +117,13 @@ def is_multipart(message: Column) -> Column:
 
 
 def _leaf(part) -> tuple[str, str]:
-    kind = str(part.get("Content-Type", part.get_content_type()))
+    kind = part.get("Content-Type") or part.get_content_type()
+    if part.get_content_maintype() != "text":
+        return kind, ""
     try:
-        return kind, part.get_content() if part.get_content_maintype() == "text" else ""
+        data = part.get_payload(decode=True)
+        charset = part.get_content_charset()
+        return kind, data.decode(charset or "utf-8", errors="replace")
     except LookupError:
         return kind, UNSUPPORTED
     except Exception:
@@ -130,7 +134,7 @@ def _leaves(part) -> list[tuple[str, str]]:
     """Readable parts, plain text instead of HTML where a part offers both."""
     if not part.is_multipart():
         return [_leaf(part)]
-    kids = list(part.iter_parts()) if hasattr(part, "iter_parts") else part.get_payload()
+    kids = part.get_payload()
     plain = [p for p in kids if p.get_content_type() == "text/plain"
              and "; name=" not in str(p.get("Content-Type", "")).lower()]
     if plain and any(p.get_content_type() == "text/html" for p in kids):
@@ -141,12 +145,11 @@ def _leaves(part) -> list[tuple[str, str]]:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())])))
 def mime_parts(messages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Content type and decoded text of each part of a MIME message."""
-    from email import message_from_string
-    from email.policy import default
+    from email import message_from_bytes
 
     for batch in messages:
         yield batch.map(lambda m: None if m is None else [
-            {"kind": k, "body": b} for k, b in _leaves(message_from_string(m, policy=default))])
+            {"kind": k, "body": b} for k, b in _leaves(message_from_bytes(m.encode("utf-8")))])
 
 
 def parts_text(parts: Column) -> Column:

@@ -11,6 +11,11 @@ from tidemark.functions.urls import decode_uri
 from tidemark.model import NAMESPACE
 
 
+def strip(s: Column) -> Column:
+    """Without white space at either end, newlines included."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def ellipsis(s: Column, max_len: int = 60) -> Column:
     return F.when(
         F.length(s) > max_len, F.concat(F.substring(s, 1, max_len - 3), F.lit("..."))
@@ -19,7 +24,7 @@ def ellipsis(s: Column, max_len: int = 60) -> Column:
 
 def filename_str(s: Column) -> Column:
     """File-name friendly text: no control characters, banned ones become spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), r'[\\/:*?"<>|]', " "))
+    return strip(F.regexp_replace(F.regexp_replace(s, r"\p{C}", ""), r'[\\/:*?"<>|]', " "))
 
 
 def filename_inst(ts: Column) -> Column:
@@ -53,12 +58,12 @@ def mdlinks(md: Column, folder: Column) -> Column:
 def unwrap_codeblock(s: Column, lang: str) -> Column:
     """Content of a fenced block that is all there is in ``s``, else null."""
     return F.regexp_substr(
-        F.trim(s), F.lit(f"(?s)(?<=\\A```{re.escape(lang)}\\n).*(?=\\n```\\z)")
+        strip(s), F.lit(f"(?s)(?<=\\A```{re.escape(lang)}\\n).*(?=\\n```\\z)")
     )
 
 
 def wrap_codeblock(s: Column, lang: str) -> Column:
-    return F.concat(F.lit(f"```{lang}\n"), F.trim(s), F.lit("\n```\n\n"))
+    return F.concat(F.lit(f"```{lang}\n"), strip(s), F.lit("\n```\n\n"))
 
 
 def out_name(id_: Column, kind: str = "query", ext: str = "edn", namespace: str = NAMESPACE) -> Column:

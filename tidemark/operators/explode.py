@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 
 def split_maps(text: str | None, prefix: str) -> list[dict] | None:
@@ -35,14 +35,14 @@ def split_maps(text: str | None, prefix: str) -> list[dict] | None:
     return found if len(found) > 1 else None
 
 
-_PIECES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("doc", T.StringType())]))
-
-
-@F.pandas_udf(_PIECES)
-def _pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for ids, texts in batches:
-        yield pd.Series(
-            [split_maps(text, f"{id_}.explode/") for id_, text in zip(ids, texts)], dtype=object)
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [
+            (id_, p["path"], p["doc"])
+            for id_, text in zip(batch["id"], batch["doc"])
+            for p in split_maps(text, f"{id_}.explode/") or ()
+        ]
+        yield pd.DataFrame(rows, columns=["source", "path", "doc"], dtype=object)
 
 
 def explode_nested(docs: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def explode_nested(docs: DataFrame) -> DataFrame:
     to value; documents without a nested map give no row. A document is one row,
     so this needs no shuffle.
     """
-    rows = docs.select(
-        F.col("id").alias("source"), F.explode(_pieces(F.col("id"), F.to_json("doc"))).alias("p"))
+    rows = docs.select("id", F.to_json("doc").alias("doc")).mapInPandas(
+        _pieces, "source string, path string, doc string")
     return rows.select(
-        "source", F.concat("source", F.lit(".explode/"), "p.path", F.lit(".edn")).alias("id"),
-        F.parse_json("p.doc").alias("doc"))
+        "source", F.concat("source", F.lit(".explode/"), "path", F.lit(".edn")).alias("id"),
+        F.parse_json("doc").alias("doc"))

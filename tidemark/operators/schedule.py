@@ -71,32 +71,33 @@ def expand_cron(schedules: DataFrame, start: str = "start", end: str = "end", cr
     day1 = F.floor((F.col(end) - 1) / day_us).cast("bigint")
     # many schedules share few expressions: each is read once
     parts = F.split(F.trim(F.col(cron)), r"\s+")
-    lines = schedules.select(cron).distinct().filter(F.size(parts) == 5).select(
-        cron,
-        cron_field(parts[0], 0, 59).alias("__minutes"),
-        cron_field(parts[1], 0, 23).alias("__hours"),
-        cron_field(parts[2], 1, 31).alias("__dom"),
-        cron_field(parts[3], 1, 12, _MONTHS, 1).alias("__months"),
-        F.transform(cron_field(parts[4], 0, 7, _DAYS), lambda d: d % 7).alias("__dow"),
-        (parts[2] == "*").alias("__any_dom"),
-        (parts[4] == "*").alias("__any_dow"),
+    fields = F.struct(
+        cron_field(parts[0], 0, 59).alias("minutes"),
+        cron_field(parts[1], 0, 23).alias("hours"),
+        cron_field(parts[2], 1, 31).alias("dom"),
+        cron_field(parts[3], 1, 12, _MONTHS, 1).alias("months"),
+        F.transform(cron_field(parts[4], 0, 7, _DAYS), lambda d: d % 7).alias("dow"),
+        (parts[2] == "*").alias("any_dom"),
+        (parts[4] == "*").alias("any_dow"),
     )
+    # as a generator's output the fields stay where they are computed, before the join
+    lines = schedules.select(cron).distinct().filter(F.size(parts) == 5).select(
+        cron, F.explode_outer(F.array(fields)).alias("__c"))
     parsed = schedules.filter(F.col(end) > F.col(start)).join(lines, cron)
     days = parsed.withColumn("__day", F.explode(F.sequence(day0, day1)))
     date = F.date_from_unix_date(F.col("__day").cast("int"))
-    in_dom = F.array_contains("__dom", F.dayofmonth(date))
-    in_dow = F.array_contains("__dow", F.dayofweek(date) - 1)
-    both = ~F.col("__any_dom") & ~F.col("__any_dow")
-    days = days.filter(F.array_contains("__months", F.month(date))).filter(
+    in_dom = F.array_contains("__c.dom", F.dayofmonth(date))
+    in_dow = F.array_contains("__c.dow", F.dayofweek(date) - 1)
+    both = ~F.col("__c.any_dom") & ~F.col("__c.any_dow")
+    days = days.filter(F.array_contains("__c.months", F.month(date))).filter(
         F.when(both, in_dom | in_dow).otherwise(in_dom & in_dow))
-    hours = days.withColumn("__hour", F.explode("__hours"))
-    ticks = hours.withColumn("__minute", F.explode("__minutes"))
+    hours = days.withColumn("__hour", F.explode("__c.hours"))
+    ticks = hours.withColumn("__minute", F.explode("__c.minutes"))
     at = F.col("__day") * day_us + F.col("__hour") * hour_us + F.col("__minute") * minute_us
     return (
         ticks.withColumn("at", at)
         .filter((F.col("at") >= F.col(start)) & (F.col("at") < F.col(end)))
-        .drop("__minutes", "__hours", "__dom", "__months", "__dow", "__any_dom", "__any_dow",
-              "__day", "__hour", "__minute")
+        .drop("__c", "__day", "__hour", "__minute")
     )
 
 

@@ -28,19 +28,22 @@ def text_search(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     as scalar subqueries in the second pass.
     """
     terms = sorted({t.lower() for t in terms})
-    counted = docs.withColumn("__tokens", occurrences(F.col(text), terms))
+    found = occurrences(F.col(text), terms)
+    # a generator's output keeps later filters from evaluating the text again
+    once = F.explode_outer(F.filter(F.array(found), lambda o: F.size(o) > 0))
+    rest = [c for c in docs.columns if c != text]
+    counted = docs.select(*rest, once.alias("__found"))
     for i, t in enumerate(terms):
-        counted = counted.withColumn(f"__tf{i}", F.size(F.filter("__tokens", _equals(t))))
-    counted = counted.drop("__tokens", text)
+        counted = counted.withColumn(
+            f"__tf{i}", F.coalesce(F.size(F.filter("__found", _equals(t))), F.lit(0)))
     stats = counted.agg(F.struct(
         F.count("*").alias("n"),
         *[F.sum((F.col(f"__tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))],
     ).alias("s"))
-    hits = counted.filter(F.greatest(*[F.col(f"__tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
-    hits = hits.withColumn("__s", stats.scalar())
+    hits = counted.filter(F.col("__found").isNotNull()).withColumn("__s", stats.scalar())
     score = sum(
         (F.when(F.col(f"__tf{i}") > 0,
                 F.col(f"__tf{i}") * F.ln(F.col("__s.n") / F.col(f"__s.df{i}"))).otherwise(F.lit(0.0))
          for i in range(len(terms))),
         F.lit(0.0))
-    return hits.withColumn("score", score).drop("__s", *[f"__tf{i}" for i in range(len(terms))])
+    return hits.select(*rest, score.alias("score"))

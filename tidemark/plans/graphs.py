@@ -78,7 +78,7 @@ UNION ALL SELECT source, source || '.explode/customer.nation.edn',
 def doc_explode(spark, sf):
     n = I.table(spark, sf, "nation").select(
         "n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nation"))
-    c = I.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    c = I.spread(I.table(spark, sf, "customer"), "c_custkey").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "nation").alias("customer"))
     o = I.table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     nested = o.select(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions import paths as P
+from tidemark.session import cut
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``(path, modified, length)`` of every file below ``root``; contents are not read."""
+    """``(path, modified, length)`` of the non-empty files below ``root``; contents are not read."""
     scan = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)
@@ -16,11 +20,48 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return scan.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+_LISTED = "path string, is_dir boolean, modified_us long, length long"
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    for batch in batches:
+        for folder in batch["path"]:
+            store, plain = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+            scheme = folder[: len(folder) - len(plain)]
+            found = store.get_file_info(pafs.FileSelector(plain, allow_not_found=True))
+            for at in range(0, len(found), 10_000):
+                yield pd.DataFrame(
+                    [(scheme + f.path, f.type == pafs.FileType.Directory,
+                      None if f.mtime_ns is None else f.mtime_ns // 1000, f.size or 0)
+                     for f in found[at:at + 10_000]],
+                    columns=["path", "is_dir", "modified_us", "length"])
+
+
+def walk_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, modified, length)`` of every file below ``root``, empty ones too.
+
+    File scans leave empty files out, but an empty file is a document. Folders are
+    listed by tasks, one level of the tree per round.
+    """
+    folders = spark.createDataFrame([(root.rstrip("/"),)], "path string")
+    files = None
+    while True:
+        level = cut(folders.repartition("path").mapInPandas(_list_folders, _LISTED))
+        here = level.filter("not is_dir").select(
+            "path", F.timestamp_micros("modified_us").alias("modified"), "length")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("is_dir").select("path")
+        if folders.isEmpty():
+            return files
+
+
 def read_text(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``(path, modified, text)``, one row per file."""
     scan = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .option("wholetext", "true").text(root)
+        .text(root, wholetext=True)
     )
     return scan.select(
         F.col("_metadata.file_path").alias("path"),
@@ -29,9 +70,10 @@ def read_text(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def relative_to(path: Column, root: str) -> Column:
-    """Path below ``root``, from a file URI or a plain path, percent-decoded."""
+    """Path below ``root``, from a file URI (percent-decoded) or a plain path."""
     plain = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*", "/")
-    plain = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+    decoded = F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)
+    plain = F.when(path.rlike("^[a-z][a-z0-9+.-]*:"), decoded).otherwise(plain)
     return F.substring(plain, len(root.rstrip("/")) + 2, 1 << 30)
 
 
@@ -41,9 +83,12 @@ def mount_files(
     ignore: list[str] | None = None,
     extra_ignore: list[str] | None = None,
     text: bool = False,
+    pattern: str = "**",
 ) -> DataFrame:
     """Files of every mount with ``mount, rel, id, is_sidecar``, ignored paths dropped.
 
+    With ``text`` the contents are read (of non-empty files); otherwise only listed.
+
     A mount is a folder or ``{"path": …, "ignore": […]}``; its own ignore list adds
     to the global one.
     """
@@ -52,11 +97,11 @@ def mount_files(
         spec = {"path": spec} if isinstance(spec, str) else spec
         root = spec["path"]
         names = P.ignore_list(ignore, list(extra_ignore or []) + list(spec.get("ignore", [])))
-        scan = read_text(spark, root) if text else list_files(spark, root)
+        scan = read_text(spark, root) if text else walk_files(spark, root)
         rel = relative_to(F.col("path"), root)
         part = (
             scan.withColumn("mount", F.lit(name)).withColumn("rel", rel)
-            .filter(~P.is_ignored(F.col("rel"), names))
+            .filter(~P.is_ignored(F.col("rel"), names) & P.matches_glob(F.col("rel"), pattern))
             .withColumn("id", P.doc_id(F.col("mount"), F.col("rel")))
             .withColumn("is_sidecar", P.is_sidecar(F.col("rel")))
         )

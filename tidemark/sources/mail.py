@@ -40,17 +40,25 @@ def body_text(message: Column) -> Column:
         F.instr(m, "\n\n") > 0, m.substr(F.instr(m, "\n\n") + 2, F.length(m))).otherwise(""))
 
 
+# Stands for a line fold inside a header while its lines are apart.
+_FOLD = "\x01"
+
+
 def header_lines(message: Column) -> Column:
-    """Header lines, continuation lines joined to the line they continue."""
-    return F.split(F.regexp_replace(header_block(message), "\n[ \t]+", " "), "\n")
+    """Header lines; a continuation line stays, behind a mark, with the line it continues."""
+    return F.split(F.regexp_replace(header_block(message), "\n[ \t]+", _FOLD), "\n")
 
 
-def header_of(lines: Column, name: str) -> Column:
-    """Value of the last header line with a name (any case), null when absent."""
+def folded_header(lines: Column, name: str) -> Column:
+    """Value of the last header line with a name (any case) with its folds, null when absent."""
     hits = F.filter(lines, lambda l: F.lower(F.substring_index(l, ":", 1)) == name.lower())
     return F.trim(F.regexp_replace(F.try_element_at(hits, F.lit(-1)), "^[^:]*:", ""))
 
 
+def header_of(lines: Column, name: str) -> Column:
+    return F.replace(folded_header(lines, name), F.lit(_FOLD), F.lit(" "))
+
+
 def header(message: Column, name: str) -> Column:
     return header_of(header_lines(message), name)
 
@@ -68,7 +76,8 @@ def addresses(value: Column) -> Column:
 
 def references(value: Column) -> Column:
     """Lines of a references header, trimmed."""
-    return F.transform(F.split(F.trim(X.unix_newlines(value)), "\n"), F.trim)
+    lines = F.split(X.strip(F.replace(X.unix_newlines(value), F.lit(_FOLD), F.lit("\n"))), "\n")
+    return F.transform(lines, X.strip)
 
 
 def labels_of(value: Column) -> Column:
@@ -103,7 +112,7 @@ def parse_messages(messages: DataFrame, message: str = "text") -> DataFrame:
         h("subject").alias("subject"),
         body_text(m).alias("text"),
         h("message-id").alias("message-id"),
-        some(F.filter(F.split(h("references"), r"\s+"), lambda r: r != "")).alias("references"),
+        references(folded_header(F.col("__lines"), "references")).alias("references"),
         h("in-reply-to").alias("in-reply-to"),
         h("reply-to").alias("reply-to"),
         h("x-gm-thrid").alias("thread-id"),

@@ -52,7 +52,8 @@ def wikilinks(md: Column) -> Column:
 def mdlinks(md: Column, folder: Column) -> Column:
     """Targets of ``[text](url)`` seen from ``folder``, both relative to the mount."""
     found = F.regexp_extract_all(md, F.lit(r"\[[^\[]+\]\(([^)]+)\)"), F.lit(1))
-    return F.transform(found, lambda u: normalise(F.concat(folder, F.lit("/"), decode_uri(u))))
+    base = F.when(folder == "", folder).otherwise(F.concat(folder, F.lit("/")))
+    return F.transform(found, lambda u: normalise(F.concat(base, decode_uri(u))))
 
 
 def unwrap_codeblock(s: Column, lang: str) -> Column:

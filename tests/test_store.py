@@ -31,7 +31,7 @@ def test_history_across_buckets(log, events, span):
             want[last[id_]] = t
         last[id_] = tx
         want[tx] = None
-    got = {r["tx_id"]: r["valid_to"] for r in St.history(log, span).collect()}
+    got = {r["tx_id"]: r["valid_to"] for r in St.history(log, span, 5).collect()}
     assert got == want
 
 
@@ -43,14 +43,14 @@ def test_changes_across_buckets(log, events, span):
         if id_ not in prev or prev[id_] != state:
             want.add((tx, id_ not in prev))
         prev[id_] = state
-    got = St.history_changes(log, F.when(F.col("op") == "put", F.col("v")), span)
+    got = St.history_changes(log, F.when(F.col("op") == "put", F.col("v")), span, 5)
     assert {(r["tx_id"], r["is_first"]) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("span", [1, 11, 1 << 20])
 def test_as_of_join_across_buckets(log, events, span):
     left, right = log.filter("v < 2"), log.filter("v >= 2")
-    out = asof.as_of_join(left.select("id", "tx_id"), right, "id", "tx_id", O.tx_bucket(F.col("tx_id"), span), {"r": "tx_id"})
+    out = asof.as_of_join(left.select("id", "tx_id"), right, "id", "tx_id", O.tx_bucket(F.col("tx_id"), span), {"r": "tx_id"}, hot_rows=5)
     want = {}
     for tx, _, _, id_, v in events:
         if v < 2:
@@ -59,7 +59,7 @@ def test_as_of_join_across_buckets(log, events, span):
 
 
 def test_running_sum(log, events):
-    out = O.with_running_sum(log, ["id"], ["tx_id"], O.tx_bucket(F.col("tx_id"), 13), F.col("v"), "s")
+    out = O.with_running_sum(log, ["id"], ["tx_id"], O.tx_bucket(F.col("tx_id"), 13), "v", "s", 5)
     want, acc = {}, {}
     for tx, _, _, id_, v in events:
         acc[id_] = acc.get(id_, 0) + v
@@ -125,10 +125,11 @@ def test_merge_documents(spark):
     assert got == {"a": '{"x":1,"y":{"q":2},"z":null}', "b": '{"k":[1]}'}
 
 
-def test_median(spark):
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_median(spark, hot):
     rnd = random.Random(3)
     rows = [(k, float(rnd.randrange(50)) / 4) for k in "aab" for _ in range(rnd.randrange(5, 60))] + [("c", 1.0), ("c", 2.0)]
-    got = {r["k"]: r["median"] for r in A.median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 2.0).collect()}
+    got = {r["k"]: r["median"] for r in A.median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 2.0, hot).collect()}
     import statistics
 
     assert got == {k: statistics.median(v for q, v in rows if q == k) for k in "abc"}
@@ -146,7 +147,7 @@ def test_nest_pages(spark):
 def test_entity_query_changes(spark, log, events, span):
     """One pass over the log names the transactions after which re-running the query differs."""
     grouped = log.withColumn("g", F.floor(F.col("tx_id") / 10).cast("long"))
-    got = {r["tx_id"] for r in Q.entity_query_changes(grouped, "g", F.col("v") == 2, [F.col("v")], span).collect()}
+    got = {r["tx_id"] for r in Q.entity_query_changes(grouped, "g", F.col("v") == 2, [F.col("v")], span, 5).collect()}
     state, before, want = {}, frozenset(), set()
     for g in range(40):
         for tx, _, op, id_, v in events[g * 10:(g + 1) * 10]:

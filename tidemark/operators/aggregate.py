@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.ordered import with_running_sum
+from tidemark.operators.skew import HOT_ROWS
 
 
 def count_distinct(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -13,15 +14,16 @@ def count_distinct(df: DataFrame, keys: list[str], value: str, out: str) -> Data
         F.count("*").alias(out))
 
 
-def median(df: DataFrame, keys: list[str], value: str, width: float = 1.0) -> DataFrame:
+def median(df: DataFrame, keys: list[str], value: str, width: float = 1.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact median per key without gathering a key's values.
 
-    Values become counts per (keys, value) on the map side. Running counts, split
-    into slices of the value range of the given width, find the middle positions.
+    Values become counts per (keys, value) on the map side. Running counts find the middle
+    positions; a key with very many distinct values is split into slices of its value
+    range of the given width.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     running = with_running_sum(
-        counts, keys, [value], F.floor(F.col(value) / F.lit(width)), F.col("__n"), "__upto")
+        counts, keys, [value], F.floor(F.col(value) / F.lit(width)), "__n", "__upto", hot_rows)
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     joined = running.join(totals, keys)
     low, high = F.floor((F.col("__total") + 1) / 2), F.floor(F.col("__total") / 2) + 1

@@ -19,7 +19,9 @@ def reverse_closure(
     pairs go to the shared checkpoint folder, and what was visited is the union of
     those parts.
     """
-    step = edges.select(F.col("src").alias("next"), F.col("dst").alias("node")).distinct()
+    # every hop reads the edges, so they are made once; they stay unpartitioned, for a
+    # node most edges point to must remain splittable when a join shuffles them
+    step = cut(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")).distinct())
 
     def hop(pairs: DataFrame) -> DataFrame:
         return pairs.join(step, "node").select("seed", F.col("next").alias("node")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.values import attr
+from tidemark.operators.skew import hot_counts
 
 
 def pull(docs: DataFrame, attrs: dict[str, str], id_: str = "id", doc: str = "doc") -> DataFrame:
@@ -41,14 +42,14 @@ def nest(
 
     A key with more than ``page_rows`` rows is split by ``spread`` (a number that
     is even over the key's rows, such as the child's key) into as many pages as it
-    needs, so no task ever holds all items of a hot key. Only the counts of the
-    hot keys, at most one per ``page_rows`` rows, are joined back.
+    needs, so no task ever holds all items of a hot key.
     """
-    hot = (
-        rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > page_rows)
-        .select(*keys, F.ceil(F.col("__n") / page_rows).alias("__pages"))
-    )
-    paged = rows.join(hot, keys, "left").withColumn(
-        "page", F.pmod(spread.cast("bigint"), F.coalesce("__pages", F.lit(1).cast("bigint"))))
+    hot = hot_counts(rows, keys, page_rows)
+    if hot is None:
+        paged = rows.withColumn("page", F.lit(0).cast("bigint"))
+    else:
+        pages = F.ceil(F.col("__n") / page_rows).cast("bigint")
+        counted = rows.join(hot, keys, "left")
+        paged = counted.withColumn(
+            "page", F.pmod(spread.cast("bigint"), F.coalesce(pages, F.lit(1).cast("bigint"))))
     return paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(item)).alias(out))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.ordered import tx_bucket, with_previous
+from tidemark.operators.ordered import TX_SPAN, tx_bucket, with_previous
+from tidemark.operators.skew import HOT_ROWS
 
 
 def result_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def has_changed(old: DataFrame, new: DataFrame) -> bool:
 
 
 def entity_query_changes(
-    log: DataFrame, tx: str, where: Column, shown: list[Column], span: int | None = None
+    log: DataFrame, tx: str, where: Column, shown: list[Column], span: int = TX_SPAN, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Transactions after which the result of a one-entity query differs: ``(tx_id)``.
 
@@ -41,8 +42,8 @@ def entity_query_changes(
     ends = log.groupBy("id", F.col(tx).alias("__tx")).agg(
         F.max_by(F.struct(state.alias("s")), "tx_id").alias("last")).select(
         "id", "__tx", F.col("last.s").alias("s"))
-    bucket = tx_bucket(F.col("__tx"), span) if span else tx_bucket(F.col("__tx"))
-    paired = with_previous(ends, ["id"], ["__tx"], bucket, {"before": "s"})
+    bucket = tx_bucket(F.col("__tx"), span)
+    paired = with_previous(ends, ["id"], ["__tx"], bucket, {"before": "s"}, hot_rows)
     return (
         paired.filter(~F.col("s").eqNullSafe(F.col("before")))
         .select(F.col("__tx").alias("tx_id")).distinct()

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.ordered import tx_bucket, with_next, with_previous
+from tidemark.operators.ordered import TX_SPAN, tx_bucket, with_next, with_previous
+from tidemark.operators.skew import HOT_ROWS
 
 _LOG_COLUMNS = ("tx_id", "tx_time", "op", "id", "valid_time")
 
@@ -43,10 +44,10 @@ def entity(log: DataFrame, id_: str) -> DataFrame:
     return as_of(log.filter(F.col("id") == id_))
 
 
-def history(log: DataFrame, span: int | None = None) -> DataFrame:
+def history(log: DataFrame, span: int = TX_SPAN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every version with the interval ``[valid_from, valid_to)`` it was current in."""
-    bucket = tx_bucket(F.col("tx_id"), span) if span else tx_bucket(F.col("tx_id"))
-    return with_next(log, ["id"], ["tx_id"], bucket, {"valid_to": "tx_time"}).withColumnRenamed(
+    bucket = tx_bucket(F.col("tx_id"), span)
+    return with_next(log, ["id"], ["tx_id"], bucket, {"valid_to": "tx_time"}, hot_rows).withColumnRenamed(
         "tx_time", "valid_from")
 
 
@@ -61,15 +62,18 @@ def valid_history(log: DataFrame, rows_per_bucket: int = 1 << 20) -> DataFrame:
     n, lo, hi = log.agg(F.count("*"), F.min(seconds), F.max(seconds)).first()
     width = max(1, int(((hi or 0) - (lo or 0) + 1) * rows_per_bucket / max(n, 1)))
     return with_next(
-        log, ["id"], ["valid_from", "tx_id"], F.floor(seconds / F.lit(width)), {"valid_to": "valid_from"})
+        log, ["id"], ["valid_from", "tx_id"], F.floor(seconds / F.lit(width)), {"valid_to": "valid_from"},
+        rows_per_bucket)
 
 
-def history_changes(log: DataFrame, state: Column, span: int | None = None) -> DataFrame:
+def history_changes(
+    log: DataFrame, state: Column, span: int = TX_SPAN, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Versions whose ``state`` differs from the previous version of the same id."""
-    bucket = tx_bucket(F.col("tx_id"), span) if span else tx_bucket(F.col("tx_id"))
+    bucket = tx_bucket(F.col("tx_id"), span)
     marked = log.withColumn("__state", state).withColumn("__some", F.lit(True))
     paired = with_previous(
-        marked, ["id"], ["tx_id"], bucket, {"__prev": "__state", "__had": "__some"})
+        marked, ["id"], ["tx_id"], bucket, {"__prev": "__state", "__had": "__some"}, hot_rows)
     changed = F.col("__had").isNull() | ~F.col("__state").eqNullSafe(F.col("__prev"))
     return paired.filter(changed).withColumn("is_first", F.col("__had").isNull()).drop(
         "__state", "__some", "__prev", "__had")

@@ -45,11 +45,11 @@ query_changes AS (SELECT DISTINCT hour AS tx_id FROM (
 _QUERY = ("SELECT " + _select(7, "query", "'/triggers/query-0'", "NULL", _NULL, "0", "false") + " FROM query_changes")
 
 
-def _refs_firings(spark, sf, ops, trig):
+def _closure(spark, sf):
     edges = I.refs(spark, sf)
     seeds = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seed"))
-    closure = I.doc_closure(spark, sf, G.reverse_closure(seeds, edges))
-    return closure
+    owners = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    return I.doc_closure(spark, sf, G.reverse_closure(seeds, edges), owners)
 
 
 def _query_changes(spark, sf, trig):
@@ -73,7 +73,7 @@ def trig_pattern(spark, sf):
 @query(f"WITH RECURSIVE {_BASE}, {I.REFS}, {I.CLOSURE} {_REFS}")
 def trig_refs(spark, sf):
     ops, trig = I.ops(spark, sf), I.triggers(spark, sf)
-    return Tr.fire_refs(ops, trig, _refs_firings(spark, sf, ops, trig))
+    return Tr.fire_refs(ops, trig, _closure(spark, sf))
 
 
 @query(f"WITH {_BASE} {_TX}")
@@ -95,7 +95,7 @@ def trig_query(spark, sf):
 def all_firings(spark, sf):
     ops, trig = I.ops(spark, sf), I.triggers(spark, sf)
     return Tr.compute_firings(
-        ops, trig, _refs_firings(spark, sf, ops, trig), _query_changes(spark, sf, trig))
+        ops, trig, _closure(spark, sf), _query_changes(spark, sf, trig))
 
 
 _ALL = " UNION ALL ".join([_SAVED, _SELF(3, "modify"), _PATTERN, _SELF(6, "startup"), _TX, _REFS, _QUERY])

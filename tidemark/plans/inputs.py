@@ -293,10 +293,10 @@ TRIG = f"""trig AS (
 globs AS (SELECT '/triggers/pattern-' || i AS self_id, regex FROM (VALUES {_PATTERN_TABLE}) v(i, regex))"""
 
 
-def doc_closure(spark: SparkSession, sf: str, closure: DataFrame) -> DataFrame:
-    """A closure over document numbers as one over document ids."""
+def doc_closure(spark: SparkSession, sf: str, closure: DataFrame, owners: DataFrame) -> DataFrame:
+    """A closure over document numbers as one over ids, cut down to the ``owners(doc_id)`` of triggers first."""
     named = documents(spark, sf).select("doc_id", "id")
     a = named.select(F.col("doc_id").alias("seed"), F.col("id").alias("__seed"))
-    b = named.select(F.col("doc_id").alias("node"), F.col("id").alias("__node"))
-    return closure.join(a, "seed").join(b, "node").select(
+    b = named.join(owners, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("id").alias("__node"))
+    return closure.join(b, "node").join(a, "seed").select(
         F.col("__seed").alias("seed"), F.col("__node").alias("node"))

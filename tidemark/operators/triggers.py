@@ -40,14 +40,18 @@ def on_path(on_k: Column, idx: Column, is_vector: Column, namespace: str = NAMES
     return F.when(is_vector, F.concat(key, F.lit("/"), idx.cast("string"))).otherwise(key)
 
 
-def _of_kind(triggers: DataFrame, kind: str) -> DataFrame:
-    t = triggers.filter(F.col("on_k") == kind).drop("on_k")
+def _of_kinds(triggers: DataFrame, *kinds: str) -> DataFrame:
+    t = triggers.filter(F.col("on_k").isin(*kinds))
     for c in ("from_tx", "to_tx"):
         if c not in t.columns:
             t = t.withColumn(c, F.lit(None).cast("bigint"))
     return t
 
 
+def _of_kind(triggers: DataFrame, kind: str) -> DataFrame:
+    return _of_kinds(triggers, kind).drop("on_k")
+
+
 def _live(df: DataFrame) -> DataFrame:
     """Keep triggers whose version was current at the transaction."""
     tx = F.col("tx_id")
@@ -73,11 +77,16 @@ def _puts(ops: DataFrame) -> DataFrame:
     return ops.filter(F.col("op") == "put").select("tx_id", "op_seq", "id")
 
 
-def fire_self(ops: DataFrame, triggers: DataFrame, kind: str, namespace: str = NAMESPACE) -> DataFrame:
+def fire_self(ops: DataFrame, triggers: DataFrame, *kinds: str, namespace: str = NAMESPACE) -> DataFrame:
     """``modify`` and ``startup``: the changed document's own triggers. Deletes carry no document."""
-    t = _of_kind(triggers, kind)
-    hit = _puts(ops).join(t, F.col("id") == F.col("self_id"))
-    return _firings(_live(hit), kind, F.col("id"), namespace)
+    t = _of_kinds(triggers, *kinds)
+    hit = _live(_puts(ops).join(t, F.col("id") == F.col("self_id")))
+    rank = F.create_map(*[F.lit(x) for k in kinds for x in (k, TRIGGER_RANK[k])])
+    return hit.select(
+        "tx_id", rank[F.col("on_k")].alias("rank"), "op_seq", "on_k", "self_id",
+        F.col("idx").cast("int").alias("idx"),
+        on_path(F.col("on_k"), F.col("idx"), F.col("is_vector"), namespace).alias("on_path"),
+        F.col("id").alias("target_id"))
 
 
 def fire_refs(
@@ -198,9 +207,8 @@ def compute_firings(
     """
     parts = [
         fire_saved_query(ops, namespace),
-        fire_self(ops, triggers, "modify", namespace),
+        fire_self(ops, triggers, "modify", "startup", namespace=namespace),
         fire_pattern(ops, triggers, namespace),
-        fire_self(ops, triggers, "startup", namespace),
         fire_tx(transactions(ops), triggers, namespace),
     ]
     if closure is not None:

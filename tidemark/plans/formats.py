@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from tidemark.functions import paths as P, text as X, urls as U
 from tidemark.operators import merge as Mg, triggers as Tr
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import register
-from tidemark.session import checkpoint_dir
+from tidemark.session import scratch
 from tidemark.sources import edn, feeds, files as Fs, html as H, markdown as Md, readers as R, sinks
 
 QUERIES: dict = {}
@@ -205,7 +204,7 @@ def saved_query_results(spark, sf):
     """Saved queries run to their result folders, which are then read back."""
     from tidemark.plans import history, patterns
 
-    saved = sinks.SavedQueries(f"{checkpoint_dir(spark)}/saved-{uuid.uuid4().hex}")
+    saved = sinks.SavedQueries(scratch(spark, "saved"))
     saved.register("pattern_const", lambda s: patterns.pattern_const(s, sf))
     saved.register("entity_current", lambda s: history.entity_current(s, sf))
     saved.register("high_events", lambda s: I.table(s, sf, "events").filter("value > 40"))

@@ -10,14 +10,13 @@ checkpoint neither loses nor doubles a firing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.triggers import compute_firings
-from tidemark.session import checkpoint_dir
+from tidemark.session import scratch
 
 
 def start_firings(
@@ -63,7 +62,7 @@ def firings_of_stream(spark: SparkSession, sf: str) -> DataFrame:
         I.hour_of(F.col("ts")).alias("tx_id"), F.col("event_id").alias("op_seq"),
         F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"),
         F.concat(F.lit("/users/"), F.col("user_id").cast("string")).alias("id"))
-    home = f"{checkpoint_dir(spark)}/firings-{uuid.uuid4().hex}"
+    home = scratch(spark, "firings")
     q = start_firings(changes, lambda s: I.triggers(s, sf), f"{home}/out", f"{home}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{home}/out").drop("batch")

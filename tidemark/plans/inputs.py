@@ -234,44 +234,38 @@ OPS = """ops AS (
 PATTERNS = ["/users/1*", "/users/*", "/users/{2,3}?", "/docs/**.fr", "**.log", "/docs/src1/[!1-4]*"]
 
 
-def triggers(spark: SparkSession, sf: str) -> DataFrame:
-    """Triggers that users, documents and a few fixed documents carry."""
-    none = F.lit(None).cast("string")
-    no_tx = F.lit(None).cast("bigint")
+def _trigger(kind: str, idx: int = 0, vector: bool = False, self_id: Column | None = None,
+             glob: str | None = None, has_call: bool = True) -> Column:
+    return F.struct(
+        (F.lit(None).cast("string") if self_id is None else self_id).alias("self_id"),
+        F.lit(kind).alias("on_k"), F.lit(idx).alias("idx"), F.lit(vector).alias("is_vector"),
+        F.lit(glob).cast("string").alias("glob"), F.lit(has_call).alias("has_call"))
 
-    def rows(df, kind, idx, vector, glob=none, from_tx=no_tx):
-        return df.select(
-            F.col("self_id"), F.lit(kind).alias("on_k"), idx.cast("int").alias("idx"), vector.alias("is_vector"),
-            glob.alias("glob"), from_tx.alias("from_tx"), F.lit(True).alias("has_call"))
 
+def triggers(spark: SparkSession, sf: str) -> DataFrame:
+    """Triggers that users, documents and a few fixed documents carry."""
+    no_tx = F.lit(None).cast("bigint").alias("from_tx")
+    by_segment = (
+        F.when(F.col("c_mktsegment") == "BUILDING", F.array(_trigger("modify")))
+        .when(F.col("c_mktsegment") == "MACHINERY", F.array(_trigger("modify", 0, True), _trigger("modify", 1, True)))
+        .when(F.col("c_mktsegment") == "AUTOMOBILE", F.array(_trigger("startup"), _trigger("shutdown")))
+    )
     users = table(spark, sf, "customer").select(
-        F.concat(F.lit("/users/"), F.col("c_custkey").cast("string")).alias("self_id"), "c_mktsegment")
-    segment = lambda s: users.filter(F.col("c_mktsegment") == s)
-    toxic = docs(spark, sf).filter(F.col("toxic") == 1).select(
-        F.col("id").alias("self_id"), F.floor(F.col("doc_id") * 37 % 1440 / 60).cast("bigint").alias("since"))
-    machinery = segment("MACHINERY").withColumn("idx", F.explode(F.array(F.lit(0), F.lit(1))))
-    fixed = spark.range(len(PATTERNS)).withColumn(
-        "glob", F.array(*[F.lit(p) for p in PATTERNS])[F.col("id").cast("int")])
-    named = lambda kind, n: spark.range(n).select(
-        F.concat(F.lit(f"/triggers/{kind}-"), F.col("id").cast("string")).alias("self_id"))
-    queries = rows(named("query", 2), "query", F.lit(0), F.lit(False)).withColumn(
-        "has_call", F.col("self_id") == "/triggers/query-0")
-    parts = [
-        rows(segment("BUILDING"), "modify", F.lit(0), F.lit(False)),
-        rows(machinery, "modify", F.col("idx"), F.lit(True)),
-        rows(segment("AUTOMOBILE"), "startup", F.lit(0), F.lit(False)),
-        rows(segment("AUTOMOBILE"), "shutdown", F.lit(0), F.lit(False)),
-        rows(fixed.select(F.concat(F.lit("/triggers/pattern-"), F.col("id").cast("string")).alias("self_id"), "glob"),
-             "pattern", F.lit(0), F.lit(False), F.col("glob")),
-        rows(toxic, "refs", F.lit(0), F.lit(False), none, F.col("since")),
-        rows(named("tx", 2), "tx", F.lit(0), F.lit(False)),
-        queries,
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+        F.concat(F.lit("/users/"), F.col("c_custkey").cast("string")).alias("self_id"),
+        F.explode(by_segment).alias("t"),
+    ).select("self_id", "t.on_k", "t.idx", "t.is_vector", "t.glob", "t.has_call", no_tx)
+    named = lambda kind, i: F.lit(f"/triggers/{kind}-{i}")
+    fixed = F.array(
+        *[_trigger("pattern", self_id=named("pattern", i), glob=g) for i, g in enumerate(PATTERNS)],
+        *[_trigger("tx", self_id=named("tx", i)) for i in range(2)],
+        *[_trigger("query", self_id=named("query", i), has_call=i == 0) for i in range(2)])
+    own = spark.range(1).select(F.explode(fixed).alias("t")).select("t.*", no_tx)
+    toxic = documents(spark, sf).join(
+        table(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id").select(
+        F.col("id").alias("self_id"), F.lit("refs").alias("on_k"), F.lit(0).alias("idx"),
+        F.lit(False).alias("is_vector"), F.lit(None).cast("string").alias("glob"), F.lit(True).alias("has_call"),
+        F.floor(F.col("doc_id") * 37 % 1440 / 60).cast("bigint").alias("from_tx"))
+    return users.unionByName(own).unionByName(toxic)
 
 
 # the oracle's own regular expressions for PATTERNS

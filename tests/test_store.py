@@ -169,5 +169,5 @@ def test_result_changes(spark):
 def test_append_is_idempotent(spark, tmp_path):
     ops = spark.createDataFrame([("a", "put")], "id string, op string")
     for _ in range(2):
-        St.append_ops(ops, str(tmp_path / "log"), 1, 5)
+        St.append_ops(ops, str(tmp_path / "log"), 1, F.lit(5))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1

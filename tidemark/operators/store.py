@@ -128,13 +128,13 @@ def sync_ops(seen: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("seen").alias("modified"))
 
 
-def append_ops(ops: DataFrame, path: str, tx_id: int, tx_time) -> None:
+def append_ops(ops: DataFrame, path: str, tx_id: int, tx_time: Column) -> None:
     """Append one transaction to a parquet log.
 
     The transaction has a folder of its own that is overwritten as a whole, so a
     repeated attempt after a failure leaves the same rows.
     """
-    ops.withColumn("tx_time", F.lit(tx_time)).write.mode("overwrite").parquet(f"{path}/tx_id={tx_id}")
+    ops.withColumn("tx_time", tx_time).write.mode("overwrite").parquet(f"{path}/tx_id={tx_id}")
 
 
 def upsert(docs: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:

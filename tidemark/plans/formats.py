@@ -187,13 +187,23 @@ def export_markdown(spark, sf):
         F.floor("o_totalprice"))
 
 
-@query(None)
+_SCANNED = ["events", "documents", "orders", "customer", "pages"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{t}' AS stem, 'parquet' AS ext, count(*) AS n, true AS has_time FROM {t}" for t in _SCANNED))
 def file_scan(spark, sf):
-    """The table files themselves, listed without being read."""
-    f = Fs.list_files(spark, sf, "*.parquet")
+    """Rows per file of the tables, with what the listing knows of each file."""
+    out = None
+    for t in _SCANNED:
+        f = I.table(spark, sf, t).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+            F.count("*").alias("n"), F.max("_metadata.file_modification_time").alias("modified"))
+        out = f if out is None else out.unionByName(f)
+    listed = Fs.list_files(spark, sf, "*.parquet")
     name = P.file_name(F.col("path"))
-    return f.select(name.alias("name"), P.stem(name, "parquet").alias("stem"), P.extension(name).alias("ext"),
-                    F.col("length"), F.col("modified").isNotNull().alias("has_time"))
+    known = listed.select(name.alias("name"), P.stem(name, "parquet").alias("stem"), P.extension(name).alias("ext"))
+    seen = out.select(name.alias("name"), "n", F.col("modified").isNotNull().alias("has_time"))
+    return seen.join(known, "name").select("stem", "ext", "n", "has_time")
 
 
 @query(f"""WITH {I.TX} SELECT 'pattern_const.query-out.tide.edn' AS out_file, count(*) AS n FROM documents WHERE lang = 'fr'

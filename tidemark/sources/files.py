@@ -39,6 +39,27 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     columns=["path", "is_dir", "modified_us", "length"])
 
 
+def _read_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs as pafs
+
+    def text_of(path: str) -> str | None:
+        store, plain = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        try:
+            with store.open_input_stream(plain) as f:
+                return f.read().decode("utf-8", errors="replace")
+        except FileNotFoundError:
+            return None
+
+    for batch in batches:
+        for row in batch.itertuples(index=False):  # one file in memory at a time
+            yield pd.DataFrame([(row.id, row.path, text_of(row.path))], columns=["id", "path", "text"])
+
+
+def read_paths(files: DataFrame) -> DataFrame:
+    """``(id, path, text)`` of listed files ``(id, path)``: only these are opened, by the tasks."""
+    return files.select("id", "path").mapInPandas(_read_paths, "id string, path string, text string")
+
+
 def walk_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, modified, length)`` of every file below ``root``, empty ones too.
 

@@ -44,7 +44,7 @@ def sql_ts(c: str) -> str:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zoneless timestamp."""
-    return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
 def minutes_after(minutes: Column) -> Column:

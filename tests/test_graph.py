@@ -57,9 +57,11 @@ def links(spark, files, wanted, **kw):
     return {r["link"]: r["target"] for r in G.resolve_links(l, f, **kw).collect()}
 
 
-def test_resolve_links(spark):
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_resolve_links(spark, broadcast_rows):
     files = ["file.md", "another file.md", "other file.md", "md link.md", "inbox/another file.md", "pic.png"]
-    got = links(spark, files, ["another file", "other file", "inbox/another file", "md link.md", "pic.png", "nope", "file", ""])
+    got = links(spark, files, ["another file", "other file", "inbox/another file", "md link.md", "pic.png", "nope", "file", ""],
+                broadcast_rows=broadcast_rows)
     assert got == {
         "another file": "another file.md", "other file": "other file.md", "inbox/another file": "inbox/another file.md",
         "md link.md": "md link.md", "pic.png": "pic.png", "file": "file.md", "": "file.md" if len("file.md") <= len("pic.png") else "pic.png"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.paths import ancestors
+from tidemark.operators.skew import BROADCAST_ROWS, is_small
 from tidemark.session import cut
 
 
@@ -64,7 +65,8 @@ def descendants(folders: DataFrame, docs: DataFrame, folder: str = "folder", id_
 
 
 def resolve_links(
-    links: DataFrame, files: DataFrame, strict: bool = False, link: str = "link", path: str = "path"
+    links: DataFrame, files: DataFrame, strict: bool = False, link: str = "link", path: str = "path",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(vault, link, target)``: the shortest file of the vault whose path ends with the link.
 
@@ -72,7 +74,9 @@ def resolve_links(
     ``strict``. Instead of comparing every link with every file, each file is
     listed under each of its suffixes and the best file per suffix is kept
     (combined on the map side, so a suffix all files share is no hot group); the
-    links are then an equi-join. Ties go to the first path in order.
+    links are then an equi-join. When the links are few, as after a small change, they
+    are sent to the files and only suffixes somebody links to are kept before the
+    shuffle. Ties go to the first path in order.
     """
     p = F.col(path)
     starts = F.sequence(F.lit(1), F.length(p) + 1)
@@ -83,8 +87,11 @@ def resolve_links(
     keys = wanted.select(
         "vault", "link", F.explode(F.array_distinct(
             F.array(F.col("link"), F.concat("link", F.lit(".md"))))).alias("suffix"))
-    best = F.min(F.struct(F.length(p).alias("len"), p.alias("target"))).alias("best")
-    index = files.select("vault", path, F.explode(suffixes).alias("suffix")).groupBy("vault", "suffix").agg(best)
+    listed = files.select("vault", p.alias("target"), F.explode(suffixes).alias("suffix"))
+    if is_small(wanted, broadcast_rows):
+        listed = listed.join(F.broadcast(keys.select("vault", "suffix").distinct()), ["vault", "suffix"], "left_semi")
+    best = F.min(F.struct(F.length("target").alias("len"), "target")).alias("best")
+    index = listed.groupBy("vault", "suffix").agg(best)
     return (
         keys.join(index, ["vault", "suffix"])
         .groupBy("vault", "link").agg(F.min("best").alias("best"))

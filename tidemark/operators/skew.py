@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 HOT_ROWS = 1 << 20
 # Up to this many hot keys are broadcast; beyond it Spark chooses the join.
 BROADCAST_KEYS = 10_000
+# Up to this many short rows are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def hot_counts(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -34,3 +36,8 @@ def mark_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     marks = hot.select(*keys, F.lit(True).alias("__is"))
     return df.join(marks, keys, "left").withColumn(
         "__hot", F.coalesce("__is", F.lit(False))).drop("__is")
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; looks at no more than one row beyond."""
+    return df.limit(rows + 1).count() <= rows

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions import paths as P, text as X
 from tidemark.model import NAMESPACE
 from tidemark.operators.graph import refs_of, resolve_links
+from tidemark.session import cut
 from tidemark.sources.edn import to_json as edn_to_json
 
 
@@ -82,7 +83,7 @@ def links_of(files: DataFrame) -> DataFrame:
 
 def markdown_refs(files: DataFrame, vault_files: DataFrame, strict: bool = False) -> DataFrame:
     """``(src, dst)`` references of markdown files into their vault ``(mount, rel)``."""
-    links = links_of(files)
+    links = cut(links_of(files))  # the texts are read once
     targets = vault_files.select(F.col("mount").alias("vault"), F.col("rel").alias("path"))
     resolved = resolve_links(links, targets, strict)
     return refs_of(links, resolved, P.doc_id(F.col("vault"), F.col("target")))

@@ -12,6 +12,18 @@ from tidemark.plans.registry import register
 QUERIES: dict = {}
 
 
+@register(QUERIES)
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of all documents, and digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    ops = importlib.import_module("tidemark.llm.bpe")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    coded = ops.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", ops.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # The words of decontamination and of the oracle: A-Z lower-cased, then runs of letters, digits and non-ASCII.
 SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

@@ -24,6 +24,14 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register(QUERIES)
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    ops = importlib.import_module("tidemark.llm.simhash")
+    groups = ops.near_groups(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", ops.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 # The words of decontamination and of the oracle: A-Z lower-cased, then runs of letters, digits and non-ASCII.
 SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

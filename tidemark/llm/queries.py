@@ -24,6 +24,19 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register(QUERIES)
+def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    ops = importlib.import_module("tidemark.llm.licenses")
+    found = ops.scan_licenses(read_table(spark, sf, "documents").select("doc_id", "text"))
+    base, all_ = F.col("licenses.phrases.label"), F.concat("licenses.phrases.label", "licenses.spans.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", F.col("licenses.n_words").alias("n_words"), F.size("licenses.phrases").cast("bigint").alias("n_base"),
+        F.array_min("licenses.phrases.first").alias("first_word"), F.array_max("licenses.phrases.first").alias("last_word"),
+        joined(base).alias("base_labels"), joined(all_).alias("labels"), F.col("licenses.score").alias("score"))
+
+
 @register(QUERIES)
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of all documents."""

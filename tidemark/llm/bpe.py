@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import bounded_batches
 
 # Remembered pieces and pairs of one task; beyond this the memory starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 NEVER = 1 << 60
 # A space before white space or the end, where a match need not start.
 BLANKS = regex.compile(r" (?:\s|\Z)")
@@ -39,6 +39,12 @@ BLANKS = regex.compile(r" (?:\s|\Z)")
 LOOKAHEAD = 3
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a file of lines "base64 rank"."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class Vocabulary:
     """Ranks of byte strings; a lower rank is merged earlier."""
 
@@ -56,9 +62,7 @@ class Vocabulary:
 
     @staticmethod
     def read(path: str) -> "Vocabulary":
-        """A file of lines "base64 rank"."""
-        with open(path, "rb") as f:
-            return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        return Vocabulary(read_ranks(path))
 
     def merged(self, data: bytes, until: int = 1) -> list[int]:
         """Encoding by the definition: merge the leftmost pair of lowest rank until none is left or few parts are."""
@@ -281,7 +285,7 @@ def decode(ids: Column, path: str) -> Column:
     """The bytes of packed ids; null stays null."""
     @F.pandas_udf("binary")
     def data(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = _vocabulary(path).bytes
+        of = {i: b for b, i in read_ranks(path).items()}
         table = [of.get(i) for i in range(max(of) + 1)]
         for batch in batches:
             yield pd.Series([None if b is None else b"".join([table[i] for i in np.frombuffer(b, "<u4").tolist()])

@@ -12,6 +12,14 @@ from tidemark.plans.registry import register
 QUERIES: dict = {}
 
 
+@register(QUERIES)
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality scores of all documents."""
+    ops = importlib.import_module("tidemark.llm.rule_ensemble")
+    scored = ops.classify(read_table(spark, sf, "documents").select("doc_id", "text"), read_table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register(QUERIES)
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, and digests of the ids and of what they decode to."""
@@ -24,6 +32,16 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register(QUERIES)
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all documents and the verdict of the learned decision list."""
+    ops = importlib.import_module("tidemark.llm.decision_list")
+    judged = ops.judge(read_table(spark, sf, "documents").select("doc_id", "text"), read_table(spark, sf, "labels"))
+    counts = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, ops.base_failed().alias("base_failed"),
+                         (~ops.base_failed() & (F.col("rule") == 0)).alias("kept"), "rule")
+
+
 @register(QUERIES)
 def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
     """License phrases and templates in all documents."""

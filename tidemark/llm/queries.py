@@ -55,6 +55,29 @@ def op4_licenses(spark: SparkSession, sf: str) -> DataFrame:
         joined(base).alias("base_labels"), joined(all_).alias("labels"), F.col("licenses.score").alias("score"))
 
 
+@register(QUERIES)
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of all documents; ``lang`` is what they declare, ``source`` stands for the host."""
+    ops = importlib.import_module("tidemark.llm.language")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    found = ops.identify(docs, ops.fit(docs, "text", "lang"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("language.guess").alias("language"), F.col("language.posterior").alias("posterior"),
+                        F.col("language.accepted").alias("kept"))
+
+
+@register(QUERIES)
+def language_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of all pages, by models of the documents, declared language, address suffix and host."""
+    ops = importlib.import_module("tidemark.llm.language")
+    model = ops.fit(read_table(spark, sf, "documents").select("text", "lang"), "text", "lang")
+    host = ops.host_of(F.col("url"))
+    pages = read_table(spark, sf, "pages").select("page_id", "url", ops.declared_of(F.col("html")).alias("declared"), F.regexp_replace(
+        "html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ").alias("text"))
+    found = ops.identify(pages, model, declared=F.col("declared"), host=host, suffix=ops.suffix_of(host))
+    return found.select("page_id", "declared", F.col("language.guess").alias("language"),
+                        F.col("language.posterior").alias("posterior"), F.col("language.accepted").alias("kept"))
+
+
 @register(QUERIES)
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of all documents."""

@@ -78,6 +78,21 @@ def language_of_pages(spark: SparkSession, sf: str) -> DataFrame:
                         F.col("language.posterior").alias("posterior"), F.col("language.accepted").alias("kept"))
 
 
+@register(QUERIES)
+def op6_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text of all pages."""
+    ops = importlib.import_module("tidemark.llm.html_text")
+    text = ops.extract(read_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", F.length("text").cast("bigint").alias("n_chars"), "text")
+
+
+@register(QUERIES)
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata and conversion records of all pages, taken as responses."""
+    ops = importlib.import_module("tidemark.llm.warc")
+    return ops.derive(ops.responses_of(read_table(spark, sf, "pages").select("page_id", "url", "html"), key="page_id"))
+
+
 @register(QUERIES)
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of all documents."""

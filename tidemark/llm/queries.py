@@ -132,3 +132,12 @@ def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         F.size("contamination.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
         (F.size("contamination.spans") > 0).alias("contaminated"))
+
+
+@register(QUERIES)
+def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated bytes of all documents, and a digest of the rest."""
+    ops = importlib.import_module("tidemark.llm.suffix_dedup")
+    found = ops.strip(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("deduplicated.n_bytes").alias("n_bytes"), ops.n_removed().alias("n_removed"),
+                        F.size("deduplicated.spans").cast("bigint").alias("n_spans"), F.sha2("deduplicated.kept", 256).alias("kept_sha256"))

@@ -128,7 +128,7 @@ def reference_split(lines):
     return ["\n".join(p[1][1]) if len(p) > 1 else "" for p in pairs]
 
 
-HEAD = "From MAILER-DAEMON Fri Jul  8 12:08:34 2011"
+HEAD = "From archive@example.com Mon Feb  5 09:30:00 2024"
 
 
 @pytest.mark.parametrize("text", [
@@ -178,8 +178,8 @@ def test_html(spark):
 def test_pull_and_cursor(spark):
     df = spark.createDataFrame([(i, i * 10) for i in range(10)], "uid int, received int")
     got = feeds.incremental_pull(df, "uid", 3, take_n=2)
-    assert [r["uid"] for r in got.collect()] == [4, 5] and feeds.next_cursor(got, "uid", 3) == 5
-    assert feeds.next_cursor(df.filter("false"), "uid", 3) == 3
+    assert [r["uid"] for r in got.collect()] == [4, 5] and feeds.next_cursor(got, "uid", 3) == feeds.Cursor(5)
+    assert feeds.next_cursor(df.filter("false"), "uid", 3) == feeds.Cursor(3)
     assert feeds.start_cursor(df, "uid", "received", 45) == 4
     assert [r["uid"] for r in feeds.incremental_pull(df, "uid", 3, 2, descending=True).collect()] == [9, 8]
 
@@ -222,3 +222,37 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     want = compute_firings(spark.createDataFrame(rows, schema), trig)
     key = lambda df: sorted(str(tuple(r)) for r in df.select(*want.columns).collect())
     assert key(got) == key(want) and len(seen) == 3
+
+
+def test_descending_pulls_lose_nothing(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "uid int")
+    at, seen = feeds.Cursor(-1), []
+    for _ in range(5):
+        got = feeds.incremental_pull(df, "uid", at, 3, descending=True)
+        seen += [r["uid"] for r in got.collect()]
+        at = feeds.next_cursor(got, "uid", at, 3, descending=True)
+    assert seen == list(range(9, -1, -1)) and at == feeds.Cursor(9)
+    more = spark.createDataFrame([(i,) for i in range(13)], "uid int")
+    assert [r["uid"] for r in feeds.incremental_pull(more, "uid", at, 3, descending=True).collect()] == [12, 11, 10]
+
+
+def test_a_missing_mount_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)no such file|not exist"):
+        Fs.walk_files(spark, str(tmp_path / "gone"))
+
+
+def test_empty_files_are_documents_read_or_not(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("")
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "c").write_text("y")
+    for text in (False, True):
+        got = Fs.mount_files(spark, {"m": str(tmp_path)}, text=text)
+        assert sorted(r["id"] for r in got.collect()) == ["/m/a.txt", "/m/b.txt"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ('#:app{:a 1 :b/c 2 :_/d 3}', {"app/a": 1, "b/c": 2, "d": 3}), (r'"caf\u00e9 \n"', "café \n"), (r"[\u0041 \b \newline]", ["A", "b", "\n"]),
+    ("{:x ##NaN :y ##-Inf}", {"x": "##NaN", "y": "##-Inf"}), ('[#"a\\d" 1/2]', ['#"a\\d"', "1/2"]), ("#inst \"2024\"", "2024")])
+def test_edn_forms(text, want):
+    assert edn.parse(text) == want

@@ -135,12 +135,33 @@ def test_median(spark, hot):
     assert got == {k: statistics.median(v for q, v in rows if q == k) for k in "abc"}
 
 
-def test_nest_pages(spark):
-    rows = [("hot", i) for i in range(95)] + [("cold", i) for i in range(5)]
-    out = Pl.nest(spark.createDataFrame(rows, "k string, c long"), ["k"], F.col("c"), F.col("c"), "cs", page_rows=10).collect()
-    assert all(len(r["cs"]) <= 10 for r in out)
-    assert sorted(c for r in out if r["k"] == "hot" for c in r["cs"]) == list(range(95))
-    assert [r["cs"] for r in out if r["k"] == "cold"] == [[0, 1, 2, 3, 4]]
+@pytest.mark.parametrize("hot", [10, 1000])
+def test_numbered_items_have_one_shape_at_every_size(spark, hot):
+    rows = [("hot", 2 * i) for i in range(95)] + [("cold", i) for i in range(5)] + [(None, i) for i in range(20)]
+    out = Pl.numbered(spark.createDataFrame(rows, "k string, c long"), ["k"], ["c"], F.floor(F.col("c") / 7), hot_rows=hot).collect()
+    want = {(k, p, c) for key in ("hot", "cold", None) for p, (k, c) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]), 1)}
+    assert {(r["k"], r["pos"], r["c"]) for r in out} == want and len(out) == len(rows)
+
+
+def test_the_null_group_has_a_median(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 5.0)]
+    for hot in (1, 1000):
+        got = A.median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 1.0, hot).collect()
+        assert {(r["k"], r["median"]) for r in got} == {(None, 2.0), ("a", 5.0)}
+
+
+def test_updates_of_unknown_documents_fail(spark):
+    docs = spark.createDataFrame([("a", "x")], "id string, v string")
+    updates = spark.createDataFrame([("b", ["v"], "y")], "id string, keys array<string>, v string")
+    with pytest.raises(Exception, match="no document to update: b"):
+        St.upsert(docs, updates, ["v"]).collect()
+
+
+def test_as_of_reads_only_what_is_asked(spark, log):
+    slim = St.as_of(log, columns=[])
+    assert set(slim.columns) == {"id", "tx_id"}
+    plan = St.as_of(log)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 @pytest.mark.parametrize("span", [2, 1 << 20])

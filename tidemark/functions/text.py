@@ -37,6 +37,7 @@ def unix_newlines(s: Column) -> Column:
     return F.regexp_replace(s, "\r\n?", "\n")
 
 
+# The patterns of the next three functions are the grammar of tags and links.
 def hashtags(md: Column) -> Column:
     """Lower-cased ``#tags`` that hold at least one letter."""
     found = F.regexp_extract_all(md, F.lit(r"(?<=#)([\p{IsAlphabetic}\d\-_/]+)"), F.lit(1))

@@ -40,14 +40,6 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
         F.max_by(F.struct("value"), "prio").alias("v")).select("id", "key", "v.value")
 
 
-def merge_lists(pairs: DataFrame) -> DataFrame:
-    """``(key, prio, ord, value)`` → rows in concatenation order, lower priority first.
-
-    Concatenating lists is ordering their elements; the elements stay rows.
-    """
-    return pairs.select("key", F.struct("prio", "ord").alias("position"), "value")
-
-
 def merge_documents(docs: DataFrame) -> DataFrame:
     """Shallow merge of VARIANT documents ``(id, prio, doc)``: top-level keys, last source wins.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators.skew import HOT_ROWS, mark_hot
+from tidemark.operators.skew import HOT_ROWS, join_keys, mark_hot
 
 # A key has at most one version per transaction, so this bounds a bucket's rows.
 TX_SPAN = 1 << 20
@@ -64,7 +64,7 @@ def _neighbour(df, keys, order, bucket, values, hot_rows, ahead: bool) -> DataFr
     edges = edges.select(*keys, "__bucket", shift("__edge").over(across).alias("__beyond"))
     near = cut.withColumn("__near", shift(payload).over(inside))
     found = F.coalesce("__near", "__beyond")
-    return near.join(edges, [*keys, "__bucket"], "left").withColumn("__near", found).select(
+    return join_keys(near, edges, keys, "left", ["__bucket"]).withColumn("__near", found).select(
         *df.columns, *[F.col(f"__near.{o}").alias(o) for o in values])
 
 
@@ -84,7 +84,7 @@ def with_carried(
     tails = tails.select(
         *keys, "__bucket", F.last("__tail", ignorenulls=True).over(across).alias("__before"))
     near = cut.withColumn("__near", F.last(value, ignorenulls=True).over(inside))
-    return near.join(tails, [*keys, "__bucket"], "left").select(
+    return join_keys(near, tails, keys, "left", ["__bucket"]).select(
         *df.columns, F.coalesce("__near", "__before").alias(out))
 
 
@@ -102,5 +102,5 @@ def with_running_sum(
     sums = cut.filter("__hot").groupBy(*keys, "__bucket").agg(F.sum(value).alias("__s"))
     sums = sums.select(*keys, "__bucket", F.sum("__s").over(across).alias("__before"))
     near = cut.withColumn("__near", F.sum(value).over(inside))
-    return near.join(sums, [*keys, "__bucket"], "left").select(
+    return join_keys(near, sums, keys, "left", ["__bucket"]).select(
         *df.columns, (F.col("__near") + F.coalesce("__before", F.lit(0))).alias(out))

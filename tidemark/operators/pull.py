@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.values import attr
-from tidemark.operators.skew import hot_counts
+from tidemark.operators.ordered import with_running_sum
+from tidemark.operators.skew import HOT_ROWS
 
 
 def pull(docs: DataFrame, attrs: dict[str, str], id_: str = "id", doc: str = "doc") -> DataFrame:
@@ -29,27 +30,20 @@ def pull_reverse(
 ) -> DataFrame:
     """``{_ref [columns]}`` as flat rows: one per (parent, child), childless parents kept.
 
-    The flat form has no bound on children per parent; ``nest`` packs it.
+    The flat form has no bound on children per parent; ``numbered`` gives their positions.
     """
     right = children.select(F.col(ref).alias("__r"), *[F.col(s).alias(o) for o, s in columns.items()])
     return parents.join(right, parents[key] == right["__r"], "left").drop("__r")
 
 
-def nest(
-    rows: DataFrame, keys: list[str], item: Column, spread: Column, out: str, page_rows: int = 10_000
+def numbered(
+    rows: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "pos", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Pack rows into sorted lists of items per key, in pages of bounded size.
+    """Items of each key with their position, from 1, in an order that is unique within the key.
 
-    A key with more than ``page_rows`` rows is split by ``spread`` (a number that
-    is even over the key's rows, such as the child's key) into as many pages as it
-    needs, so no task ever holds all items of a hot key.
+    A list of any length has the same shape: one row per item. ``bucket`` grows with the
+    order, such as an id divided by a million; a key with more than ``hot_rows`` rows is
+    numbered bucket by bucket, so no task ever holds all items of a hot key.
     """
-    hot = hot_counts(rows, keys, page_rows)
-    if hot is None:
-        paged = rows.withColumn("page", F.lit(0).cast("bigint"))
-    else:
-        pages = F.ceil(F.col("__n") / page_rows).cast("bigint")
-        counted = rows.join(hot, keys, "left")
-        paged = counted.withColumn(
-            "page", F.pmod(spread.cast("bigint"), F.coalesce(pages, F.lit(1).cast("bigint"))))
-    return paged.groupBy(*keys, "page").agg(F.sort_array(F.collect_list(item)).alias(out))
+    one = rows.withColumn("__one", F.lit(1).cast("bigint"))
+    return with_running_sum(one, keys, order, bucket, "__one", out, hot_rows).drop("__one")

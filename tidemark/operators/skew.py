@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 # More rows than this and a key is not left to one task.
@@ -12,6 +14,16 @@ BROADCAST_KEYS = 10_000
 BROADCAST_ROWS = 200_000
 
 
+def join_keys(
+    df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", exact: list[str] = ()
+) -> DataFrame:
+    """Join on ``keys``, where null equals null, and on ``exact``, where it does not; no key comes twice."""
+    right = other.select(*[F.col(k).alias(f"__on_{k}") for k in [*keys, *exact]],
+                         *[c for c in other.columns if c not in (*keys, *exact)])
+    on = [df[k].eqNullSafe(right[f"__on_{k}"]) for k in keys] + [df[k] == right[f"__on_{k}"] for k in exact]
+    return df.join(right, reduce(lambda a, b: a & b, on), how).drop(*[f"__on_{k}" for k in [*keys, *exact]])
+
+
 def hot_counts(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """``keys`` and ``__n`` of the keys with more than ``hot_rows`` rows; None when there are none.
 
@@ -34,7 +46,7 @@ def mark_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     if hot is None:
         return None
     marks = hot.select(*keys, F.lit(True).alias("__is"))
-    return df.join(marks, keys, "left").withColumn(
+    return join_keys(df, marks, keys, "left").withColumn(
         "__hot", F.coalesce("__is", F.lit(False))).drop("__is")
 
 

@@ -18,25 +18,31 @@ def payload_columns(log: DataFrame) -> list[str]:
     return [c for c in log.columns if c not in _LOG_COLUMNS]
 
 
-def log_from(log: DataFrame, tx_id: int) -> DataFrame:
+def log_from(log: DataFrame, tx_id: int | Column) -> DataFrame:
     """The log from a transaction on."""
     return log.filter(F.col("tx_id") >= tx_id)
 
 
-def as_of(log: DataFrame, tx_id: int | None = None, time: Column | None = None) -> DataFrame:
+def as_of(
+    log: DataFrame, tx_id: int | None = None, time: Column | None = None, columns: list[str] | None = None
+) -> DataFrame:
     """Live documents as of a transaction or a time (the newest state without either).
 
-    The newest version per id comes from ``max_by``, which is combined on the map
-    side: only one row per id and task is shuffled, however long a history is.
+    The newest version per id is found on the key columns alone, by a hash aggregate
+    that is combined on the map side; a semi-join brings back the payload of just these
+    versions. Only ``columns`` of the payload are read, all of it without.
     """
     if tx_id is not None:
         log = log.filter(F.col("tx_id") <= tx_id)
     if time is not None:
         log = log.filter(F.col("tx_time") <= time)
-    rest = [c for c in log.columns if c not in ("id", "tx_id", "valid_time")]
-    newest = log.groupBy("id").agg(
-        F.max("tx_id").alias("tx_id"), F.max_by(F.struct(*rest), "tx_id").alias("v"))
-    return newest.select("id", "tx_id", "v.*").filter(F.col("op") == "put").drop("op")
+    rest = [c for c in log.columns if c not in ("id", "tx_id", "op", "valid_time")]
+    if columns is not None:
+        rest = [c for c in rest if c in columns]
+    newest = log.groupBy("id").agg(F.max("tx_id").alias("tx_id"))
+    # what a delete ends needs no payload, so it is dropped before the join
+    live = log.filter(F.col("op") == "put").select("id", "tx_id", *rest)
+    return live.join(newest, ["id", "tx_id"], "left_semi")
 
 
 def entity(log: DataFrame, id_: str) -> DataFrame:
@@ -140,11 +146,14 @@ def append_ops(ops: DataFrame, path: str, tx_id: int, tx_time: Column) -> None:
 def upsert(docs: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
     """Shallow merge of updates into documents; returns the new put rows.
 
+    An update of an id that no document has is an error.
     An update holds ``id``, any of ``columns``, and ``keys``: the names it sets. A
     named key wins even when its value is null.
     """
     u = updates.select("id", "keys", *[F.col(c).alias(f"__{c}") for c in columns if c in updates.columns])
-    merged = docs.join(u, "id")
+    merged = u.join(docs.withColumn("__known", F.lit(True)), "id", "left").filter(
+        F.when(F.col("__known"), True).otherwise(
+            F.raise_error(F.concat(F.lit("no document to update: "), F.coalesce("id", F.lit("null")))).cast("boolean")))
     return merged.select(
         "id",
         *[c for c in docs.columns if c != "id" and c not in columns],

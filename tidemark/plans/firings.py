@@ -112,13 +112,14 @@ def trig_frequencies(spark, sf):
     return Tr.frequencies(all_firings(spark, sf))
 
 
-@query(f"""WITH {_BASE}, runs AS (SELECT DISTINCT day(ts) AS tx_id FROM events)
+@query(f"""WITH {_BASE}, runs AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS tx_id FROM events)
 SELECT tx_id, CASE on_k WHEN 'startup' THEN 6 ELSE 10 END AS rank, {_NULL} AS op_seq, on_k, self_id, idx,
   'tide.on/' || on_k AS on_path, self_id AS target_id
 FROM runs, trig WHERE on_k IN ('startup', 'shutdown')""")
 def lifecycle_firings(spark, sf):
     trig = I.triggers(spark, sf)
-    runs = I.table(spark, sf, "events").select(F.dayofmonth("ts").cast("bigint").alias("tx_id")).distinct()
+    runs = I.table(spark, sf, "events").select(
+        F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("tx_id")).distinct()
     return Tr.fire_lifecycle(runs, trig, "startup").unionByName(Tr.fire_lifecycle(runs, trig, "shutdown"))
 
 

@@ -187,7 +187,8 @@ def export_markdown(spark, sf):
         F.floor("o_totalprice"))
 
 
-_SCANNED = ["events", "documents", "orders", "customer", "pages"]
+_SCANNED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+            "pages", "benchmark", "labels", "conversations"]
 
 
 @query(" UNION ALL ".join(

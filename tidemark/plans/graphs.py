@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P, text as X
 from tidemark.operators import explode as Ex, graph as G, pull as Pl
+from tidemark.operators.ordered import tx_bucket
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import register
 from tidemark.sources import files as Fs, markdown as Md
@@ -23,15 +24,14 @@ def refs_closure(spark, sf):
     return G.reverse_closure(seeds, edges)
 
 
-@query(f"""WITH {I.REFS} SELECT src, count(DISTINCT dst) AS n_refs,
-  string_agg(DISTINCT dst, ',' ORDER BY dst) AS dsts FROM refs GROUP BY src""")
+@query(f"""WITH {I.REFS} SELECT src, count(*) OVER (PARTITION BY src) AS n_refs,
+  row_number() OVER (PARTITION BY src ORDER BY dst) AS pos, dst FROM (SELECT DISTINCT src, dst FROM refs)""")
 def collect_refs(spark, sf):
     # both kinds of link in one set, nothing collapsed twice
     distinct = I.refs(spark, sf).filter(F.col("dst").isNotNull()).distinct()
-    lists = Pl.nest(distinct, ["src"], F.col("dst"), F.col("dst"), "dsts")
-    return lists.select(
-        "src", F.size("dsts").cast("bigint").alias("n_refs"),
-        F.array_join(F.transform("dsts", lambda d: d.cast("string")), ",").alias("dsts"))
+    items = Pl.numbered(distinct, ["src"], ["dst"], tx_bucket(F.col("dst")))
+    counts = distinct.groupBy("src").agg(F.count("*").alias("n_refs"))
+    return items.join(counts, "src").select("src", "n_refs", "pos", "dst")
 
 
 @query(f"""WITH RECURSIVE {I.PATHS}, up(id, folder, depth) AS (
@@ -68,9 +68,15 @@ def link_resolve(spark, sf):
 
 @query("""WITH d AS (
   SELECT '/orders/' || o_orderkey AS source, o_orderkey, o_orderstatus, c_custkey, c_name, n_name, n_regionkey
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
-SELECT source, source || '.explode/root.edn' AS id,
-  '{"customer":"' || source || '.explode/customer.edn","key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS doc FROM d
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT '/orders/' || l_orderkey AS source, l_partkey, l_linenumber,
+        '/orders/' || l_orderkey || '.explode/lines.' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) || '.edn' AS id
+      FROM lineitem),
+ls AS (SELECT source, string_agg('"' || id || '"', ',' ORDER BY l_linenumber, l_partkey) AS lines FROM l GROUP BY 1)
+SELECT source, id, '{"number":' || l_linenumber || ',"part":' || l_partkey || '}' AS doc FROM l JOIN d USING (source)
+UNION ALL SELECT source, source || '.explode/root.edn' AS id,
+  '{"customer":"' || source || '.explode/customer.edn","key":' || o_orderkey || ',"lines":[' || coalesce(lines, '') || '],"status":"' || o_orderstatus || '"}' AS doc
+  FROM d LEFT JOIN ls USING (source)
 UNION ALL SELECT source, source || '.explode/customer.edn',
   '{"id":' || c_custkey || ',"name":"' || c_name || '","nation":"' || source || '.explode/customer.nation.edn"}' FROM d
 UNION ALL SELECT source, source || '.explode/customer.nation.edn',
@@ -80,11 +86,17 @@ def doc_explode(spark, sf):
         "n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).alias("nation"))
     c = I.spread(I.table(spark, sf, "customer"), "c_custkey").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "nation").alias("customer"))
-    o = I.table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    # an order has a handful of lines, in one list
+    lines = I.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("part")))).alias("lines"))
+    o = I.table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(
+        lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    none = F.array().cast("array<struct<number:bigint,part:bigint>>")
     nested = o.select(
         F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")).alias("id"),
         F.to_variant_object(F.struct(
-            F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "customer")).alias("doc"))
+            F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), "customer",
+            F.coalesce(F.col("lines").cast("array<struct<number:bigint,part:bigint>>"), none).alias("lines"))).alias("doc"))
     return Ex.explode_nested(nested).withColumn("doc", F.to_json("doc"))
 
 

@@ -73,8 +73,8 @@ def tx_ops_normalise(spark, sf):
 
 def _snapshots(spark, sf):
     t = I.tx(spark, sf).select("tx_id", "tx_time", "op", "id")
-    seen = St.as_of(t).select("id", F.col("tx_time").alias("modified"))
-    stored = St.as_of(t, time=I.ntz(I.HALF)).select("id", F.col("tx_time").alias("modified"))
+    seen = St.as_of(t, columns=["tx_time"]).select("id", F.col("tx_time").alias("modified"))
+    stored = St.as_of(t, time=I.ntz(I.HALF), columns=["tx_time"]).select("id", F.col("tx_time").alias("modified"))
     return seen, stored
 
 
@@ -109,7 +109,7 @@ SELECT tx_id, op, id FROM late WHERE op = 'put'
 UNION ALL SELECT tx_id, op, known.id FROM late LEFT JOIN known ON md5(late.id) = id_hash WHERE op = 'delete'""")
 def tx_log_from(spark, sf):
     t = I.tx(spark, sf).select("tx_id", "tx_time", "op", "id")
-    start = t.filter(F.col("tx_time") >= I.ntz(I.HALF)).agg(F.min("tx_id")).first()[0]
+    start = t.filter(F.col("tx_time") >= I.ntz(I.HALF)).agg(F.min("tx_id")).scalar()
     late = St.log_from(t, start)
     deletes = late.filter(F.col("op") == "delete").select("tx_id", "op", F.md5("id").alias("id_hash"))
     named = St.resolve_deletes(deletes, t, F.md5("id")).select("tx_id", "op", "id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 EPOCH = "2024-01-01 00:00:00"
 HALF = "2024-01-15 00:00:00"
 UNTIL = "2024-01-31 00:00:00"
-FROM_HEAD = "From MAILER-DAEMON Fri Jul  8 12:08:34 2011"
+FROM_HEAD = "From archive@example.com Mon Feb  5 09:30:00 2024"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import aggregate as A, match as M, pull as Pl, search as S
+from tidemark.operators.ordered import tx_bucket
+from tidemark.operators.skew import join_keys
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import register
 
@@ -97,16 +99,14 @@ def pull_reverse(spark, sf):
         "n_name", "customer", "segment")
 
 
-@query("""WITH counts AS (SELECT c_nationkey, CASE WHEN count(*) > 50 THEN CAST(ceil(count(*) / 50.0) AS BIGINT) ELSE 1 END AS pages
-  FROM customer GROUP BY 1)
-SELECT n_name, CAST(c_custkey % pages AS BIGINT) AS page, string_agg(c_name, ',' ORDER BY c_name) AS customers
-FROM customer JOIN counts USING (c_nationkey) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+@query("""SELECT n_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, c_name AS customer
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def pull_reverse_nested(spark, sf):
     n = I.table(spark, sf, "nation").select("n_nationkey", "n_name")
     c = I.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    lists = Pl.nest(c, ["c_nationkey"], F.col("c_name"), F.col("c_custkey"), "customers", page_rows=50)
-    named = lists.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return named.select("n_name", "page", F.array_join("customers", ",").alias("customers"))
+    items = Pl.numbered(c, ["c_nationkey"], ["c_custkey"], tx_bucket(F.col("c_custkey")), hot_rows=200)
+    named = items.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("n_name", "pos", F.col("c_name").alias("customer"))
 
 
 @query(f"""WITH {I.DOCS} SELECT id FROM docs WHERE lang = 'fr' UNION SELECT id FROM docs WHERE toxic = 1
@@ -139,7 +139,7 @@ def datalog_aggregates(spark, sf):
         F.round(F.var_pop("value"), 4).alias("variance"), F.round(F.stddev_pop("value"), 4).alias("deviation"))
     ids = A.count_distinct(t, ["type"], "id", "n_ids")
     mid = A.median(t, ["type"], "value", width=1.0).withColumn("mid", F.round("median", 4)).drop("median")
-    return basic.join(ids, "type").join(mid, "type")
+    return join_keys(join_keys(basic, ids, ["type"], "left"), mid, ["type"], "left")
 
 
 @query(f"""WITH {I.TX} SELECT type, date_trunc('day', tx_time)::DATE::VARCHAR AS day,

@@ -16,15 +16,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _TOKEN = re.compile(
     r"""[\s,]*(?:;[^\n]*[\s,]*)*
-        (?P<t>\#\{|\#_|\#[A-Za-z][\w./-]*|[\[\](){}]|"(?:\\.|[^"\\])*"|\\(?:newline|space|tab|return|.)
+        (?P<t>\#\{|\#_|\#"(?:\\.|[^"\\])*"|\#\#-?\w+|\#:[\w.*+!?$%&=<>-]+|\#[A-Za-z][\w./-]*|[\[\](){}]|"(?:\\.|[^"\\])*"|\\(?:newline|space|tab|return|formfeed|backspace|u[0-9A-Fa-f]{4}|.)
         |[^\s,\[\](){}";]+)""",
     re.X | re.S,
 )
 _INT = re.compile(r"[+-]?\d+N?$")
 _FLOAT = re.compile(r"[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?M?$")
 # Character and string escapes.
-_CHARS = {"newline": "\n", "space": " ", "tab": "\t", "return": "\r"}
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
+_CHARS = {"newline": "\n", "space": " ", "tab": "\t", "return": "\r", "formfeed": "\f", "backspace": "\b"}
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "b": "\b", '"': '"', "\\": "\\"}
+_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|.)", re.S)
 _CLOSE = {"[": "]", "(": ")", "{": "}", "#{": "}"}
 
 
@@ -32,11 +33,23 @@ class EdnError(ValueError):
     pass
 
 
+def _character(name: str) -> str | None:
+    """What ``uXXXX`` names."""
+    return chr(int(name[1:], 16)) if len(name) == 5 and name[0] == "u" else None
+
+
+def _in_namespace(value, namespace: str):
+    """A map whose keys without a namespace get one; ``_/`` asks for none."""
+    if not isinstance(value, dict):
+        raise EdnError("a namespace needs a map")
+    return {k[2:] if k.startswith("_/") else k if "/" in k else f"{namespace}/{k}": v for k, v in value.items()}
+
+
 def _atom(t: str):
     if t[0] == '"':
-        return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), t[1:-1], flags=re.S)
+        return _ESCAPE.sub(lambda m: _character(m[1]) or _ESCAPES.get(m[1], m[1]), t[1:-1])
     if t[0] == "\\":
-        return _CHARS.get(t[1:], t[1:])
+        return _character(t[1:]) or _CHARS.get(t[1:], t[1:])
     if t in ("nil", "true", "false"):
         return {"nil": None, "true": True, "false": False}[t]
     if _INT.match(t):
@@ -67,6 +80,12 @@ def _read(text: str, pos: int, closing: str | None = None):
                 raise EdnError(f"unexpected {t}")
             return _END, pos
         if t not in _CLOSE:
+            if t.startswith("#:"):
+                value, pos = _read(text, pos)
+                return _in_namespace(value, t[2:]), pos
+            # symbolic numbers and patterns have no JSON form: they stay as printed
+            if t.startswith(("##", '#"')):
+                return t, pos
             if t[0] == "#" and len(t) > 1:
                 return _read(text, pos)
             return _atom(t), pos

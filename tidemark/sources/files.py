@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,17 +21,20 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return scan.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+# About what one task reads.
+READ_BYTES = 64 << 20
+
 _LISTED = "path string, is_dir boolean, modified_us long, length long"
 
 
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_folders(batches: Iterator[pd.DataFrame], must_exist: bool) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
     for batch in batches:
         for folder in batch["path"]:
             store, plain = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
             scheme = folder[: len(folder) - len(plain)]
-            found = store.get_file_info(pafs.FileSelector(plain, allow_not_found=True))
+            found = store.get_file_info(pafs.FileSelector(plain, allow_not_found=not must_exist))
             for at in range(0, len(found), 10_000):
                 yield pd.DataFrame(
                     [(scheme + f.path, f.type == pafs.FileType.Directory,
@@ -56,40 +60,52 @@ def _read_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_paths(files: DataFrame) -> DataFrame:
-    """``(id, path, text)`` of listed files ``(id, path)``: only these are opened, by the tasks."""
-    return files.select("id", "path").mapInPandas(_read_paths, "id string, path string, text string")
+    """``(id, path, text)`` of listed files ``(id, path)``: only these are opened, by the tasks.
+
+    The number of tasks follows from the bytes to read where the listing knows them, and
+    is set explicitly: paths are tiny, so sizes of shuffled paths would put them all in one.
+    """
+    spark = files.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if "length" in files.columns:
+        n = max(n, -(-(files.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    return files.select("id", "path").repartition(n, "path").mapInPandas(_read_paths, "id string, path string, text string")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A plain path as one on the cluster's default file system, if it has one."""
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
+    if "://" in path or not default or default.startswith("file:"):
+        return path
+    return default.rstrip("/") + path
 
 
-def walk_files(spark: SparkSession, root: str) -> DataFrame:
+def walk_files(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:
     """``(path, modified, length)`` of every file below ``root``, empty ones too.
 
     File scans leave empty files out, but an empty file is a document. Folders are
-    listed by tasks, one level of the tree per round.
+    listed by tasks, one level of the tree per round; folders ``skip`` names are not
+    entered. A root that is not there is an error: an unreachable mount must not look
+    like one whose files are all gone. A folder that goes while it is walked is empty.
     """
+    root = qualified(spark, root)
     folders = spark.createDataFrame([(root.rstrip("/"),)], "path string")
-    files = None
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files, first = None, True
     while True:
-        level = cut(folders.repartition("path").mapInPandas(_list_folders, _LISTED))
+        list_folders = functools.partial(_list_folders, must_exist=first)
+        level = cut(folders.repartition(n, "path").mapInPandas(list_folders, _LISTED))
+        first = False
         here = level.filter("not is_dir").select(
             "path", F.timestamp_micros("modified_us").alias("modified"), "length")
         files = here if files is None else files.unionByName(here)
         folders = level.filter("is_dir").select("path")
+        if skip:
+            folders = folders.filter(~P.is_ignored(P.file_name(F.col("path")), skip))
         if folders.isEmpty():
             return files
 
 
-def read_text(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``(path, modified, text)``, one row per file."""
-    scan = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        .text(root, wholetext=True)
-    )
-    return scan.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("value").alias("text"))
-
-
 def relative_to(path: Column, root: str) -> Column:
     """Path below ``root``, from a file URI (percent-decoded) or a plain path."""
     plain = F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/*", "/")
@@ -108,7 +124,8 @@ def mount_files(
 ) -> DataFrame:
     """Files of every mount with ``mount, rel, id, is_sidecar``, ignored paths dropped.
 
-    With ``text`` the contents are read (of non-empty files); otherwise only listed.
+    With ``text`` the contents are read too. Which files there are does not depend on it:
+    empty files are documents.
 
     A mount is a folder or ``{"path": …, "ignore": […]}``; its own ignore list adds
     to the global one.
@@ -118,7 +135,7 @@ def mount_files(
         spec = {"path": spec} if isinstance(spec, str) else spec
         root = spec["path"]
         names = P.ignore_list(ignore, list(extra_ignore or []) + list(spec.get("ignore", [])))
-        scan = read_text(spark, root) if text else walk_files(spark, root)
+        scan = walk_files(spark, root, names)
         rel = relative_to(F.col("path"), root)
         part = (
             scan.withColumn("mount", F.lit(name)).withColumn("rel", rel)
@@ -127,6 +144,10 @@ def mount_files(
             .withColumn("is_sidecar", P.is_sidecar(F.col("rel")))
         )
         out = part if out is None else out.unionByName(part)
+    if text:
+        out = cut(out)
+        read = read_paths(out).select(F.col("path").alias("__path"), "text")
+        out = out.join(read, F.col("path") == F.col("__path")).drop("__path", "length")
     return out
 
 

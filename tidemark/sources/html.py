@@ -18,11 +18,6 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
 
 
-def leaf_nodes(html: Column, tag: str) -> Column:
-    """Inner text of elements without child elements of the same tag."""
-    return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
-
-
 class _Collector(HTMLParser):
     """Text of the elements a ``tag.class#id`` path of ancestors selects."""
 

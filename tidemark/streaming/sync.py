@@ -46,7 +46,7 @@ def sync_folders(
     listing = cut(Fs.mount_files(spark, mounts, config.get("ignore"), config.get("extra_ignore")))
     seen = Fs.latest_modified(listing)
     earlier = read_log(spark, log_path).filter(F.col("tx_id") < tx_id)
-    stored = St.as_of(earlier).select("id", "modified")
+    stored = St.as_of(earlier, columns=["modified"]).select("id", "modified")
     ops = St.sync_ops(seen, stored)
     if force is not None:
         again = seen.filter(P.matches_glob(F.col("id"), force)).select(

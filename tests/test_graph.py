@@ -41,7 +41,7 @@ def test_random_closure(spark, seed, hops):
     rnd = random.Random(seed)
     edges = [(rnd.randrange(25), rnd.randrange(25)) for _ in range(30)]
     seeds = rnd.sample(range(25), 6)
-    assert run_closure(spark, seeds, edges, hops_per_round=hops, compact_every=2) == closure_model(seeds, edges)
+    assert run_closure(spark, seeds, edges, doublings=hops, compact_every=2) == closure_model(seeds, edges)
 
 
 def test_long_chain_and_hub(spark):

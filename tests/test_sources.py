@@ -256,3 +256,10 @@ def test_empty_files_are_documents_read_or_not(spark, tmp_path):
     ("{:x ##NaN :y ##-Inf}", {"x": "##NaN", "y": "##-Inf"}), ('[#"a\\d" 1/2]', ['#"a\\d"', "1/2"]), ("#inst \"2024\"", "2024")])
 def test_edn_forms(text, want):
     assert edn.parse(text) == want
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("=?UTF-8?B?SMOpbGxv?=", "Héllo"), ("Re: =?utf-8?Q?caf=C3=A9_x?= y", "Re: café x y"), ("=?iso-8859-1?q?caf=E9?=", "café"),
+    ("=?UTF-8?B?SMOp?= =?UTF-8?B?bGxv?=", "Héllo"), ("a =? b", "a =? b"), ("=?x-none?B?QQ==?=", "=?x-none?B?QQ==?="), ("=?UTF-8?B?/w==?=", "=?UTF-8?B?/w==?=")])
+def test_encoded_words(value, raw, want):
+    assert value(Ml.decoded_words, s=raw) == want

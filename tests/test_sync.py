@@ -36,7 +36,8 @@ def test_lifecycle(spark, tmp_path):
     write("notes/a.md", "---\nx: 1\n---\n[[b]]")
     write("notes/b.md", "")
     ops, docs = sync()
-    assert set(ops) == {"/test/file.txt", "/test/notes/a.md", "/test/notes/b.md"}
+    assert set(ops) == {"/test/file.txt", "/test/notes", "/test/notes/a.md", "/test/notes/b.md"}
+    assert docs["/test/notes"][::2] == ("/test", None)
     assert docs["/test/file.txt"][2] == {"foo": "bar"}
     assert docs["/test/notes/a.md"][::2] == ("/test/notes", {"x": 1, "tide/refs": ["/test/notes/b.md"]})
     assert sync()[0] == {}

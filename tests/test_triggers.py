@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,28 @@ def test_cron(spark, cron, n, first):
     df = spark.createDataFrame([(us(2024, 1, 1), us(2024, 1, 4), cron)], "start long, end long, cron string")
     at = sorted(r["at"] for r in Sc.expand_cron(df).collect())
     assert len(at) == n and (at[0] if at else None) == first
+
+
+def test_triggers_of_documents_in_a_log(spark):
+    """Specs of every version, live until the next put or delete of their document."""
+    rows = [
+        (1, "put", "a", '{"tide.on/modify": {"call": "x", "p": 1}, "tide.on/pattern": [{"glob": "/m/*"}, "f"]}'), (2, "put", "b", '{"q": 1}'),
+        (3, "put", "a", '{"tide.on/query": {"q": "all"}, "tide.on/tx": [":sh", "echo"]}'), (5, "delete", "a", None), (6, "put", "b", '{"tide.on/startup": null}')]
+    log = spark.createDataFrame(rows, "tx_id long, op string, id string, j string").withColumn("doc", F.try_parse_json("j")).drop("j")
+    got = {(r["self_id"], r["on_k"], r["idx"], r["is_vector"], r["glob"], r["spec"], r["has_call"], r["from_tx"], r["to_tx"])
+           for r in Tr.triggers_of(log).collect()}
+    assert got == {
+        ("a", "modify", 0, False, None, '{"call":"x","p":1}', True, 1, 3), ("a", "pattern", 0, True, "/m/*", '{"glob":"/m/*"}', False, 1, 3),
+        ("a", "pattern", 1, True, None, '"f"', True, 1, 3), ("a", "query", 0, False, None, '{"q":"all"}', False, 3, 5),
+        ("a", "tx", 0, True, None, '[":sh","echo"]', True, 3, 5)}
+
+
+def test_firings_say_what_to_call(spark):
+    rows = [(1, "put", "a", '{"tide.on/schedule": {"every": 5, "call": "t"}, "tide.on/query": {"q": "all", "call": "c"}}'), (4, "put", "a", "{}")]
+    log = spark.createDataFrame(rows, "tx_id long, op string, id string, j string").withColumn("doc", F.try_parse_json("j")).withColumn(
+        "op_seq", F.lit(0).cast("long"))
+    ticks = spark.createDataFrame([("a", 0, 1, 77), ("a", 0, 4, 88)], "self_id string, idx int, tx_id long, ts long")
+    changes = spark.createDataFrame([(2, "a", 0, "h")], "tx_id long, self_id string, idx int, results_hash string")
+    got = Tr.compute_firings(log.select("tx_id", "op_seq", "op", "id"), Tr.triggers_of(log), query_changes=changes, ticks=ticks)
+    assert [(r["tx_id"], r["rank"], r["on_k"], json.loads(r["spec"])["call"], r["results_hash"], r["ts"]) for r in Tr.in_order(got).collect()] == [
+        (1, 9, "schedule", "t", None, 77), (2, 7, "query", "c", "h", None)]

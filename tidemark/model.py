@@ -35,6 +35,9 @@ FIRING_COLUMNS = [
     "tx_id", "rank", "op_seq", "on_k", "self_id", "idx", "on_path", "target_id",
 ]
 
+# What else a firing may know: the call with its parameters, the hash of a query's results, the tick.
+FIRING_DETAILS = ["spec", "results_hash", "ts"]
+
 TX_LOG_SCHEMA = T.StructType([
     T.StructField("tx_id", T.LongType(), False),
     T.StructField("tx_time", T.TimestampType(), False),

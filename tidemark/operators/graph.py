@@ -9,48 +9,53 @@ from tidemark.operators.skew import BROADCAST_ROWS, is_small
 from tidemark.session import cut
 
 
+def _jumps(edges: DataFrame, doublings: int, growth: int) -> DataFrame:
+    """``(node, next)`` over one edge, and over up to 2, 4, … edges as long as that stays within ``growth`` times the edges."""
+    # a node most edges point to must remain splittable when a join shuffles them, so they stay unpartitioned
+    step = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
+    most = growth * step.count()
+    for _ in range(doublings):
+        further = step.join(step.select(F.col("node").alias("next"), F.col("next").alias("last")), "next")
+        longer = cut(step.unionByName(further.select("node", F.col("last").alias("next"))).distinct())
+        if longer.count() > most:
+            break
+        step = longer
+    return step
+
+
 def reverse_closure(
-    seeds: DataFrame, edges: DataFrame, hops_per_round: int = 3, compact_every: int = 8
+    seeds: DataFrame, edges: DataFrame, doublings: int = 3, growth: int = 16, compact_every: int = 8
 ) -> DataFrame:
     """``(seed, node)`` for every node that reaches the seed over one edge or more.
 
     ``seeds(seed)`` and ``edges(src, dst)``; a seed is in its own closure only when
-    it lies on a cycle. Semi-naïve: each round joins only the pairs found last. A
-    few hops are taken per round, since a round costs a job; each round's new
-    pairs go to the shared checkpoint folder, and what was visited is the union of
-    those parts.
+    it lies on a cycle. Semi-naïve: each round joins only the pairs found last, with
+    edges that span several hops where those are not many more than the edges, since a
+    round costs a job. Each round's new pairs go to the shared checkpoint folder, and
+    what was visited is the union of those parts.
     """
-    # every hop reads the edges, so they are made once; they stay unpartitioned, for a
-    # node most edges point to must remain splittable when a join shuffles them
-    step = cut(edges.select(F.col("src").alias("next"), F.col("dst").alias("node")).distinct())
-
-    def hop(pairs: DataFrame) -> DataFrame:
-        return pairs.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
-
+    step = _jumps(edges, doublings, growth)
     frontier = seeds.distinct().select("seed", F.col("seed").alias("node"))
     visited: DataFrame | None = None
     rounds = 0
     while True:
-        reached, last = None, frontier
-        for level in range(1, hops_per_round + 1):
-            last = hop(last)
-            tagged = last.withColumn("level", F.lit(level))
-            reached = tagged if reached is None else reached.unionByName(tagged)
-        new = reached.groupBy("seed", "node").agg(F.min("level").alias("level"))
+        new = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
         if visited is not None:
             new = new.join(visited, ["seed", "node"], "left_anti")
-        new = cut(new)
-        pairs = new.select("seed", "node")
-        visited = pairs if visited is None else visited.unionByName(pairs)
-        # nodes found before the last hop had their neighbours looked at already
-        frontier = new.filter(F.col("level") == hops_per_round).select("seed", "node")
+        frontier = cut(new)
         if frontier.isEmpty():
-            return visited
+            return frontier if visited is None else visited
+        visited = frontier if visited is None else visited.unionByName(frontier)
         rounds += 1
         if rounds % compact_every == 0:
             visited = cut(visited)
 
 
+def forward_closure(seeds: DataFrame, edges: DataFrame, **options) -> DataFrame:
+    """``(seed, node)`` for every node the seed reaches over one edge or more: work grows with the seeds, not the graph."""
+    return reverse_closure(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), **options)
+
+
 def descendants(folders: DataFrame, docs: DataFrame, folder: str = "folder", id_: str = "id") -> DataFrame:
     """``(folder, id, depth)`` of everything below each folder.
 

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.paths import ancestors, glob_folder, glob_parts, matches_parts
 from tidemark.functions.text import out_name
 from tidemark.functions.values import call_specs
-from tidemark.model import FIRING_COLUMNS, NAMESPACE, TRIGGER_RANK
+from tidemark.model import FIRING_COLUMNS, FIRING_DETAILS, NAMESPACE, TRIGGER_RANK, trigger_attr
+from tidemark.operators.ordered import TX_SPAN, tx_bucket, with_next
+from tidemark.operators.skew import is_small
 
-# Copies of a trigger row when every transaction fires it; also how many tasks
-# the transactions are spread over.
-FAN_OUT = 64
+# Up to this many folders that globs start in are listed in the plan.
+LISTED_FOLDERS = 500
 
 
 def expand_specs(docs: DataFrame, kind: str, specs: Column, keep: list[str] = ()) -> DataFrame:
@@ -35,6 +36,33 @@ def expand_specs(docs: DataFrame, kind: str, specs: Column, keep: list[str] = ()
         "glob", F.try_variant_get("spec", "$.glob", "string"))
 
 
+def triggers_of(log: DataFrame, namespace: str = NAMESPACE, span: int = TX_SPAN) -> DataFrame:
+    """The triggers that documents of a log carry, each with the transactions its version lived in.
+
+    ``log`` has ``tx_id, op, id, doc`` (VARIANT). A spec is live from its own transaction
+    (``from_tx``) until the next put or delete of its document (``to_tx``, null while it is
+    current). ``spec`` is the call as it is written, parameters included; ``has_call`` says
+    whether there is one (a query trigger without a call only stores its results).
+    Intervals come from the key columns alone; documents without triggers go no further than the scan.
+    """
+    kinds = [k for k in TRIGGER_RANK if k != "saved_query"]
+    values = F.array(*[F.struct(
+        F.lit(k).alias("on_k"), F.try_variant_get("doc", f"$['{trigger_attr(k, namespace)}']", "variant").alias("value")) for k in kinds])
+    carried = log.filter(F.col("op") == "put").select("id", "tx_id", F.explode(values).alias("t")).filter(
+        F.col("t.value").isNotNull() & ~F.is_variant_null("t.value"))
+    specs = carried.select(
+        F.col("id").alias("self_id"), F.col("tx_id").alias("from_tx"), "t.on_k",
+        F.schema_of_variant("t.value").startswith("ARRAY").alias("is_vector"),
+        F.posexplode(call_specs(F.col("t.value"))).alias("idx", "s"))
+    times = with_next(log.select("id", "tx_id"), ["id"], ["tx_id"], tx_bucket(F.col("tx_id"), span), {"to_tx": "tx_id"})
+    times = times.select(F.col("id").alias("self_id"), F.col("tx_id").alias("from_tx"), "to_tx")
+    is_map = F.schema_of_variant("s").startswith("OBJECT")
+    return specs.join(times, ["self_id", "from_tx"]).select(
+        "self_id", "on_k", "idx", "is_vector", F.try_variant_get("s", "$.glob", "string").alias("glob"),
+        F.to_json("s").alias("spec"), (~is_map | F.try_variant_get("s", "$.call", "variant").isNotNull()).alias("has_call"),
+        "from_tx", "to_tx")
+
+
 def on_path(on_k: Column, idx: Column, is_vector: Column, namespace: str = NAMESPACE) -> Column:
     key = F.concat(F.lit(f"{namespace}.on/"), on_k)
     return F.when(is_vector, F.concat(key, F.lit("/"), idx.cast("string"))).otherwise(key)
@@ -70,9 +98,15 @@ def _firings(df: DataFrame, kind: str, target: Column, namespace: str) -> DataFr
         F.col("idx").cast("int").alias("idx"),
         on_path(F.lit(kind), F.col("idx"), F.col("is_vector"), namespace).alias("on_path"),
         target.cast("string").alias("target_id"),
+        *_details(df),
     )
 
 
+def _details(df: DataFrame) -> list[Column]:
+    """What the caller needs to make the call, as far as the inputs say it."""
+    return [F.col(c) for c in FIRING_DETAILS if c in df.columns]
+
+
 def _puts(ops: DataFrame) -> DataFrame:
     return ops.filter(F.col("op") == "put").select("tx_id", "op_seq", "id")
 
@@ -86,7 +120,7 @@ def fire_self(ops: DataFrame, triggers: DataFrame, *kinds: str, namespace: str =
         "tx_id", rank[F.col("on_k")].alias("rank"), "op_seq", "on_k", "self_id",
         F.col("idx").cast("int").alias("idx"),
         on_path(F.col("on_k"), F.col("idx"), F.col("is_vector"), namespace).alias("on_path"),
-        F.col("id").alias("target_id"))
+        F.col("id").alias("target_id"), *_details(hit))
 
 
 def fire_refs(
@@ -110,7 +144,13 @@ def match_globs(ids: DataFrame, globs: DataFrame, id_: str = "id", glob: str = "
     """
     g = globs.withColumn("__folder", glob_folder(F.col(glob))).withColumn(
         "__glob", glob_parts(F.col(glob)))
-    i = ids.withColumn("__folder", F.explode(ancestors(F.col(id_))))
+    folders = ancestors(F.col(id_))
+    starts = g.select("__folder").distinct().limit(LISTED_FOLDERS + 1).collect()
+    if len(starts) <= LISTED_FOLDERS:
+        # few folders that globs start in: an id only keeps those of its own that are among them
+        listed = F.array(*[F.lit(r[0]) for r in starts]).cast("array<string>")
+        folders = F.array_intersect(folders, listed)
+    i = ids.withColumn("__folder", F.explode(folders))
     return i.join(g, "__folder").filter(
         matches_parts(F.col(id_), F.col("__glob"))).drop("__folder", "__glob")
 
@@ -122,12 +162,17 @@ def fire_pattern(ops: DataFrame, triggers: DataFrame, namespace: str = NAMESPACE
     return _firings(_live(hit), "pattern", F.when(F.col("op") == "put", F.col("id")), namespace)
 
 
-def each_with_all(left: DataFrame, spread: Column, right: DataFrame, copies: int = FAN_OUT) -> DataFrame:
-    """Pair each left row with every right row, spread over ``copies`` join keys.
+def each_with_all(left: DataFrame, spread: Column, right: DataFrame, copies: int | None = None) -> DataFrame:
+    """Pair each left row with every right row: what must fire per transaction.
 
-    For what must fire per transaction: the right side (trigger documents) is
-    repeated per key, the left side is hashed onto the keys.
+    A right side (trigger documents) that was counted and is small goes to the left rows,
+    which are not moved. A larger one is repeated per join key, and the left side is
+    hashed onto the keys, of which there are as many as the session has shuffle partitions.
     """
+    if copies is None and is_small(right):
+        one = F.lit(0).alias("__key")
+        return left.select("*", one).join(F.broadcast(right.select("*", one)), "__key").drop("__key")
+    copies = copies or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     l = left.withColumn("__key", F.pmod(F.xxhash64(spread), F.lit(copies)))
     r = right.withColumn("__key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
     return l.join(r, "__key").drop("__key")
@@ -158,11 +203,19 @@ def fire_query(changes: DataFrame, triggers: DataFrame, namespace: str = NAMESPA
     t = _of_kind(triggers, "query")
     if "has_call" in t.columns:
         t = t.filter("has_call")
-    hit = changes.select("tx_id", "self_id", "idx").join(t, ["self_id", "idx"])
+    more = [c for c in ("results_hash",) if c in changes.columns]
+    hit = changes.select("tx_id", "self_id", "idx", *more).join(t, ["self_id", "idx"])
     return _firings(
         _live(hit).withColumn("op_seq", F.lit(None).cast("bigint")), "query", F.lit(None), namespace)
 
 
+def fire_schedule(ticks: DataFrame, triggers: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """``schedule``: one firing per tick, ``ticks(self_id, idx, tx_id, ts)``, of the version put at ``tx_id``."""
+    t = _of_kind(triggers, "schedule")
+    hit = ticks.select("self_id", "idx", "tx_id", "ts").join(t, ["self_id", "idx"])
+    return _firings(_live(hit).withColumn("op_seq", F.lit(None).cast("bigint")), "schedule", F.lit(None), namespace)
+
+
 def fire_saved_query(ops: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """Puts of saved query documents; the target is the document results go to."""
     name = F.coalesce(
@@ -197,13 +250,16 @@ def compute_firings(
     triggers: DataFrame,
     closure: DataFrame | None = None,
     query_changes: DataFrame | None = None,
+    ticks: DataFrame | None = None,
     registry: Registry | None = None,
     namespace: str = NAMESPACE,
 ) -> DataFrame:
     """All firings of a batch of transactions.
 
     One row per (transaction, operation, trigger spec), never deduplicated: two
-    changed references fire twice. ``in_order`` sorts them by closeness.
+    changed references fire twice. ``in_order`` sorts them by closeness. With triggers
+    from ``triggers_of`` a firing carries its ``spec``; query changes may bring
+    ``results_hash`` and schedule ticks ``ts``.
     """
     parts = [
         fire_saved_query(ops, namespace),
@@ -215,12 +271,15 @@ def compute_firings(
         parts.append(fire_refs(ops, triggers, closure, namespace))
     if query_changes is not None:
         parts.append(fire_query(query_changes, triggers, namespace))
+    if ticks is not None:
+        parts.append(fire_schedule(ticks, triggers, namespace))
     if registry is not None:
         parts.extend(registry.fire(ops, triggers))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(p, allowMissingColumns=True)
+    details = [c for c in FIRING_DETAILS if c in out.columns]
+    return out.select(*FIRING_COLUMNS, *details)
 
 
 def in_order(firings: DataFrame) -> DataFrame:

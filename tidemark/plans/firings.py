@@ -33,7 +33,7 @@ _PATTERN = ("SELECT " + _select(5, "pattern", target="CASE WHEN op = 'put' THEN
 _TX = (f"SELECT {_select(8, 'tx', target='NULL', op_seq=_NULL)} FROM (SELECT DISTINCT tx_id FROM ops), trig "
        "WHERE on_k = 'tx'")
 _REFS = (f"SELECT {_select(4, 'refs', target='changed.id')} FROM ops changed "
-         "JOIN docs s ON s.id = changed.id JOIN closure ON seed = s.doc_id JOIN docs d ON d.doc_id = node "
+         "JOIN docs s ON s.id = changed.id JOIN closure ON node = s.doc_id JOIN docs d ON d.doc_id = owner "
          "JOIN trig ON self_id = d.id WHERE op = 'put' AND on_k = 'refs' AND from_tx <= tx_id")
 # a one-entity query: users whose newest event is a purchase above 40
 _QUERY_CHANGES = """ends AS (
@@ -46,10 +46,9 @@ _QUERY = ("SELECT " + _select(7, "query", "'/triggers/query-0'", "NULL", _NULL,
 
 
 def _closure(spark, sf):
-    edges = I.refs(spark, sf)
-    seeds = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seed"))
-    owners = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
-    return I.doc_closure(spark, sf, G.reverse_closure(seeds, edges), owners)
+    owners = I.ref_owners(spark, sf).select(F.col("doc_id").alias("seed"))
+    reached = G.forward_closure(owners, I.refs(spark, sf)).withColumnRenamed("seed", "owner")
+    return I.doc_closure(spark, sf, reached)
 
 
 def _query_changes(spark, sf, trig):
@@ -112,6 +111,56 @@ def trig_frequencies(spark, sf):
     return Tr.frequencies(all_firings(spark, sf))
 
 
+# documents of users as their events leave them: signups carry one trigger, purchases a vector of
+# two and a glob, errors delete the document
+_LOG_SPECS = """specs AS (
+  SELECT id, tx_id, 'modify' AS on_k, 0 AS idx, false AS is_vector, CAST(NULL AS VARCHAR) AS pattern,
+         '{"call":"note","params":[' || k || ']}' AS spec FROM tx WHERE op = 'put' AND type = 'signup'
+  UNION ALL
+  SELECT id, tx_id, 'modify', i, true, NULL, CASE i WHEN 0 THEN '"first"' ELSE '{"call":"second"}' END
+  FROM tx, (VALUES (0), (1)) v(i) WHERE op = 'put' AND type = 'purchase'
+  UNION ALL
+  SELECT id, tx_id, 'pattern', 0, false, '^' || id || '[0-9]$', '{"call":"near","glob":"' || id || '?"}'
+  FROM tx WHERE op = 'put' AND type = 'purchase'),
+lives AS (SELECT specs.*, n.to_tx FROM specs JOIN (
+  SELECT id, tx_id, lead(tx_id) OVER (PARTITION BY id ORDER BY tx_id) AS to_tx FROM tx) n USING (id, tx_id))"""
+
+
+def _log_of_documents(spark, sf):
+    t = I.tx(spark, sf)
+    text = (
+        F.when(F.col("type") == "signup", F.concat(
+            F.lit('{"tide.on/modify": {"call": "note", "params": ['), F.col("k").cast("string"), F.lit("]}}")))
+        .when(F.col("type") == "purchase", F.concat(
+            F.lit('{"tide.on/modify": ["first", {"call": "second"}], "tide.on/pattern": {"call": "near", "glob": "'),
+            F.col("id"), F.lit('?"}}')))
+        .otherwise(F.lit('{"seen": true}')))
+    return t.select("tx_id", F.col("tx_id").alias("op_seq"), "op", "id", F.when(
+        F.col("op") == "put", F.parse_json(text)).alias("doc"))
+
+
+@query(f"""WITH {I.TX}, {_LOG_SPECS}
+SELECT id AS self_id, on_k, idx, is_vector, regexp_extract(spec, '"glob":"([^"]*)"', 1) AS glob, spec, tx_id AS from_tx, to_tx FROM lives""")
+def trig_of_documents(spark, sf):
+    """Triggers of all versions of the documents of a log."""
+    found = Tr.triggers_of(_log_of_documents(spark, sf))
+    return found.select("self_id", "on_k", "idx", "is_vector", F.coalesce("glob", F.lit("")).alias("glob"), "spec", "from_tx", "to_tx")
+
+
+@query(f"""WITH {I.TX}, {_LOG_SPECS}
+SELECT tx_id, 3 AS rank, tx_id AS op_seq, on_k, id AS self_id, idx,
+  'tide.on/modify' || CASE WHEN is_vector THEN '/' || idx ELSE '' END AS on_path, id AS target_id, spec FROM lives WHERE on_k = 'modify'
+UNION ALL
+SELECT c.tx_id, 5, c.tx_id, on_k, l.id, idx, 'tide.on/pattern', CASE WHEN c.op = 'put' THEN c.id END, spec
+FROM lives l JOIN tx c ON c.tx_id >= l.tx_id AND (l.to_tx IS NULL OR c.tx_id < l.to_tx) AND regexp_matches(c.id, l.pattern)
+WHERE on_k = 'pattern'""")
+def trig_firings_of_log(spark, sf):
+    """Firings of the documents of a log through their whole life: triggers change and go with their documents."""
+    log = _log_of_documents(spark, sf)
+    ops = log.select("tx_id", "op_seq", "op", "id")
+    return Tr.compute_firings(ops, Tr.triggers_of(log))
+
+
 @query(f"""WITH {_BASE}, runs AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS tx_id FROM events)
 SELECT tx_id, CASE on_k WHEN 'startup' THEN 6 ELSE 10 END AS rank, {_NULL} AS op_seq, on_k, self_id, idx,
   'tide.on/' || on_k AS on_path, self_id AS target_id

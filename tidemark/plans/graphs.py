@@ -17,11 +17,11 @@ QUERIES: dict = {}
 query = functools.partial(register, QUERIES)
 
 
-@query(f"WITH RECURSIVE {I.REFS}, {I.CLOSURE} SELECT seed, node FROM closure")
+@query(f"WITH RECURSIVE {I.REFS}, {I.CLOSURE} SELECT owner, node FROM closure")
 def refs_closure(spark, sf):
-    seeds = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seed"))
-    edges = I.refs(spark, sf)
-    return G.reverse_closure(seeds, edges)
+    """What documents with a trigger on references refer to, however far."""
+    owners = I.ref_owners(spark, sf).select(F.col("doc_id").alias("seed"))
+    return G.forward_closure(owners, I.refs(spark, sf)).select(F.col("seed").alias("owner"), "node")
 
 
 @query(f"""WITH {I.REFS} SELECT src, count(*) OVER (PARTITION BY src) AS n_refs,

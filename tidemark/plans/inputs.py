@@ -101,24 +101,28 @@ TX = """tx AS (
 
 
 def refs(spark: SparkSession, sf: str) -> DataFrame:
-    """A cyclic graph on all documents, in clusters of sixteen like threads of notes."""
+    """A graph on all documents: chains that end in cycles, and eight hubs every fifth document points to."""
     d = table(spark, sf, "documents").select("doc_id")
-    base = F.col("doc_id") - F.col("doc_id") % 16
-    at = F.col("doc_id") % 16
-    return d.select(
-        F.col("doc_id").alias("src"),
-        F.explode(F.array(base + (at * 7 + 1) % 16, base + (at * at + 3) % 16)).alias("dst"))
+    n = F.col("doc_id")
+    onward = F.when(n % 16 != 15, n + 1).otherwise(n - 7)
+    return d.select(n.alias("src"), F.explode(F.when(n % 5 == 0, F.array(onward, n * 7 % 8)).otherwise(F.array(onward))).alias("dst"))
+
+
+def ref_owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a trigger on what they refer to."""
+    return table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
 
 
 REFS = """refs AS (
-  SELECT doc_id AS src, doc_id - doc_id % 16 + (doc_id % 16 * 7 + 1) % 16 AS dst FROM documents
+  SELECT doc_id AS src, CASE WHEN doc_id % 16 <> 15 THEN doc_id + 1 ELSE doc_id - 7 END AS dst FROM documents
   UNION ALL
-  SELECT doc_id AS src, doc_id - doc_id % 16 + (doc_id % 16 * (doc_id % 16) + 3) % 16 AS dst FROM documents)"""
+  SELECT doc_id AS src, doc_id * 7 % 8 AS dst FROM documents WHERE doc_id % 5 = 0)"""
 
-CLOSURE = """closure(seed, node) AS (
-  SELECT dst, src FROM refs WHERE dst IN (SELECT doc_id FROM documents)
+# what the owners of triggers refer to, over one reference or more
+CLOSURE = """closure(owner, node) AS (
+  SELECT src, dst FROM refs WHERE src IN (SELECT doc_id FROM labels WHERE toxic = 1)
   UNION
-  SELECT c.seed, r.src FROM closure c JOIN refs r ON r.dst = c.node)"""
+  SELECT c.owner, r.dst FROM closure c JOIN refs r ON r.src = c.node)"""
 
 
 # -- paths ------------------------------------------------------------------
@@ -181,11 +185,19 @@ def _message_date() -> Column:
     return minutes_after(F.col("conv_id") * 60 + F.col("turn"))
 
 
-def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as mail; CRLF line ends on odd turns, a date on all but the user's."""
+def messages(spark: SparkSession, sf: str, encoded: bool = False) -> DataFrame:
+    """Conversation turns as mail; CRLF line ends on odd turns, a date on all but the user's.
+
+    With ``encoded`` the subjects of some turns are encoded words.
+    """
     c = spread(table(spark, sf, "conversations"), "conv_id", "turn")
     other = F.when(F.col("role") == "user", "assistant").otherwise("user")
     subject = F.trim(F.substring(F.regexp_replace("text", r"[\r\n]+", " "), 1, 90))
+    if encoded:
+        data = F.encode(subject, "UTF-8")
+        quoted = F.regexp_replace(F.hex(data), "(..)", "=$1")
+        subject = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("=?UTF-8?B?"), F.regexp_replace(F.base64(data), r"\s", ""), F.lit("?="))).when(
+            F.col("turn") % 3 == 1, F.concat(F.lit("=?utf-8?q?"), quoted, F.lit("?="))).otherwise(subject)
     date = F.when(F.col("role") != "user", F.concat(
         F.lit("Date: "), F.date_format(_message_date(), "d MMM yyyy HH:mm:ss"), F.lit(" +0000\n"))).otherwise("")
     raw = F.concat(
@@ -287,10 +299,9 @@ TRIG = f"""trig AS (
 globs AS (SELECT '/triggers/pattern-' || i AS self_id, regex FROM (VALUES {_PATTERN_TABLE}) v(i, regex))"""
 
 
-def doc_closure(spark: SparkSession, sf: str, closure: DataFrame, owners: DataFrame) -> DataFrame:
-    """A closure over document numbers as one over ids, cut down to the ``owners(doc_id)`` of triggers first."""
+def doc_closure(spark: SparkSession, sf: str, closure: DataFrame) -> DataFrame:
+    """A closure (owner, node) over document numbers as (seed, node) over ids: changed document and owner."""
     named = documents(spark, sf).select("doc_id", "id")
-    a = named.select(F.col("doc_id").alias("seed"), F.col("id").alias("__seed"))
-    b = named.join(owners, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("id").alias("__node"))
-    return closure.join(b, "node").join(a, "seed").select(
-        F.col("__seed").alias("seed"), F.col("__node").alias("node"))
+    a = named.select(F.col("doc_id").alias("owner"), F.col("id").alias("__owner"))
+    b = named.select(F.col("doc_id").alias("node"), F.col("id").alias("seed"))
+    return closure.join(a, "owner").join(b, "node").select("seed", F.col("__owner").alias("node"))

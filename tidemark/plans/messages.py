@@ -43,7 +43,7 @@ def mbox_split(spark, sf):
 @query(rf"""WITH {I.MSG} SELECT conv_id, turn, role || '@example.com' AS sender, recipient, subject,
   conv_id || '-' || turn AS message_id, {I.sql_ts('date')} AS date, body AS text FROM msg""")
 def eml_parse(spark, sf):
-    parsed = Ml.parse_messages(I.messages(spark, sf))
+    parsed = Ml.parse_messages(I.messages(spark, sf, encoded=True))
     return parsed.select(
         "conv_id", "turn", F.array_join("from", ",").alias("sender"), F.array_join("to", ",").alias("recipient"),
         "subject", F.col("message-id").alias("message_id"),
@@ -76,7 +76,7 @@ SELECT conv_id, turn,
   trim(regexp_replace(CASE WHEN length(subject) > 80 THEN substring(subject, 1, 77) || '...' ELSE subject END,
     '[\\/:*?"<>|]', ' ', 'g')) || '.eml' AS name FROM j""")
 def message_filename(spark, sf):
-    m = Ml.parse_messages(I.messages(spark, sf))
+    m = Ml.parse_messages(I.messages(spark, sf, encoded=True))
     date = F.to_utc_timestamp("date", F.current_timezone()).cast("timestamp_ntz")
     name = Ml.message_filename(date, F.col("subject"), F.col("message-id"))
     return m.select("conv_id", "turn", name.alias("name"))

@@ -80,8 +80,8 @@ def qualified(spark: SparkSession, path: str) -> str:
     return default.rstrip("/") + path
 
 
-def walk_files(spark: SparkSession, root: str, skip: list[str] | None = None) -> DataFrame:
-    """``(path, modified, length)`` of every file below ``root``, empty ones too.
+def walk_files(spark: SparkSession, root: str, skip: list[str] | None = None, folders: bool = False) -> DataFrame:
+    """``(path, modified, length, is_dir)`` of every file below ``root``, empty ones too, and with ``folders`` of the folders.
 
     File scans leave empty files out, but an empty file is a document. Folders are
     listed by tasks, one level of the tree per round; folders ``skip`` names are not
@@ -89,20 +89,20 @@ def walk_files(spark: SparkSession, root: str, skip: list[str] | None = None) ->
     like one whose files are all gone. A folder that goes while it is walked is empty.
     """
     root = qualified(spark, root)
-    folders = spark.createDataFrame([(root.rstrip("/"),)], "path string")
+    below = spark.createDataFrame([(root.rstrip("/"),)], "path string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files, first = None, True
     while True:
         list_folders = functools.partial(_list_folders, must_exist=first)
-        level = cut(folders.repartition(n, "path").mapInPandas(list_folders, _LISTED))
+        level = cut(below.repartition(n, "path").mapInPandas(list_folders, _LISTED))
         first = False
-        here = level.filter("not is_dir").select(
-            "path", F.timestamp_micros("modified_us").alias("modified"), "length")
-        files = here if files is None else files.unionByName(here)
-        folders = level.filter("is_dir").select("path")
         if skip:
-            folders = folders.filter(~P.is_ignored(P.file_name(F.col("path")), skip))
-        if folders.isEmpty():
+            level = level.filter(~P.is_ignored(P.file_name(F.col("path")), skip))
+        here = level.filter(F.lit(folders) | ~F.col("is_dir")).select(
+            "path", F.timestamp_micros("modified_us").alias("modified"), "length", "is_dir")
+        files = here if files is None else files.unionByName(here)
+        below = level.filter("is_dir").select("path")
+        if below.isEmpty():
             return files
 
 
@@ -121,9 +121,12 @@ def mount_files(
     extra_ignore: list[str] | None = None,
     text: bool = False,
     pattern: str = "**",
+    folders: bool = False,
 ) -> DataFrame:
     """Files of every mount with ``mount, rel, id, is_sidecar``, ignored paths dropped.
 
+    With ``folders`` the folders below the mounts are rows too, marked ``is_dir``.
+
     With ``text`` the contents are read too. Which files there are does not depend on it:
     empty files are documents.
 
@@ -135,7 +138,7 @@ def mount_files(
         spec = {"path": spec} if isinstance(spec, str) else spec
         root = spec["path"]
         names = P.ignore_list(ignore, list(extra_ignore or []) + list(spec.get("ignore", [])))
-        scan = walk_files(spark, root, names)
+        scan = walk_files(spark, root, names, folders)
         rel = relative_to(F.col("path"), root)
         part = (
             scan.withColumn("mount", F.lit(name)).withColumn("rel", rel)
@@ -146,8 +149,8 @@ def mount_files(
         out = part if out is None else out.unionByName(part)
     if text:
         out = cut(out)
-        read = read_paths(out).select(F.col("path").alias("__path"), "text")
-        out = out.join(read, F.col("path") == F.col("__path")).drop("__path", "length")
+        read = read_paths(out.filter(~F.col("is_dir"))).select(F.col("path").alias("__path"), "text")
+        out = out.join(read, F.col("path") == F.col("__path"), "left").drop("__path", "length")
     return out
 
 

@@ -109,7 +109,7 @@ def parse_messages(messages: DataFrame, message: str = "text") -> DataFrame:
         listed("from").alias("from"), listed("to").alias("to"), listed("cc").alias("cc"),
         listed("bcc").alias("bcc"),
         let(h("sender"), address).alias("sender"),
-        h("subject").alias("subject"),
+        let(h("subject"), decoded_words).alias("subject"),
         body_text(m).alias("text"),
         h("message-id").alias("message-id"),
         references(folded_header(F.col("__lines"), "references")).alias("references"),
@@ -119,6 +119,30 @@ def parse_messages(messages: DataFrame, message: str = "text") -> DataFrame:
         labels_of(h("x-gmail-labels")).alias("labels"))
 
 
+# An encoded word of a header: charset, encoding, text.
+_WORD = r"=\?[^?\s]+\?[BbQq]\?[^?\s]*\?="
+
+
+def decoded_words(value: Column) -> Column:
+    """A header with its encoded words read: base64 or quoted, UTF-8 or Latin-1; others stay as written."""
+    together = F.regexp_replace(value, rf"({_WORD})\s+(?={_WORD})", "$1")
+    pieces = F.regexp_extract_all(together, F.lit(rf"(?s)({_WORD}|(?:(?!{_WORD}).)+)"), F.lit(1))
+
+    def word(p: Column) -> Column:
+        part = lambda n: F.regexp_extract(p, r"^=\?([^?*]+)[^?]*\?([BbQq])\?([^?]*)\?=$", n)
+        signs = F.regexp_extract_all(F.replace(part(3), F.lit("_"), F.lit(" ")), F.lit("(?s)(=[0-9A-Fa-f]{2}|.)"), F.lit(1))
+        quoted = F.unhex(F.array_join(F.transform(signs, lambda s: F.when(
+            F.length(s) == 3, F.substring(s, 2, 2)).otherwise(F.hex(s.cast("binary")))), ""))
+        data = F.when(F.lower(part(2)) == "b", F.try_to_binary(part(3), F.lit("base64"))).otherwise(quoted)
+        charset = F.lower(part(1))
+        text = F.when(charset.isin("utf-8", "utf8", "us-ascii"), F.try_validate_utf8(data.cast("string"))).when(
+            charset.isin("iso-8859-1", "latin1"), F.decode(data, "ISO-8859-1"))
+        return F.coalesce(text, p)
+
+    read = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{_WORD}$"), word(p)).otherwise(p)), "")
+    return F.when(value.contains("=?"), read).otherwise(value)
+
+
 def is_multipart(message: Column) -> Column:
     kind = F.coalesce(header(message, "content-type"), F.lit("text/plain"))
     encoding = F.lower(F.coalesce(header(message, "content-transfer-encoding"), F.lit("7bit")))
@@ -178,11 +202,11 @@ def parts_text(parts: Column) -> Column:
 
 def read_messages(messages: DataFrame, message: str = "text") -> DataFrame:
     """Like ``parse_messages``; only messages that need MIME decoding pass through Python."""
-    parsed = parse_messages(messages.withColumn("__raw", F.col(message)), message)
-    plain = parsed.filter(~is_multipart(F.col("__raw"))).drop("__raw")
-    mime = parsed.filter(is_multipart(F.col("__raw"))).withColumn(
-        "text", parts_text(mime_parts(F.col("__raw")))).drop("__raw")
-    return plain.unionByName(mime)
+    raw = messages.withColumn("__raw", F.when(is_multipart(F.col(message)), F.col(message)))
+    parsed = parse_messages(raw, message)
+    # one pass: the others go to Python as nulls
+    text = F.when(F.col("__raw").isNotNull(), parts_text(mime_parts(F.col("__raw")))).otherwise(F.col("text"))
+    return parsed.withColumn("text", text).drop("__raw")
 
 
 def eml_reader(files: DataFrame) -> DataFrame:

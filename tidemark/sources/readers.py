@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.paths import extension
-from tidemark.operators.merge import merge_documents, merge_pairs, to_documents
+from tidemark.functions.paths import extension, mount_of
+from tidemark.operators.merge import merge_documents
 
 Reader = Callable[[DataFrame], DataFrame]
 ReaderTable = dict[str, "Reader | list[Reader]"]
@@ -45,6 +45,43 @@ def default_readers() -> ReaderTable:
     return {"json": json_reader, "edn": edn_reader, "md": md_reader, "eml": eml_reader}
 
 
+def _plan(readers: ReaderTable | None, config: dict | None, mounts: dict[str, dict] | None) -> list[tuple[Reader, dict]]:
+    """Each distinct reader with the (mount, extension) pairs it reads and its place among their readers."""
+    readers = default_readers() if readers is None else readers
+    tables = [readers] + [
+        t for c in [config or {}, *(mounts or {}).values()]
+        for t in (c.get("readers") or {}, c.get("extra_readers") or {})
+    ]
+    found: dict[int, tuple[Reader, dict]] = {}
+    for ext in sorted({e for t in tables for e in t}):
+        for name in mounts or {"": {}}:
+            for prio, reader in enumerate(resolve_readers(ext, readers, config, (mounts or {}).get(name))):
+                # a reader named twice gives the same document twice: its last place counts
+                found.setdefault(id(reader), (reader, {}))[1][name, ext] = prio
+    return list(found.values())
+
+
+def _place(id_: str, places: dict, mounts: dict | None) -> Column:
+    """Place of a reader for a document, null where it does not read it."""
+    out = F.lit(None).cast("int")
+    for (name, ext), prio in places.items():
+        here = extension(F.col(id_)) == ext
+        if mounts:
+            here = here & (mount_of(F.col(id_)) == name)
+        out = F.when(here, F.lit(prio)).otherwise(out)
+    return out
+
+
+def is_read(
+    id_: str, readers: ReaderTable | None = None, config: dict | None = None, mounts: dict[str, dict] | None = None
+) -> Column:
+    """Whether any reader reads a document; notes are read for their links in any case."""
+    out = F.coalesce(extension(F.col(id_)) == "md", F.lit(False))
+    for _, places in _plan(readers, config, mounts):
+        out = out | _place(id_, places, mounts).isNotNull()
+    return out
+
+
 def read_documents(
     files: DataFrame,
     readers: ReaderTable | None = None,
@@ -53,32 +90,18 @@ def read_documents(
 ) -> DataFrame:
     """Run each file's readers and merge what they give: ``(id, doc)``.
 
-    ``files`` has ``id, mount, text``. Only objects count; a file whose readers
+    ``files`` has ``id, mount, text``. There is one branch per distinct reader, however
+    many mounts and extensions it serves. Only objects count; a file whose readers
     give none has no row here (its document still exists through its listing).
     """
-    readers = default_readers() if readers is None else readers
-    tables = [readers] + [
-        t for c in [config or {}, *(mounts or {}).values()]
-        for t in (c.get("readers") or {}, c.get("extra_readers") or {})
-    ]
-    exts = sorted({e for t in tables for e in t})
-    names = list((mounts or {"": {}}).keys())
-    f = files.withColumn("ext", extension(F.col("id")))
-    parts = []
-    for ext in exts:
-        for name in names:
-            rows = f.filter(F.col("ext") == ext)
-            if mounts:
-                rows = rows.filter(F.col("mount") == name)
-            for prio, reader in enumerate(resolve_readers(ext, readers, config, (mounts or {}).get(name))):
-                parts.append(reader(rows).select("id", F.lit(prio).alias("prio"), "doc"))
-    if not parts:
+    docs = None
+    for reader, places in _plan(readers, config, mounts):
+        place = _place("id", places, mounts)
+        part = reader(files.filter(place.isNotNull())).select("id", place.alias("prio"), "doc")
+        docs = part if docs is None else docs.unionByName(part)
+    if docs is None:
         return files.sparkSession.createDataFrame([], "id string, doc variant")
-    docs = parts[0]
-    for p in parts[1:]:
-        docs = docs.unionByName(p)
-    docs = docs.filter(F.schema_of_variant("doc").startswith("OBJECT"))
-    return merge_documents(docs)
+    return merge_documents(docs.filter(F.schema_of_variant("doc").startswith("OBJECT")))
 
 
 def assemble(listing: DataFrame, content: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -92,6 +115,3 @@ def assemble(listing: DataFrame, content: DataFrame, sidecars: DataFrame) -> Dat
     return listing.join(merged, "id", "left").select(
         "id", "modified", F.regexp_replace("id", "/[^/]*$", "").alias("parent"), "doc")
 
-
-__all__ = ["Reader", "assemble", "default_readers", "json_reader", "merge_pairs", "read_documents",
-           "resolve_readers", "to_documents"]

@@ -43,7 +43,7 @@ def sync_folders(
     attempt repeated with the same ``tx_id`` overwrites its own transaction.
     """
     config = config or {}
-    listing = cut(Fs.mount_files(spark, mounts, config.get("ignore"), config.get("extra_ignore")))
+    listing = cut(Fs.mount_files(spark, mounts, config.get("ignore"), config.get("extra_ignore"), folders=True))
     seen = Fs.latest_modified(listing)
     earlier = read_log(spark, log_path).filter(F.col("tx_id") < tx_id)
     stored = St.as_of(earlier, columns=["modified"]).select("id", "modified")
@@ -55,12 +55,12 @@ def sync_folders(
     ops = cut(ops)
 
     wanted = listing.join(ops.filter("op = 'put'").select("id"), "id", "left_semi")
-    content = wanted.filter(~F.col("is_sidecar"))
+    specs = {m: s if isinstance(s, dict) else {} for m, s in mounts.items()}
+    # only files somebody reads are opened
+    content = wanted.filter(~F.col("is_sidecar") & ~F.col("is_dir") & R.is_read("id", readers, config, specs))
     text = cut(Fs.read_paths(content).join(content.select("id", "mount", "rel"), "id"))
-    specs = {m: s for m, s in mounts.items() if isinstance(s, dict)}
-    docs = R.read_documents(
-        text, readers, config, {m: specs.get(m, {}) for m in mounts})
-    vault = listing.filter(~F.col("is_sidecar"))
+    docs = R.read_documents(text, readers, config, specs)
+    vault = listing.filter(~F.col("is_sidecar") & ~F.col("is_dir"))
     notes = text.filter(P.extension(F.col("id")) == "md")
     refs = Md.ref_pairs(Md.markdown_refs(notes, vault))
     content_docs = docs.select("id", "doc").unionByName(refs)

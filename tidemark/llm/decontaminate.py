@@ -108,18 +108,17 @@ def _searched(data: Column, items: list[tuple[str | None, bytes | None]], window
     return search(data)
 
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_windows: int):
-    """The items in blocks whose windows number about ``block_windows``."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), bytes_of(text).alias("data")).filter("data is not null")
+def _n_blocks(items: DataFrame, block_windows: int) -> int:
+    """In how many blocks the items have about ``block_windows`` windows each."""
     # an item of n bytes has under n / 2 windows
     size = items.agg(F.sum(F.length("data"))).first()[0] or 0
-    n = max(1, -(-size // (2 * block_windows)))
-    if n == 1:
-        yield [(r.item, bytes(r.data)) for r in items.collect()]
-        return
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item", "data"), F.lit(n)) == k)
-        yield [(r.item, bytes(r.data)) for r in block.collect()]
+    return max(1, -(-size // (2 * block_windows)))
+
+
+def _block(items: DataFrame, k: int, n: int) -> list[tuple[str | None, bytes]]:
+    """The items of one block; only one block at a time is on the driver."""
+    rows = items.filter(F.pmod(F.xxhash64("item", "data"), F.lit(n)) == k).collect()
+    return [(r.item, bytes(r.data)) for r in rows]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -129,21 +128,18 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     All other columns stay, whatever their names.
     """
     bounded_batches(docs.sparkSession)
-    blocks = list(_item_blocks(benchmark, item_id, item_text, window, block_windows)) or [[]]
-    out = docs
-    for k, items in enumerate(blocks):
-        if k:
-            out = cut(out)
-        now = _searched(bytes_of(text), items, window)
-        if k == 0:
-            out = out.withColumn(into, now)
-            continue
-        out = out.withColumn("__now", now).withColumn(into, F.struct(
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), bytes_of(item_text).alias("data")).filter("data is not null")
+    n = _n_blocks(items, block_windows)
+    out = docs.withColumn(into, _searched(bytes_of(text), _block(items, 0, n), window))
+    for k in range(1, n):
+        # what the block before has found is written before the next one is gathered
+        out = cut(out).withColumn("__now", _searched(bytes_of(text), _block(items, k, n), window))
+        out = out.withColumn(into, F.struct(
             F.col(f"{into}.n_words").alias("n_words"),
             *[F.concat(f"{into}.{c}", f"__now.{c}").alias(c) for c in ("firsts", "lasts")],
             F.array_union(f"{into}.items", "__now.items").alias("items"))).drop("__now")
     pairs = F.arrays_zip(F.col(f"{into}.firsts").alias("first"), F.col(f"{into}.lasts").alias("last"))
-    if len(blocks) > 1:
+    if n > 1:
         pairs = _joined(pairs)
     return out.withColumn(into, F.struct(
         F.col(f"{into}.n_words").alias("n_words"), pairs.alias("spans"), F.array_sort(f"{into}.items").alias("items")))

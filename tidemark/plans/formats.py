@@ -70,11 +70,16 @@ def md_front_matter(spark, sf):
         get("$['tide/k'].size", "bigint").alias("size"))
 
 
-@query(f"""WITH {I.DOCS} SELECT 'tide/k' AS key, count(*) AS n FROM docs UNION ALL SELECT 'tide.on/modify', count(*) FROM docs""")
+@query(f"""WITH {I.DOCS} SELECT 'tide/k' AS key, count(*) AS n FROM docs
+UNION ALL SELECT 'tide.on/modify', count(*) FROM docs WHERE n_chars % 2 = 0""")
 def reserved_keys(spark, sf):
-    d = I.documents(spark, sf)
-    keys = d.select(F.explode(F.array(*[F.lit(k) for k in (
-        "lang", "tide/k", "tide.on/modify", "tidex/k", "other/tide")])).alias("key"))
+    """Reserved attributes among those of the front matter of documents."""
+    d = I.spread(I.documents(spark, sf), "doc_id")
+    text = F.concat(
+        F.lit("---\nlang: "), "lang", F.lit("\ntide/k: 1\nother/tide: 2\n"),
+        F.when(F.col("n_chars") % 2 == 0, "tide.on/modify: note\n").otherwise("tidex/k: 1\n"), F.lit("---\n"))
+    docs = Md.md_reader(d.select("id", text.alias("text")))
+    keys = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select("key")
     return keys.filter(Md.is_reserved(F.col("key"))).groupBy("key").agg(F.count("*").alias("n"))
 
 

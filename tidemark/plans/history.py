@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import doc_hash
 from tidemark.operators import asof, merge as Mg, ordered as O, store as St
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import register
@@ -50,13 +51,13 @@ def as_of_join(spark, sf):
 
 @query(f"""WITH {I.TX}, s AS (SELECT *, CASE WHEN op = 'put' THEN type END AS state FROM tx),
 p AS (SELECT *, lag(state) OVER w AS prev, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY id ORDER BY tx_id))
-SELECT id, tx_id, rn = 1 AS is_first, md5(coalesce(type, '') || '|' || k) AS content_hash FROM p
+SELECT id, tx_id, rn = 1 AS is_first, sha1('{{"k":' || coalesce(CAST(k AS VARCHAR), 'null') || ',"type":"' || type || '"}}') AS content_hash FROM p
 WHERE rn = 1 OR state IS DISTINCT FROM prev""")
 def history_diff(spark, sf):
     t = I.tx(spark, sf)
     changed = St.history_changes(t, F.when(F.col("op") == "put", F.col("type")))
-    digest = F.md5(F.concat(F.coalesce("type", F.lit("")), F.lit("|"), F.col("k").cast("string")))
-    return changed.select("id", "tx_id", "is_first", digest.alias("content_hash"))
+    doc = F.to_variant_object(F.struct("type", "k"))
+    return changed.select("id", "tx_id", "is_first", doc_hash(doc).alias("content_hash"))
 
 
 @query(f"""WITH {I.TX} SELECT tx_id, op, id FROM tx WHERE NOT coalesce(type = 'click' AND value > 40, false)

@@ -9,6 +9,10 @@ from tidemark.operators.skew import BROADCAST_ROWS, is_small
 from tidemark.session import cut
 
 
+# Up to so many different lengths of links are listed in the plan.
+MOST_LENGTHS = 1000
+
+
 def _jumps(edges: DataFrame, doublings: int, growth: int) -> DataFrame:
     """``(node, next)`` over one edge, and over up to 2, 4, … edges as long as that stays within ``growth`` times the edges."""
     # a node most edges point to must remain splittable when a join shuffles them, so they stay unpartitioned
@@ -84,14 +88,20 @@ def resolve_links(
     shuffle. Ties go to the first path in order.
     """
     p = F.col(path)
-    starts = F.sequence(F.lit(1), F.length(p) + 1)
-    if strict:
-        starts = F.filter(starts, lambda i: (i == 1) | (F.substring(p, i - 1, F.lit(1)) == "/"))
-    suffixes = F.transform(starts, lambda i: F.substring(p, i, F.length(p)))
     wanted = links.select("vault", F.col(link).alias("link")).distinct()
     keys = wanted.select(
         "vault", "link", F.explode(F.array_distinct(
             F.array(F.col("link"), F.concat("link", F.lit(".md"))))).alias("suffix"))
+    # a file is only listed under suffixes as long as some link is
+    sizes = [r[0] for r in keys.select(F.length("suffix").alias("n")).filter("n is not null").distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(sizes) <= MOST_LENGTHS:
+        starts = F.transform(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>"), lambda n: F.length(p) - n + 1)
+        starts = F.filter(starts, lambda i: i >= 1)
+    else:
+        starts = F.sequence(F.lit(1), F.length(p) + 1)
+    if strict:
+        starts = F.filter(starts, lambda i: (i == 1) | (F.substring(p, i - 1, F.lit(1)) == "/"))
+    suffixes = F.transform(starts, lambda i: F.substring(p, i, F.length(p)))
     listed = files.select("vault", p.alias("target"), F.explode(suffixes).alias("suffix"))
     if is_small(wanted, broadcast_rows):
         listed = listed.join(F.broadcast(keys.select("vault", "suffix").distinct()), ["vault", "suffix"], "left_semi")

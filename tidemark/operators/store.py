@@ -104,7 +104,9 @@ def normalise_ops(log: DataFrame) -> DataFrame:
 
 def resolve_deletes(deletes: DataFrame, log: DataFrame, key: Column) -> DataFrame:
     """Give deletes known only by ``id_hash`` the id their document had."""
-    known = log.filter(F.col("op") == "put").select(key.alias("id_hash"), "id").distinct()
+    asked = deletes.select("id_hash").distinct()
+    # only the puts somebody asks about are made distinct
+    known = log.filter(F.col("op") == "put").select(key.alias("id_hash"), "id").join(asked, "id_hash", "left_semi").distinct()
     return deletes.join(known, "id_hash", "left")
 
 

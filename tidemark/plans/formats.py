@@ -101,12 +101,12 @@ def reader_dispatch(spark, sf):
 
 @query("""SELECT p_partkey::VARCHAR AS id, p_name AS name, p_size AS size, round(p_retailprice, 4) AS price FROM part""")
 def csv_docs(spark, sf):
-    """Parts as CSV lines, read back as documents of strings."""
+    """Parts as CSV files, read back as documents of strings."""
     p = I.table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     names = ["p_partkey", "p_name", "p_size", "p_retailprice"]
-    lines = p.select(F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in names])).alias("line"))
-    rows = lines.select(F.from_csv("line", ", ".join(f"{c} string" for c in names)).alias("r")).select("r.*")
-    docs = Fs.row_docs(rows, "p_partkey")
+    path = scratch(spark, "csv")
+    p.select(*[F.col(c).cast("string").alias(c) for c in names]).write.option("header", "true").csv(path)
+    docs = Fs.csv_docs(spark, path, "p_partkey", names)
     get = lambda name: F.try_variant_get("doc", f"$.{name}", "string")
     return docs.select(
         "id", get("p_name").alias("name"), get("p_size").try_cast("int").alias("size"),

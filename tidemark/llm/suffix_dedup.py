@@ -356,10 +356,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     every = distinct.filter("many").select("digest", F.lit(0).cast("bigint").alias("a"),
                                            F.coalesce(F.length("region") - length, F.lit(0)).cast("bigint").alias("b"))
     ranges = cut(sorted_.union(every).withColumnRenamed("digest", "__digest"))
-    found = regions.select("key", "digest", "firsts").join(ranges, F.col("digest") == F.col("__digest")).select(
-        "key", F.explode("firsts").alias("first"), "a", "b")
-    spans = found.groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("start"),
-                                                             (F.col("first") + F.col("b") + length).alias("stop"))).alias("spans"))
+    found = regions.select("key", "digest", "firsts").join(ranges, F.col("digest") == F.col("__digest"))
+    # a region that a text holds many times stays one row; its places are bounded by the text
+    spans = found.groupBy("key").agg(F.flatten(F.collect_list(F.transform("firsts", lambda p: F.struct(
+        (p + F.col("a")).alias("start"), (p + F.col("b") + length).alias("stop"))))).alias("spans"))
     whole = texts.filter("copies > 1").select("key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
     single = texts.filter("copies = 1").select(F.col("key").alias("__key"))
     spans = spans.join(single, F.col("key") == F.col("__key"), "left_semi")

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import bounded_batches
 
-# Remembered pieces and pairs of one task; beyond this the memory starts anew.
-MEMORY = 150_000
+# Words, pieces and pairs a task remembers; beyond this the oldest half goes.
+MEMORY = 80_000
+PAIRS = 250_000
 NEVER = 1 << 60
 # A space before white space or the end, where a match need not start.
 BLANKS = regex.compile(r" (?:\s|\Z)")
@@ -117,7 +118,7 @@ class Vocabulary:
         pair = (left, right)
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= MEMORY:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             after = self.spines(right)
             known = self.pairs[pair] = after is not None and self._apart(self.spines(left)[1], after[0])
@@ -194,23 +195,36 @@ class Encoder:
 
     def __init__(self, voc: Vocabulary, pattern: str):
         self.voc, self.split = voc, regex.compile(pattern).findall
+        # words and matches seen lately, and those from before
         self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         # " x" always starts a match of a pattern whose word classes take one space before them
         self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
 
     @staticmethod
-    def remember(memory: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(memory) >= MEMORY:
-            memory.clear()
+    def remember(young: dict[str, bytes], old: dict[str, bytes], key: str, make) -> bytes:
+        """What ``key`` stands for, from the older memory or made anew; what is used stays among the young."""
+        ids = old.get(key) or make(key)
         if len(key) <= 64:
-            memory[key] = ids
+            if len(young) >= MEMORY:
+                old.clear()
+                old.update(young)
+                young.clear()
+            young[key] = ids
         return ids
 
+    def encode(self, piece: str) -> bytes:
+        return np.array(encode_piece(self.voc, piece.encode()), "<u4").tobytes()
+
     def piece(self, piece: str) -> bytes:
         """The ids of a match, as little-endian unsigned 32-bit integers."""
-        return self.pieces.get(piece) or self.remember(
-            self.pieces, piece, np.array(encode_piece(self.voc, piece.encode()), "<u4").tobytes())
+        return self.pieces.get(piece) or self.remember(self.pieces, self.old_pieces, piece, self.encode)
+
+    def word(self, word: str) -> bytes:
+        """The ids of a word and the space before it."""
+        return self.words(" " + word)
 
     def words(self, text: str) -> bytes:
         return b"".join([self.piece(p) for p in self.split(text)])
@@ -222,8 +236,8 @@ class Encoder:
             return self.words(text)
         # no blank follows another one's right side, so each space starts a match
         first, *rest = text.split(" ")
-        known, remember, words = self.known, self.remember, self.words
-        return b"".join([words(first), *[known.get(w) or remember(known, w, words(" " + w)) for w in rest]])
+        known, old, remember, word = self.known, self.old_known, self.remember, self.word
+        return b"".join([self.words(first), *[known.get(w) or remember(known, old, w, word) for w in rest]])
 
 
 class Text:

@@ -114,13 +114,13 @@ def trig_frequencies(spark, sf):
 # documents of users as their events leave them: signups carry one trigger, purchases a vector of
 # two and a glob, errors delete the document
 _LOG_SPECS = """specs AS (
-  SELECT id, tx_id, 'modify' AS on_k, 0 AS idx, false AS is_vector, CAST(NULL AS VARCHAR) AS pattern,
+  SELECT id, tx_id, 'modify' AS on_k, 0 AS idx, false AS is_vector,
          '{"call":"note","params":[' || k || ']}' AS spec FROM tx WHERE op = 'put' AND type = 'signup'
   UNION ALL
-  SELECT id, tx_id, 'modify', i, true, NULL, CASE i WHEN 0 THEN '"first"' ELSE '{"call":"second"}' END
+  SELECT id, tx_id, 'modify', i, true, CASE i WHEN 0 THEN '"first"' ELSE '{"call":"second"}' END
   FROM tx, (VALUES (0), (1)) v(i) WHERE op = 'put' AND type = 'purchase'
   UNION ALL
-  SELECT id, tx_id, 'pattern', 0, false, '^' || id || '[0-9]$', '{"call":"near","glob":"' || id || '?"}'
+  SELECT id, tx_id, 'pattern', 0, false, '{"call":"near","glob":"' || id || '?"}'
   FROM tx WHERE op = 'put' AND type = 'purchase'),
 lives AS (SELECT specs.*, n.to_tx FROM specs JOIN (
   SELECT id, tx_id, lead(tx_id) OVER (PARTITION BY id ORDER BY tx_id) AS to_tx FROM tx) n USING (id, tx_id))"""
@@ -152,7 +152,7 @@ SELECT tx_id, 3 AS rank, tx_id AS op_seq, on_k, id AS self_id, idx,
   'tide.on/modify' || CASE WHEN is_vector THEN '/' || idx ELSE '' END AS on_path, id AS target_id, spec FROM lives WHERE on_k = 'modify'
 UNION ALL
 SELECT c.tx_id, 5, c.tx_id, on_k, l.id, idx, 'tide.on/pattern', CASE WHEN c.op = 'put' THEN c.id END, spec
-FROM lives l JOIN tx c ON c.tx_id >= l.tx_id AND (l.to_tx IS NULL OR c.tx_id < l.to_tx) AND regexp_matches(c.id, l.pattern)
+FROM lives l JOIN tx c ON c.tx_id >= l.tx_id AND (l.to_tx IS NULL OR c.tx_id < l.to_tx) AND starts_with(c.id, l.id) AND length(c.id) = length(l.id) + 1
 WHERE on_k = 'pattern'""")
 def trig_firings_of_log(spark, sf):
     """Firings of the documents of a log through their whole life: triggers change and go with their documents."""

@@ -25,6 +25,18 @@ def test_cases(html, want):
     assert op.to_text(html) == want
 
 
+STRAY_QUOTES = [
+    ('<p><a href="x"">one</a> two</p><p>three</p><p>four', "one two\n\nthree\n\nfour"),
+    ("<p title=it's>one two three</p><p>four</p>", "one two three\n\nfour"), ("<p>a<!-->b</p><p>c", "ab\n\nc"), ("a<!--->b<!-- x -->c", "abc"),
+    ('<p "quoted name">a</p>b', "a\n\nb"), ("<p class = 'x>y' id=a\"b>c", "c"), ("<p a=>b", "b"), ("<img alt=it's>", "it's"), ("<img x'y alt = \"p>q\">", "p>q"),
+]
+
+
+@pytest.mark.parametrize("html, want", STRAY_QUOTES)
+def test_stray_quotes_swallow_nothing(html, want):
+    assert op.to_text(html) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("<p> </p> <table> <tr> <td> </td> </table> <li> <ul> </ul> <ol> <div> </div> a b & &amp; < > \" ' <!-- --> <pre> <b"
                                 " <br/> <script> </script> <details> <td colspan=2>".split() + [" ", "\n"]), max_size=40))

@@ -55,8 +55,12 @@ IMPLIED = {
 # An end tag does not look for its element beyond these.
 SCOPE = {"table", "td", "th", "caption", "html", "template"}
 
-TOKEN = re.compile(r"<!--(.*?)(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+# Attributes as browsers read them: a quote opens a value only right after "=" and white space, elsewhere it is part of a name or value.
+NAME = r"[^\s/>][^\s/>=]*+"
+VALUE = r"""\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>|\Z))"""
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)"
+                   rf"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[\s/]++|{NAME}(?:{VALUE})?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"({NAME})(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -104,10 +108,10 @@ def parse(html: str) -> Node:
         if not m:
             break
         at = m.end()
-        if m[3] is None:
+        if m["name"] is None:
             continue
-        name = m[3].lower()
-        if m[2]:
+        name = m["name"].lower()
+        if m["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     close_to(k)
@@ -129,7 +133,7 @@ def parse(html: str) -> Node:
             imply(*IMPLIED[name])
         elif name in BLOCK and stack[-1].name == "head":
             close_to(len(stack) - 1)
-        node = Node(name, attributes_of(m[4]) if m[4].strip(" \t\n\r\f/") else {})
+        node = Node(name, attributes_of(m["attributes"]) if m["attributes"].strip(" \t\n\r\f/") else {})
         stack[-1].children.append(node)
         if name in VOID:
             continue

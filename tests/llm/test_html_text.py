@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -37,6 +39,31 @@ def test_stray_quotes_swallow_nothing(html, want):
     assert op.to_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<head><title>T</title>Hello <a>Home</a><p>x", "Hello Home\n\nx"), ("<head><title>T</title><span>a<div>b", "a\nb"),
+    ("<html><head> <meta charset=x> <style>s</style><noscript><img alt=no></noscript>\n<img alt=pic>", "pic"),
+    ("<head><title>T</title></head><body>a", "a"), ("<head><title>T</title>&nbsp;a", "\xa0a"), ("<head><script>x</script><custom-a>b", "b"),
+])
+def test_head_ends_at_text_or_other_tags(html, want):
+    assert op.to_text(html) == want
+
+
+def test_depth_changes_nothing_around():
+    for n in (10, 140, 149, 150, 151, 200, 5000):
+        deep = "<span>" * n + "in<b hidden>no<i>no</i></b><div>x</div>y" + "</span>" * n
+        assert op.to_text(f"<div><span>{deep}</span></div><p>after") == "in\nx\ny\n\nafter"
+        grid = f"<table><tr><td>{'<div>' * n}<table><tr><td>a</td><td>b</td></tr></table>{'</div>' * n}</td><td>c<tr><td>long<td>d</table>e"
+        assert re.sub(r"[\s|]+", " ", op.to_text(grid)) == "a b c long d e"
+        assert op.to_text(grid).split("\n")[-3].startswith("long") and op.to_text(grid).endswith("\n\ne")
+        closed = "<div>" * n + "<details><summary>S</summary>no<p>no</details>" + "</div>" * n + "z"
+        assert op.to_text(closed) == "S\nz"
+
+
+def test_depth_costs_no_search():
+    for html in ("<p><table>" + "<div>" * 100000, "<ul><li>" * 50000, "<table><tr><td>" * 30000, "<svg>" * 100000):
+        assert op.to_text(html + "x").endswith("x") or "svg" in html
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("<p> </p> <table> <tr> <td> </td> </table> <li> <ul> </ul> <ol> <div> </div> a b & &amp; < > \" ' <!-- --> <pre> <b"
                                 " <br/> <script> </script> <details> <td colspan=2>".split() + [" ", "\n"]), max_size=40))

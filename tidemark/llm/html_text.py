@@ -15,13 +15,15 @@ ignored, open elements end with the page), and a rendering of the visible nodes:
   attribute, ``aria-hidden`` is shown, closed ``details`` show their summary only.
 
 Null is null; an empty page or one without visible text is the empty string. Any
-string is some page: broken markup never fails. Nesting beyond ``MAX_DEPTH`` is laid
-out flat, so depth cannot exhaust the stack; its text stays.
+string is some page: broken markup never fails. The tree has any depth; what is nested
+deeper than ``MAX_DEPTH`` is laid out flat, as lines of its blocks, so depth cannot
+exhaust the stack: its visible text stays, and nothing around it changes.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pandas as pd
@@ -54,6 +56,8 @@ IMPLIED = {
 }
 # An end tag does not look for its element beyond these.
 SCOPE = {"table", "td", "th", "caption", "html", "template"}
+# Text and any other start tag end an open head.
+HEAD_MATTER = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
 # Attributes as browsers read them: a quote opens a value only right after "=" and white space, elsewhere it is part of a name or value.
 NAME = r"[^\s/>][^\s/>=]*+"
@@ -83,28 +87,42 @@ def parse(html: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("", {})
     stack = [root]
+    # where in the stack the open elements of a name are, and those of SCOPE, so that depth costs no search
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
+
+    def push(node: Node) -> None:
+        places.setdefault(node.name, []).append(len(stack))
+        if node.name in SCOPE:
+            scopes.append(len(stack))
+        stack.append(node)
+
+    def nearest(name: str) -> int:
+        return places[name][-1] if places.get(name) else 0
 
     def close_to(k: int) -> None:
+        for node in stack[k:]:
+            places[node.name].pop()
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
         del stack[k:]
 
     def imply(names: set[str], limits: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in limits:
-                # inside the limit, the outermost of the names ends
-                break
-        else:
-            k = 0
-        for j in range(k + 1, len(stack)):
-            if stack[j].name in names:
-                close_to(j)
-                return
+        # inside the limit, the outermost of the names ends
+        limit = max([0, *map(nearest, limits)])
+        inside = [own[k] for own in (places.get(n, []) for n in names) if (k := bisect_right(own, limit)) < len(own)]
+        if inside:
+            close_to(min(inside))
 
     at = 0
     while at < len(html):
         m = TOKEN.search(html, at)
         text = html[at:m.start()] if m else html[at:]
         if text:
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            text = unescape(text) if "&" in text else text
+            if stack[-1].name == "head" and SPACE.sub("", text):
+                close_to(len(stack) - 1)
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -112,26 +130,19 @@ def parse(html: str) -> Node:
             continue
         name = m["name"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close_to(k)
-                    break
-                if stack[k].name in SCOPE and name not in ("table", "html", "body", "tr", "tbody", "thead", "tfoot"):
-                    break
-            else:
-                if name in ("br", "p"):
-                    stack[-1].children.append(Node(name, {}))
+            k = nearest(name)
+            if k and (name in ("table", "html", "body", "tr", "tbody", "thead", "tfoot") or not scopes or scopes[-1] <= k):
+                close_to(k)
+            elif not k and not scopes and name in ("br", "p"):
+                stack[-1].children.append(Node(name, {}))
             continue
         if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close_to(k)
-                    break
-                if stack[k].name in SCOPE or stack[k].name == "button":
-                    break
+            k = nearest("p")
+            if k > max([nearest("button"), *scopes[-1:]]):
+                close_to(k)
         if name in IMPLIED:
             imply(*IMPLIED[name])
-        elif name in BLOCK and stack[-1].name == "head":
+        elif name not in HEAD_MATTER and stack[-1].name == "head":
             close_to(len(stack) - 1)
         node = Node(name, attributes_of(m["attributes"]) if m["attributes"].strip(" \t\n\r\f/") else {})
         stack[-1].children.append(node)
@@ -144,11 +155,39 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(body) if name in ("textarea", "title") else body)
             at = end.end() if end else len(html)
             continue
-        if len(stack) <= MAX_DEPTH:
-            stack.append(node)
+        push(node)
+    flatten(root)
     return root
 
 
+def flatten(root: Node) -> None:
+    """Replace what is nested deeper than MAX_DEPTH by its visible text, images and line ends."""
+    level, line_end = [root], Node("div", {})
+    for _ in range(MAX_DEPTH):
+        level = [c for node in level for c in node.children if isinstance(c, Node) and c.children]
+    for top in level:
+        flat: list = []
+        rest = shown(top)[::-1]
+        while rest:
+            c = rest.pop()
+            if isinstance(c, str) or c is line_end or c.name in ("br", "hr", "img"):
+                flat.append(c)
+            elif not hidden(c):
+                edge = [line_end] if c.name in BLOCK else [" "] if c.name in ("td", "th") else []
+                rest += [*edge, *shown(c)[::-1], *edge]
+        top.children = flat
+        if top.name == "details":
+            # only what it shows is left
+            top.attributes["open"] = ""
+
+
+def shown(node: Node) -> list:
+    """The children of a node, of closed ``details`` only the summary."""
+    if node.name == "details" and "open" not in node.attributes:
+        return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    return node.children
+
+
 def hidden(node: Node) -> bool:
     a = node.attributes
     return node.name in HIDDEN or bool(a) and (
@@ -249,7 +288,7 @@ def render(children: list, out: Lines) -> None:
             out.blank()
         elif node.name == "details" and "open" not in node.attributes:
             out.line()
-            render([c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1], out)
+            render(shown(node), out)
             out.line()
         elif node.name in BLOCK:
             spaced = node.name in SPACED

@@ -64,6 +64,20 @@ def test_depth_costs_no_search():
         assert op.to_text(html + "x").endswith("x") or "svg" in html
 
 
+@pytest.mark.parametrize("html, want", [
+    ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math> b", "a x=1 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs>no<g><text>Sales</text><text x=1><tspan>2024</tspan></text></g></svg>", "Sales 2024"),
+    ("<svg><style/><path d='M0'/><text>t</text></svg>after", "t after"), ("<svg><path><p>out", "out"), ("<svg/>x", "x"),
+    ("<svg><foreignObject><p>in</p></foreignObject><text display=none>no</text></svg>", "in"), ("<svg><desc>no<p>no</desc><text>y</text></svg>", "y"),
+    ("<select><option>one<option selected>two</select>z", "one\ntwo\nz"), ("<svg><title/><text>x</text></svg>", "x"),
+    ("<select><optgroup label=G><option label=L>no</option><option>b</optgroup></select>", "G\nL\nb"),
+    ("<datalist><option>no</datalist><map>m<area alt=no></map>a", "ma"), ("<table><tr><td><svg><text>c</text></svg><td>d</table>", "c | d"),
+    ("<div>" * 300 + "<svg>no<title>no</title><text>c</text></svg><select><option label=L>no</select>", "c\nL"),
+])
+def test_formulas_charts_and_options_are_shown(html, want):
+    assert op.to_text(html) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("<p> </p> <table> <tr> <td> </td> </table> <li> <ul> </ul> <ol> <div> </div> a b & &amp; < > \" ' <!-- --> <pre> <b"
                                 " <br/> <script> </script> <details> <td colspan=2>".split() + [" ", "\n"]), max_size=40))

@@ -12,7 +12,10 @@ ignored, open elements end with the page), and a rendering of the visible nodes:
   spans several columns takes their width;
 * what a browser hides is left out: head matter, scripts, styles, templates, comments,
   the ``hidden`` attribute, ``display:none`` or ``visibility:hidden`` in a style
-  attribute, ``aria-hidden`` is shown, closed ``details`` show their summary only.
+  attribute, ``aria-hidden`` is shown, closed ``details`` show their summary only;
+* of ``svg`` the text elements are shown, of ``math`` all but annotations, and all options
+  of a ``select``, each on its line; fallbacks of media (``object``, ``audio``, ``video``,
+  ``canvas``, ``iframe``), ``noscript``, ``datalist`` and form values are not shown.
 
 Null is null; an empty page or one without visible text is the empty string. Any
 string is some page: broken markup never fails. The tree has any depth; what is nested
@@ -36,8 +39,8 @@ MAX_DEPTH = 150
 # Groups of element names, as HTML defines them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math "
-             "select map".split())
+HIDDEN = set("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas "
+             "annotation annotation-xml mphantom".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
             "h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul tr tbody "
             "thead tfoot caption".split())
@@ -56,6 +59,13 @@ IMPLIED = {
 }
 # An end tag does not look for its element beyond these.
 SCOPE = {"table", "td", "th", "caption", "html", "template"}
+# Inside svg only these hold text, and these are never shown; a foreignobject holds HTML.
+SVG_TEXT = {"text", "tspan", "textpath", "foreignobject"}
+SVG_HIDDEN = set("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter script style".split())
+# HTML that may stand inside svg and math, and start tags that end them elsewhere.
+INTEGRATION = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+               "pre ruby s small span strong strike sub sup table tt u ul var".split())
 # Text and any other start tag end an open head.
 HEAD_MATTER = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
@@ -122,7 +132,9 @@ def parse(html: str) -> Node:
             text = unescape(text) if "&" in text else text
             if stack[-1].name == "head" and SPACE.sub("", text):
                 close_to(len(stack) - 1)
-            stack[-1].children.append(text)
+            drawing = nearest("svg")
+            if not drawing or max(map(nearest, SVG_TEXT)) > drawing:
+                stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -136,7 +148,14 @@ def parse(html: str) -> Node:
             elif not k and not scopes and name in ("br", "p"):
                 stack[-1].children.append(Node(name, {}))
             continue
-        if name in ENDS_P:
+        around = max(nearest("svg"), nearest("math"))
+        foreign = around > max(0, *map(nearest, INTEGRATION)) if around else False
+        if foreign and name in BREAKOUT:
+            roots = [places.get(n, []) for n in ("svg", "math")]
+            inside = max(map(nearest, INTEGRATION))
+            close_to(min(own[k] for own in roots if (k := bisect_right(own, inside)) < len(own)))
+            foreign = False
+        if name in ENDS_P and not foreign:
             k = nearest("p")
             if k > max([nearest("button"), *scopes[-1:]]):
                 close_to(k)
@@ -145,10 +164,13 @@ def parse(html: str) -> Node:
         elif name not in HEAD_MATTER and stack[-1].name == "head":
             close_to(len(stack) - 1)
         node = Node(name, attributes_of(m["attributes"]) if m["attributes"].strip(" \t\n\r\f/") else {})
+        if foreign and (name in SVG_HIDDEN and nearest("svg") == around or node.attributes.get("display") == "none"
+                        or node.attributes.get("visibility") == "hidden"):
+            node.attributes["hidden"] = ""
         stack[-1].children.append(node)
-        if name in VOID:
+        if name in VOID or (foreign or name in ("svg", "math")) and m["attributes"].endswith("/"):
             continue
-        if name in RAW:
+        if name in RAW and not (foreign and name in ("title", "textarea", "xmp", "iframe", "noembed", "noframes")):
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             body = html[at:end.start()] if end else html[at:]
             if body:
@@ -173,7 +195,7 @@ def flatten(root: Node) -> None:
             if isinstance(c, str) or c is line_end or c.name in ("br", "hr", "img"):
                 flat.append(c)
             elif not hidden(c):
-                edge = [line_end] if c.name in BLOCK else [" "] if c.name in ("td", "th") else []
+                edge = [line_end] if c.name in BLOCK else [" "] if c.name in ("td", "th", "text") else []
                 rest += [*edge, *shown(c)[::-1], *edge]
         top.children = flat
         if top.name == "details":
@@ -182,9 +204,14 @@ def flatten(root: Node) -> None:
 
 
 def shown(node: Node) -> list:
-    """The children of a node, of closed ``details`` only the summary."""
+    """The children of a node, of closed ``details`` only the summary; the labels of options."""
     if node.name == "details" and "open" not in node.attributes:
         return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    label = node.attributes.get("label") if node.name in ("option", "optgroup") else None
+    if label:
+        line = Node("div", {})
+        line.children = [label]
+        return [line] if node.name == "option" else [line, *node.children]
     return node.children
 
 
@@ -282,6 +309,10 @@ def render(children: list, out: Lines) -> None:
             for block in table(node):
                 out.block(block)
             out.blank()
+        elif node.name == "text":
+            out.space = True
+            render(node.children, out)
+            out.space = True
         elif node.name == "blockquote":
             out.blank()
             out.block(laid_out(node.children), "> ", "> ")
@@ -296,7 +327,7 @@ def render(children: list, out: Lines) -> None:
             if node.name == "dd":
                 out.block(laid_out(node.children), "    ", "    ")
             else:
-                render(node.children, out)
+                render(shown(node), out)
             out.blank() if spaced else out.line()
         else:
             render(node.children, out)

@@ -73,3 +73,25 @@ def test_held_out_documents(spark):
     assert sum(r.language.guess == r.lang for r in rows) >= 0.97 * len(rows)
     assert sum(r.language.accepted for r in rows) >= 0.95 * len(rows)
     assert op.accepted(test).columns == docs.columns
+
+
+def test_every_labelled_language_has_a_model(spark):
+    import random
+
+    names = [f"l{k:02}" for k in range(70)]
+    rng, words = random.Random(1), {}
+    for x in names:
+        words[x] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+    rows = [(x, " ".join(rng.choices(words[x], k=60))) for x in names for _ in range(3 if x > "l63" else 4)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = op.fit(docs, "text", "lang")
+    assert model.languages == names and [len(b.languages) for b in model.blocks()] == [64, 6]
+    got = op.accepted(docs, host=None).collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows)
+    assert all(r.language.guess == r.lang for r in op.identify(docs, model).collect())
+
+
+def test_blocks_change_nothing(spark, model):
+    docs = spark.createDataFrame(ROWS * 20, "lang string, text string")
+    one, many = op.identify(docs, model).collect(), op.identify(docs, op.fit(docs, "text", "lang", block_languages=1)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many))

@@ -18,14 +18,15 @@ evidence and is rejected: nothing in it is in a language. Ties go to the languag
 first in alphabetical order.
 
 Trigram models are fitted on labelled rows (``fit``), all of them, as counts in a
-fixed number of bins; the driver holds bins x languages numbers.
+fixed number of bins. Every labelled language has a model: the counts stay a table, and
+texts are scored in blocks of ``BLOCK_LANGUAGES``, so the driver and each task hold bins x
+that many numbers; what a block has found passes through a written table to the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ TEMPER = 4.0
 ALPHA = 20.0
 SMOOTH = 0.5
 MIN_POSTERIOR = 0.65
-MAX_LANGUAGES = 64
+BLOCK_LANGUAGES = 64
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -64,7 +65,25 @@ def trigrams(data: bytes | None) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    logs: np.ndarray  # bins x languages, the last for the background
+    logs: np.ndarray | None = None  # bins x languages, the last for the background
+    counted: DataFrame | None = None  # lang, bin and n, instead of logs
+    block_languages: int = BLOCK_LANGUAGES
+
+    def blocks(self) -> Iterator[Model]:
+        """Models with logs for parts of the languages, each with the background; one part at a time is on the driver."""
+        if self.counted is None:
+            yield self
+            return
+        for low in range(0, len(self.languages), self.block_languages):
+            part = self.languages[low:low + self.block_languages]
+            logs = np.full((BINS, len(part) + 1), -np.log(BINS))
+            own = self.counted.filter(F.col("lang").isin(part)).toPandas()
+            for k, lang in enumerate(part):
+                rows = own[own["lang"] == lang]
+                sums = np.full(BINS, 0.02)
+                sums[rows["bin"].to_numpy()] += rows["n"].to_numpy()
+                logs[:, k] = np.log(sums / sums.sum())
+            yield Model(part, logs)
 
     def likelihoods(self, data: bytes | None) -> tuple[int, list[float]]:
         """Number of trigrams and the sum of their logarithms for each language and the background."""
@@ -75,36 +94,35 @@ class Model:
         return len(bins), total.tolist()
 
 
-def fit(rows: DataFrame, text: str, label: str) -> Model:
-    """Trigram models of the languages that ``label`` names."""
+def fit(rows: DataFrame, text: str, label: str, block_languages: int = BLOCK_LANGUAGES) -> Model:
+    """Trigram models of all languages that ``label`` names."""
     bounded_batches(rows.sparkSession)
     labelled = rows.filter(F.col(label).isNotNull())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for lang, own in sums.items():
+                used = np.flatnonzero(own)
+                yield pd.DataFrame({"lang": lang, "bin": used, "n": own[used]})
+            sums.clear()
+
         for batch in batches:
             for lang, data in zip(batch["lang"], batch["data"]):
+                if lang not in sums and len(sums) >= block_languages:
+                    yield from rows()
                 own = sums.setdefault(lang, np.zeros(BINS, np.int64))
                 bins = trigrams(data)
                 for low in range(0, len(bins), CHUNK):
                     own += np.bincount(bins[low:low + CHUNK], minlength=BINS)
-        for lang, own in sums.items():
-            used = np.flatnonzero(own)
-            yield pd.DataFrame({"lang": lang, "bin": used, "n": own[used]})
+        yield from rows()
 
     counted = labelled.select(F.col(label).cast("string").alias("lang"), bytes_of(text).alias("data")).mapInPandas(
         count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    # at most BINS rows for each of the languages with the most text
     counted = cut(counted)
-    most = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in most.collect())
-    logs = np.full((BINS, len(languages) + 1), -np.log(BINS))
-    for k, lang in enumerate(languages):
-        own = counted.filter(F.col("lang") == lang).select("bin", "n").toPandas()
-        sums = np.full(BINS, 0.02)
-        sums[own["bin"].to_numpy()] += own["n"].to_numpy()
-        logs[:, k] = np.log(sums / sums.sum())
-    return Model(languages, logs)
+    # a row per language, however many documents there are
+    return Model(sorted(r.lang for r in counted.select("lang").distinct().collect()), None, counted, block_languages)
 
 
 def text_evidence(model: Model, text: str) -> Column:
@@ -148,33 +166,40 @@ def _winner(logs: Column, languages: list[str]) -> Column:
 
 
 def _priors(rows: DataFrame, languages: list[str]):
-    """Tables of log P(language | host) and of log P(value | language) for declared and suffix."""
-    zero = F.array(*[F.lit(0.0)] * len(languages))
-    counts = rows.groupBy("host", "domain", "said", "suffix").agg(
-        *[F.sum((F.col("guess") == x).cast("double")).alias(f"c{k}") for k, x in enumerate(languages)])
-    counts = cut(counts)
-    each = [f"c{k}" for k in range(len(languages))]
-    whole = counts.agg(*[F.sum(c).alias(c) for c in each]).first()
-    total = [w or 0.0 for w in whole]
+    """Tables of log P(language | host) and of log P(value | language) for declared and suffix.
+
+    Counts are kept a row per key and language seen there, and are spread over all languages last.
+    """
+    zero, each = F.array(*[F.lit(0.0)] * len(languages)), F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    counts = cut(rows.groupBy("host", "domain", "said", "suffix", (F.array_position(F.array(*[F.lit(x) for x in languages]), F.col(
+        "guess")) - 1).cast("int").alias("at")).agg(F.count("*").cast("double").alias("c")))
+    known = lambda own: [own.get(k, 0.0) for k in range(len(languages))]
+    total = known({r["at"]: r["c"] for r in counts.filter("at >= 0").groupBy("at").agg(F.sum("c").alias("c")).collect()})
     base = [(t + 1.0) / (sum(total) + len(total)) for t in total]
 
-    def smoothed(own: list[Column], towards: list[Column]) -> list[Column]:
-        n = reduce(lambda a, b: a + b, own)
-        return [(c + ALPHA * p) / (n + ALPHA) for c, p in zip(own, towards)]
+    def spread(*keys: str) -> DataFrame:
+        """``keys`` with counts cs for all languages; rows without a guess count for none."""
+        seen = counts.groupBy(*keys, "at").agg(F.sum("c").alias("c"))
+        entries = F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "c")))
+        n = F.sum(F.when(F.col("at") >= 0, F.col("c")))
+        return seen.groupBy(*keys).agg(F.map_from_entries(entries).alias("m"), F.coalesce(n, F.lit(0.0)).alias("n")).select(
+            *keys, "n", F.transform(each, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("cs"))
+
+    def smoothed(towards: Column) -> Column:
+        return F.zip_with("cs", towards, lambda c, p: (c + ALPHA * p) / (F.col("n") + ALPHA))
 
-    domains = counts.filter("domain is not null").groupBy("domain").agg(*[F.sum(c).alias(c) for c in each])
-    domains = domains.select("domain", *[p.alias(f"d{k}") for k, p in enumerate(
-        smoothed([F.col(c) for c in each], [F.lit(p) for p in base]))])
-    hosts = counts.filter("host is not null").groupBy("host", "domain").agg(*[F.sum(c).alias(c) for c in each])
-    hosts = cut(hosts.join(domains, "domain").select(F.col("host").alias("__host"), F.array(*[F.log(p) for p in smoothed(
-        [F.col(c) for c in each], [F.col(f"d{k}") for k in range(len(each))])]).alias("__prior")))
+    domains = spread("domain").filter("domain is not null").select("domain", smoothed(F.array(*[F.lit(p) for p in base])).alias("ds"))
+    hosts = spread("host", "domain").filter("host is not null")
+    hosts = cut(hosts.join(domains, "domain").select(F.col("host").alias("__host"), F.transform(
+        smoothed(F.col("ds")), lambda p: F.log(p)).alias("__prior")))
 
     def given(column: str) -> DataFrame:
-        seen = counts.filter(F.col(column).isNotNull()).groupBy(column).agg(*[F.sum(c).alias(c) for c in each])
-        n = seen.agg(F.count("*"), *[F.sum(c) for c in each]).first()
-        values = n[0] or 0
-        return cut(seen.select(F.col(column).alias(f"__{column}"), F.array(*[
-            F.log((F.col(c) + SMOOTH) / ((n[k + 1] or 0.0) + SMOOTH * (values + 1))) for k, c in enumerate(each)]).alias(f"__of_{column}")))
+        seen = counts.filter(F.col(column).isNotNull())
+        n = known({r["at"]: r["c"] for r in seen.filter("at >= 0").groupBy("at").agg(F.sum("c").alias("c")).collect()})
+        values = seen.select(column).distinct().count()
+        below = F.array(*[F.lit(x + SMOOTH * (values + 1)) for x in n])
+        return cut(spread(column).filter(F.col(column).isNotNull()).select(F.col(column).alias(f"__{column}"), F.zip_with(
+            "cs", below, lambda c, d: F.log((c + SMOOTH) / d)).alias(f"__of_{column}")))
 
     return hosts, given("said"), given("suffix"), F.array(*[F.log(F.lit(p)) for p in base]), zero
 
@@ -192,10 +217,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
         return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("guess"), F.lit(0.0).alias("posterior"),
                                               F.lit(False).alias("accepted"), F.lit(0).cast("bigint").alias("n")))
     host = none if host is None else host
+    blocks = model.blocks()
+    first = next(blocks)
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
                         (none if declared is None else declared).alias("said"), host.alias("host"),
                         domain_of(host).alias("domain"), (none if suffix is None else suffix).alias("suffix"),
-                        text_evidence(model, text).alias("__text"))
+                        text_evidence(first, text).alias("__text"))
+    for block in blocks:
+        # what the blocks before have found is written before the next one is gathered
+        given = cut(given).withColumn("__now", text_evidence(block, f"__row.`{text}`"))
+        given = given.withColumn("__text", F.struct(F.col("__text.n").alias("n"), F.concat(
+            F.slice("__text.logs", F.lit(1), F.size("__text.logs") - 1), "__now.logs").alias("logs"))).drop("__now")
     logs = F.transform("__text.logs", lambda x: x / F.lit(TEMPER))
     read = given.select("said", "host", "domain", "suffix",
                         F.when(F.col("__text.n") > 0, _winner(F.col("__text.logs"), languages)).alias("guess"))

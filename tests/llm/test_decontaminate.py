@@ -59,3 +59,16 @@ def test_empty_tables(tables):
 def test_shift_skips():
     s = op.WuManber({tuple(b"abcdefghij"[i:i + 1] for i in range(10)): ["1"]}, 10)
     assert s.skip == 9 and list(s.search([b"q"] * 50)) == []
+
+
+def test_blocks_are_bounded(spark):
+    long = " ".join(f"w{k}" for k in range(500))
+    rows = [("same", "one two three four five six seven eight nine ten eleven")] * 300 + [("long", long), (None, "x y z")] + [
+        (str(k), f"short item {k}") for k in range(50)]
+    items = spark.createDataFrame(rows, "item string, text string").select("item", F.col("text").cast("binary").alias("data"))
+    parts = op._parts(items, 10, 40)
+    blocks = [op._block(parts, k) for k in range(1 + parts.agg(F.max("block")).first()[0])]
+    sizes = [sum(len(op.windows_of(d)) for _, d in b) for b in blocks]
+    assert max(sizes) <= 40 and min(sizes) > 0
+    found = [(i, w) for b in blocks for i, d in b for w in op.windows_of(d)]
+    assert sorted(found, key=str) == sorted({(i, w) for i, t in rows for w in op.windows_of(t.encode())}, key=str)

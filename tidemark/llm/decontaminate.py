@@ -7,8 +7,9 @@ search may jump: a block that no window holds skips m - 1 words at once. A block
 that ends some window leads to the bucket of windows with that suffix and, in it,
 to those that start with the right word; comparing the words confirms each place.
 
-The windows go to the tasks in blocks of at most ``block_windows``; documents of a
-later block pass through a written table, so that no task holds two blocks.
+The windows go to the tasks in blocks of at most ``block_windows``: repeated rows are
+made one, long items are cut into overlapping parts, and a running sum of windows
+says which block a part belongs to. Documents of a later block pass through a written table, so that no task holds two blocks.
 
 Null and empty texts have no words and are never hit. Items without words have no
 window. Items with a null id hit words but are not listed. Repeated items and
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import alnum_words, bounded_batches, bytes_of
@@ -108,17 +110,39 @@ def _searched(data: Column, items: list[tuple[str | None, bytes | None]], window
     return search(data)
 
 
-def _n_blocks(items: DataFrame, block_windows: int) -> int:
-    """In how many blocks the items have about ``block_windows`` windows each."""
-    # an item of n bytes has under n / 2 windows
-    size = items.agg(F.sum(F.length("data"))).first()[0] or 0
-    return max(1, -(-size // (2 * block_windows)))
+def _parts(items: DataFrame, window: int, block_windows: int) -> DataFrame:
+    """Distinct items in parts of at most a quarter of a block, with the block each belongs to."""
+    most = max(1, block_windows // 4)
+    # a part ends in its block, and up to most - 1 of its windows may count for the block before
+    step = block_windows - most + 1
 
-
-def _block(items: DataFrame, k: int, n: int) -> list[tuple[str | None, bytes]]:
-    """The items of one block; only one block at a time is on the driver."""
-    rows = items.filter(F.pmod(F.xxhash64("item", "data"), F.lit(n)) == k).collect()
-    return [(r.item, bytes(r.data)) for r in rows]
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, upto = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            rows = []
+            for item, data in zip(batch["item"], batch["data"]):
+                words = alnum_words(data)
+                windows = max(1, len(words) - window + 1) if words else 0
+                for low in range(0, windows, most):
+                    n = min(most, windows - low)
+                    upto += n
+                    rows.append((item, b" ".join(words[low:low + n + window - 1]), task, upto))
+            yield pd.DataFrame(rows, columns=["item", "data", "task", "upto"])
+
+    parts = cut(items.distinct().mapInPandas(cut_up, "item string, data binary, task int, upto bigint"))
+    # a row per task
+    before, sums = 0, []
+    for r in parts.groupBy("task").agg(F.max("upto").alias("n")).orderBy("task").collect():
+        sums.append((r.task, before))
+        before += r.n
+    offsets = items.sparkSession.createDataFrame(sums, "task int, before bigint")
+    return cut(parts.join(offsets, "task").select(
+        "item", "data", F.floor((F.col("before") + F.col("upto") - 1) / step).cast("bigint").alias("block")))
+
+
+def _block(parts: DataFrame, k: int) -> list[tuple[str | None, bytes]]:
+    """The parts of one block; only one block at a time is on the driver."""
+    return [(r.item, bytes(r.data)) for r in parts.filter(F.col("block") == k).collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -129,11 +153,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), bytes_of(item_text).alias("data")).filter("data is not null")
-    n = _n_blocks(items, block_windows)
-    out = docs.withColumn(into, _searched(bytes_of(text), _block(items, 0, n), window))
+    parts = _parts(items, window, block_windows)
+    n = 1 + (parts.agg(F.max("block")).first()[0] or 0)
+    out = docs.withColumn(into, _searched(bytes_of(text), _block(parts, 0), window))
     for k in range(1, n):
         # what the block before has found is written before the next one is gathered
-        out = cut(out).withColumn("__now", _searched(bytes_of(text), _block(items, k, n), window))
+        out = cut(out).withColumn("__now", _searched(bytes_of(text), _block(parts, k), window))
         out = out.withColumn(into, F.struct(
             F.col(f"{into}.n_words").alias("n_words"),
             *[F.concat(f"{into}.{c}", f"__now.{c}").alias(c) for c in ("firsts", "lasts")],

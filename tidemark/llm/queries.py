@@ -141,3 +141,33 @@ def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = ops.strip(read_table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("deduplicated.n_bytes").alias("n_bytes"), ops.n_removed().alias("n_removed"),
                         F.size("deduplicated.spans").cast("bigint").alias("n_spans"), F.sha2("deduplicated.kept", 256).alias("kept_sha256"))
+
+
+@register(QUERIES)
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in all documents, with corpus-wide counts of linked pairs."""
+    import public_tokenizers as public
+
+    ops = importlib.import_module("tidemark.llm.token_alignment")
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    found = ops.align(docs, public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN)
+    numbers = [F.col(f"alignment.{c}").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
+    groups = F.when(F.col("alignment.groups") == "", "").otherwise(F.sha2(F.col("alignment.groups").cast("binary"), 256))
+    return found.select("doc_id", *numbers, groups.alias("groups_sha256"))
+
+
+@register(QUERIES)
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after damage."""
+    ops = importlib.import_module("tidemark.llm.conversations")
+    return ops.repair(ops.damage(read_table(spark, sf, "conversations")))
+
+
+@register(QUERIES)
+def op13_katz(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of all documents under a model of those that are not held out."""
+    ops = importlib.import_module("tidemark.llm.katz")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", (remainder == 1).alias("held_out"))
+    scored = ops.score(docs, ops.fit(docs.filter(~F.col("held_out"))))
+    return scored.select("doc_id", "held_out", *[F.col(f"katz.{c}").alias(c) for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")])

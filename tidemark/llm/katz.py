@@ -42,11 +42,13 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import ASCII_LOWER, bounded_batches
 from tidemark.session import cut
 
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
+# A bucket's counts are rows of at most so many pairs.
+CHUNK = 1 << 17
 # Counts up to this are discounted.
 K = 5
 HOT = 500
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 16 << 20
 # Words whose hash a task remembers, bytes of text split at once, unseen tokens sent on at once.
 MEMORY = 300_000
 PART = 4 << 20
@@ -142,8 +144,8 @@ def _pack(*arrays: tuple[np.ndarray, str]) -> list[bytes]:
     return [a.astype(kind).tobytes() for a, kind in arrays]
 
 
-def _distinct(h: np.ndarray, w: np.ndarray, routes: Routes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs by bucket, history and token: bucket, h, w, their numbers, and the occurrences in that order."""
+def _distinct(h: np.ndarray, w: np.ndarray, routes: Routes, doc: np.ndarray | None = None) -> tuple:
+    """The distinct pairs by bucket and history: bucket, h, w, their numbers, and the documents of their occurrences in that order."""
     codes, _ = pd.factorize(fused(h, w))
     first = np.empty(codes.max() + 1 if len(codes) else 0, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -152,17 +154,20 @@ def _distinct(h: np.ndarray, w: np.ndarray, routes: Routes) -> tuple[np.ndarray,
         first = np.empty(codes.max() + 1, np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
     h1, w1 = h[first], w[first]
-    bucket = routes.of_pairs(h1, w1)
-    order = np.lexsort((w1, h1, bucket))
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    ranks = rank[codes]
-    return bucket[order], h1[order], w1[order], np.bincount(ranks, minlength=len(order)), np.argsort(ranks, kind="stable")
+    bucket, order = routes.of_pairs(h1, w1), np.argsort(h1)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    docs = None
+    if doc is not None:
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        docs = np.sort(rank[codes] << 32 | doc) & 0xFFFFFFFF
+    return bucket[order], h1[order], w1[order], np.bincount(codes, minlength=len(order))[order], docs
 
 
 # ------------------------------------------------------------------- counts
 
 COUNTS = "bucket long, h binary, k binary, w binary, c binary"
+SEQ_BITS = 20
 
 
 def _by_bucket(rows: DataFrame, key: str = "bucket", *then: str) -> DataFrame:
@@ -219,7 +224,7 @@ def routes_of(texts: DataFrame, n_bytes: int) -> Routes:
 
 
 def count(texts: DataFrame, routes: Routes) -> DataFrame:
-    """The bigram counts of a column of texts, a packed row a bucket, with counts of counts and what is known of hot ones.
+    """The bigram counts of a column of texts, packed, with counts of counts and what is known of hot ones; a row a ``chunk`` of a bucket.
 
     h holds the histories in order, k how many tokens follow each, w these tokens, c the
     counts of the pairs, total those of the histories (without hot ones in ``word``, ``word_n``).
@@ -246,16 +251,19 @@ def count(texts: DataFrame, routes: Routes) -> DataFrame:
                 starts, _ = _runs(h)
                 words, total = h[starts], np.add.reduceat(c, starts)
                 here = place_in(hot, words) >= 0
+                words, total, hot_h, hot_n = words[~here], total[~here], words[here], total[here]
                 of_pairs = np.flatnonzero(np.isin(fused(h, w), hot_pairs))
-                yield (bucket, *_packed(h, w, c), *_pack((words[~here], "<u8"), (total[~here], "<u8")),
-                       np.bincount(np.minimum(c, K + 2), minlength=K + 3).tolist(),
-                       np.bincount(np.minimum(total[~here], K + 2), minlength=K + 3).tolist(), int(total[~here].sum()),
-                       words[here].view(np.int64).tolist(), total[here].tolist(),
-                       h[of_pairs].view(np.int64).tolist(), w[of_pairs].view(np.int64).tolist(), c[of_pairs].tolist())
+                pairs = h[of_pairs].view(np.int64).tolist(), w[of_pairs].view(np.int64).tolist(), c[of_pairs].tolist()
+                for seq in range(parts := -(-len(c) // CHUNK)):
+                    h1, w1, c1, words1, total1 = (np.array_split(x, parts)[seq] for x in (h, w, c, words, total))
+                    more = [hot_h.view(np.int64).tolist(), hot_n.tolist(), *pairs] if seq == 0 else [[]] * 5
+                    yield (bucket, *_packed(h1, w1, c1), bucket << SEQ_BITS | seq, *_pack((words1, "<u8"), (total1, "<u8")),
+                           np.bincount(np.minimum(c1, K + 2), minlength=K + 3).tolist(),
+                           np.bincount(np.minimum(total1, K + 2), minlength=K + 3).tolist(), int(total1.sum()), *more)
 
         yield from _records(out(), full)
 
-    full = COUNTS + ", word binary, word_n binary" + "".join(f", {c} array<long>" for c in ("of_pairs", "of_words")) + ", tokens long" + "".join(
+    full = COUNTS + ", chunk long, word binary, word_n binary" + "".join(f", {c} array<long>" for c in ("of_pairs", "of_words")) + ", tokens long" + "".join(
         f", {c} array<long>" for c in ("hot_h", "hot_n", "pair_h", "pair_w", "pair_n"))
     return _by_bucket(texts.mapInArrow(tell, COUNTS)).mapInArrow(add, full)
 
@@ -353,19 +361,19 @@ def _known(counts: DataFrame, routes: Routes) -> Known:
 
 
 def _ask(counts: DataFrame, known: Known) -> DataFrame:
-    """Each bucket's followers, once each, to the buckets that count them."""
+    """Each chunk's followers, once each, to the buckets that count them."""
     routes = known.routes
 
     def run(batches):
         def out():
             for b in batches:
-                for bucket, w in zip(*[c.to_pylist() for c in b.columns]):
+                for chunk, w in zip(*[c.to_pylist() for c in b.columns]):
                     asked = _asked(np.frombuffer(w, "<u8"), routes)
-                    yield from ((k, 1, bucket, asked[s:e].tobytes(), None) for k, s, e in _slices(routes.of_words(asked)))
+                    yield from ((k, 1, chunk, asked[s:e].tobytes(), None) for k, s, e in _slices(routes.of_words(asked)))
 
-        yield from _records(out(), "to long, turn long, bucket long, w binary, n binary")
+        yield from _records(out(), "to long, turn long, chunk long, w binary, n binary")
 
-    return counts.select("bucket", "w").mapInArrow(run, "to long, turn long, bucket long, w binary, n binary")
+    return counts.select("chunk", "w").mapInArrow(run, "to long, turn long, chunk long, w binary, n binary")
 
 
 def _asked(w: np.ndarray, routes: Routes) -> np.ndarray:
@@ -381,37 +389,41 @@ def _words(counts: DataFrame, more: str) -> DataFrame:
 
 def _looked_up(rows: Iterator[tuple], answer: Callable) -> Iterator[tuple]:
     """Of one bucket's rows: the word counts come first, then what is asked."""
-    words, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    words, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, turn, more, w, x in rows:
         if turn == 0:
-            words, n = np.frombuffer(w, "<u8"), np.frombuffer(x, "<u8")
+            words.append(np.frombuffer(w, "<u8"))
+            n.append(np.frombuffer(x, "<u8").astype(np.int64))
             continue
-        asked = np.frombuffer(w, "<u8")
-        at = place_in(words, asked)
-        yield from answer(more, x, np.where(at >= 0, n[at] if len(n) else 0, 0).astype(np.int64))
+        if len(words) > 1:
+            words, n = [np.concatenate(words)], [np.concatenate(n)]
+            order = np.argsort(words[0])
+            words, n = [words[0][order]], [n[0][order]]
+        at = place_in(words[0], np.frombuffer(w, "<u8"))
+        yield from answer(more, x, np.where(at >= 0, n[0][at], 0) if len(n[0]) else np.zeros(len(at), np.int64))
 
 
-WEIGHTS = "bucket long, total binary, left binary, lower binary, hot_h array<long>, hot_left array<double>, hot_lower array<double>"
+WEIGHTS = "bucket long, h binary, total binary, left binary, lower binary, hot_h array<long>, hot_left array<double>, hot_lower array<double>"
 
 
 def weigh(counts: DataFrame, known: Known) -> DataFrame:
-    """Of each bucket's histories: count, what discounting leaves, and the unigram mass of their followers."""
+    """Of each chunk's histories: count, what discounting leaves, and the unigram mass of their followers; in parts where chunks part them."""
     routes = known.routes
-    two = "bucket long, turn long, to long, h binary, k binary, w binary, c binary"
+    two = "chunk long, turn long, to long, bucket long, h binary, k binary, w binary, c binary"
 
     def tell(batches):
         def out():
             for to, rows in _groups(batches):
-                yield from _looked_up(rows, lambda bucket, _, n: [(bucket, 1, to, None, None, None, n.astype("<u8").tobytes())])
+                yield from _looked_up(rows, lambda chunk, _, n: [(chunk, 1, to, None, None, None, None, n.astype("<u8").tobytes())])
 
         yield from _records(out(), two)
 
     def run(batches):
         def out():
-            for bucket, rows in _groups(batches):
-                _, _, _, h, k, w, c = next(rows)
+            for _, rows in _groups(batches):
+                _, _, _, bucket, h, k, w, c = next(rows)
                 h, k, w, c = (np.frombuffer(x, "<u8") for x in (h, k, w, c))
-                asked, answers = _asked(w, routes), [np.frombuffer(r[6], "<u8") for r in rows]
+                asked, answers = _asked(w, routes), [np.frombuffer(r[7], "<u8") for r in rows]
                 p = known.word_p(np.concatenate(answers)) if answers else np.zeros(0)
                 at, hot = place_in(asked, w), place_in(routes.hot, w)
                 p = np.where(at >= 0, p[at] if len(p) else 0.0, known.word_p(known.hot_n)[hot])
@@ -419,15 +431,15 @@ def weigh(counts: DataFrame, known: Known) -> DataFrame:
                 c = c.astype(np.int64)
                 total, left, lower = (np.add.reduceat(x, starts) for x in (c, known.left(c), p))
                 here = place_in(routes.hot, h) >= 0
-                yield (bucket, *_pack((total, "<u8"), (left, "<f8"), (lower, "<f8")), h[here].view(np.int64).tolist(),
+                yield (bucket, *_pack((h, "<u8"), (total, "<u8"), (left, "<f8"), (lower, "<f8")), h[here].view(np.int64).tolist(),
                        left[here].tolist(), lower[here].tolist())
 
         yield from _records(out(), WEIGHTS)
 
-    asked = _words(counts, "bucket").unionByName(_ask(counts, known))
+    asked = _words(counts, "chunk").unionByName(_ask(counts, known))
     told = _by_bucket(asked, "to", "turn").mapInArrow(tell, two)
-    own = counts.select("bucket", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("to"), "h", "k", "w", "c")
-    return _by_bucket(own.unionByName(told), "bucket", "turn", "to").mapInArrow(run, WEIGHTS)
+    own = counts.select("chunk", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("to"), "bucket", "h", "k", "w", "c")
+    return _by_bucket(own.unionByName(told), "chunk", "turn", "to").mapInArrow(run, WEIGHTS)
 
 
 def fit(texts: DataFrame, text: str = "text", n_bytes: int | None = None) -> Model:
@@ -449,6 +461,7 @@ def fit(texts: DataFrame, text: str = "text", n_bytes: int | None = None) -> Mod
 
 # -------------------------------------------------------------------- scores
 
+# Turn 0 and 1 are a bucket's counts and weights, 2 the pairs of a batch.
 ASK = "bucket long, turn long, batch long, h binary, k binary, w binary, m binary, d binary, total binary, left binary, lower binary"
 # ``part`` is the partition of documents, ``start`` and ``ids`` are places in it; the rest is for tokens that go on.
 TOLD = "part long, turn long, start long, ids binary, known binary, base binary, score binary, to long, w binary, uid binary"
@@ -458,22 +471,22 @@ ROW_BITS = 33
 class Table:
     """One bucket of the model."""
 
-    def __init__(self, known: Known, row: tuple | None = None):
-        r = known.routes
-        self.known = known
-        h, k, w, c = (np.frombuffer(x, "<u8") if row else np.zeros(0, np.uint64) for x in (row or [b""] * 11)[3:7])
-        of = np.repeat(h, k.astype(np.int64))
+    def __init__(self, known: Known, counts: list[tuple] = (), weights: list[tuple] = ()):
+        self.known, hot = known, known.routes.hot
+        joined = lambda rows, i, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[i], kind) for r in rows]])
+        of = np.repeat(joined(counts, 3, "<u8"), joined(counts, 4, "<u8").astype(np.int64))
+        w, c = joined(counts, 5, "<u8"), joined(counts, 6, "<u8").astype(np.int64)
         keys = fused(of, w)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.h, self.w, self.c = keys[order], of[order], w[order], c[order].astype(np.int64)
-        total, left, lower = (np.frombuffer(x, t) if row else np.zeros(0) for x, t in zip((row or [b""] * 11)[8:11], ("<u8", "<f8", "<f8")))
-        mine = place_in(r.hot, h) < 0
+        order = np.argsort(keys)
+        self.keys, self.h, self.w, self.c = keys[order], of[order], w[order], c[order]
+        h, numbers = joined(weights, 3, "<u8"), [joined(weights, i, kind) for i, kind in ((8, "<u8"), (9, "<f8"), (10, "<f8"))]
+        own = place_in(hot, h) < 0
         # hot histories are the same in all buckets
-        every = np.concatenate([h[mine], r.hot])
-        order = np.argsort(every)
-        self.histories = every[order]
-        self.total = np.concatenate([total[mine].astype(np.int64), known.hot_n])[order]
-        left, lower = np.concatenate([left[mine], known.hot_left])[order], np.concatenate([lower[mine], known.hot_lower])[order]
+        every = np.concatenate([h[own], hot])
+        self.histories, codes = np.unique(every, return_inverse=True)
+        total, left, lower = (np.bincount(codes, np.concatenate([x[own].astype(float), y]), len(self.histories))
+                              for x, y in zip(numbers, (known.hot_n, known.hot_left, known.hot_lower)))
+        self.total = total.astype(np.int64)
         self.over, self.weight = known.over_and_weight(self.total, left, lower)
 
     def look_up(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -508,9 +521,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                        F.monotonically_increasing_id().alias("uid"))
     row_type = rows.schema["row"].dataType.simpleString()
     asked = rows.mapInArrow(_requests(known), f"{ASK}, docs array<{row_type}>")
-    tables = model.counts.join(model.weights, "bucket").select(
-        "bucket", F.lit(0).cast("long").alias("turn"), F.lit(None).cast("long").alias("batch"), "h", "k", "w", F.col("c").alias("m"),
-        F.lit(None).cast("binary").alias("d"), "total", "left", "lower", F.lit(None).cast(f"array<{row_type}>").alias("docs"))
+    none = lambda c, kind="binary": F.lit(None).cast(kind).alias(c)
+    turn = lambda n: F.lit(n).cast("long").alias("turn")
+    ends = none("docs", f"array<{row_type}>")
+    tables = model.counts.select("bucket", turn(0), none("batch", "long"), "h", "k", "w", F.col("c").alias("m"), none("d"),
+                                 none("total"), none("left"), none("lower"), ends).unionByName(
+        model.weights.select("bucket", turn(1), none("batch", "long"), "h", none("k"), none("w"), none("m"), none("d"), "total", "left", "lower", ends))
     told = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(_answers(known), f"{TOLD}, docs array<{row_type}>")
     told = cut(told)
     unseen = told.filter("part is null").select("to", F.lit(1).cast("long").alias("turn"), F.lit(None).cast("long").alias("more"),
@@ -550,13 +566,13 @@ def _requests(known: Known):
                 p = np.log10(known.pair_d[np.minimum(c, K + 2)] * c / table.over[place_in(table.histories, h[local])])
                 score_ += np.bincount(doc[local], p, len(n))
                 h, w, doc = h[~local], w[~local], doc[~local]
-            bucket, h1, w1, m, order = _distinct(h, w, routes)
-            ends, doc = np.cumsum(m), doc[order]
+            bucket, h1, w1, m, doc = _distinct(h, w, routes, doc)
+            ends = np.cumsum(m)
             yield _head(batch, _pack((n, "<u8"), (n_known, "<u8"), (base, "<f8"), (score_, "<f8")), b.column(0))
             out = []
             for k, s, e in _slices(bucket):
                 starts, runs = _runs(h1[s:e])
-                out.append((k, 1, batch, *_pack((h1[s:e][starts], "<u8"), (runs, "<u4"), (w1[s:e], "<u8"), (m[s:e], "<u4"),
+                out.append((k, 2, batch, *_pack((h1[s:e][starts], "<u8"), (runs, "<u4"), (w1[s:e], "<u8"), (m[s:e], "<u4"),
                                                 (doc[ends[s] - m[s]:ends[e - 1]], "<u2" if len(n) < 1 << 16 else "<u4")),
                             *_pack((np.array([len(n)]), "<u8")), None, None))
             for r in _records(iter(out), ASK):
@@ -571,7 +587,7 @@ def _with_docs(r: pa.RecordBatch, row: pa.DataType) -> pa.RecordBatch:
 
 def _head(batch: int, numbers: list[bytes], rows: pa.Array) -> pa.RecordBatch:
     """A batch's documents and their numbers, which pass by the buckets."""
-    r = next(_records(iter([(-1 - batch, 1, batch, *numbers, None, None, None, None)]), ASK))
+    r = next(_records(iter([(-1 - batch, 2, batch, *numbers, None, None, None, None)]), ASK))
     docs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
     return pa.RecordBatch.from_arrays([*r.columns, docs], [*r.schema.names, "docs"])
 
@@ -582,7 +598,7 @@ def _answers(known: Known):
     hot_p = np.log10(known.word_p(known.hot_n))
 
     def run(batches):
-        table, at_bucket, unseen, held = Table(known), None, [], 0
+        table, at_bucket, counts, weights, unseen, held = None, None, [], [], [], 0
         row_type = None
 
         def send():
@@ -602,10 +618,14 @@ def _answers(known: Known):
                     r = next(_records(iter([(batch >> ROW_BITS, 1, batch & (1 << ROW_BITS) - 1, *row[3:7], None, None, None)]), TOLD))
                     yield pa.RecordBatch.from_arrays([*r.columns, b.column(b.num_columns - 1).slice(i, 1)], [*r.schema.names, "docs"])
                     continue
-                if turn == 0 or bucket != at_bucket:
-                    table, at_bucket = Table(known, row if turn == 0 else None), bucket
-                    if turn == 0:
-                        continue
+                if bucket != at_bucket:
+                    table, at_bucket, counts, weights = None, bucket, [], []
+                if turn < 2:
+                    (weights if turn else counts).append(row)
+                    continue
+                if table is None:
+                    table = Table(known, counts, weights)
+                    counts, weights = [], []
                 n_docs = int(np.frombuffer(row[8], "<u8")[0])
                 h, k, w, m = (np.frombuffer(x, t) for x, t in zip(row[3:7], ("<u8", "<u4", "<u8", "<u4")))
                 doc = np.frombuffer(row[7], "<u2" if n_docs < 1 << 16 else "<u4").astype(np.int64)

@@ -37,27 +37,32 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, bounded_batches
+from tidemark.llm.common import ASCII_LOWER
 from tidemark.session import cut
 
 BUCKET_BYTES = 12 << 20
 # A bucket's counts are rows of at most so many pairs.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
 # Counts up to this are discounted.
 K = 5
 HOT = 500
 SAMPLE_BYTES = 16 << 20
 # Words whose hash a task remembers, bytes of text split at once, unseen tokens sent on at once.
-MEMORY = 300_000
-PART = 4 << 20
-AT_ONCE = 1 << 20
+MEMORY = 150_000
+PART = 2 << 20
+AT_ONCE = 1 << 19
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 # Not words: they hold a space.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """A batch becomes arrays of about 30 times its bytes, so it is bounded below the other operators'."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(3 << 20))
+
+
 # -------------------------------------------------------------------- texts
 
 
@@ -180,14 +185,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
 
 
 def _records(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of a few megabytes."""
+    """Rows as batches of about a megabyte."""
     kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     fields = pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in schema.split(", "))])
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += sum(len(v) for v in row if isinstance(v, bytes))
-        if size > 4 << 20 or len(held) > 5000:
+        if size > 1 << 20 or len(held) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), fields)], schema=fields)
             held, size = [], 0
     if held:
@@ -444,7 +449,7 @@ def weigh(counts: DataFrame, known: Known) -> DataFrame:
 
 def fit(texts: DataFrame, text: str = "text", n_bytes: int | None = None) -> Model:
     """The model of a table's texts; ``n_bytes``, if given, is the size that buckets are made for."""
-    bounded_batches(texts.sparkSession)
+    _small_batches(texts.sparkSession)
     texts = texts.select(F.col(text).alias("text"))
     size = n_bytes if n_bytes is not None else texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     routes = routes_of(texts, size)
@@ -514,7 +519,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     half a count added. A column ``katz`` of ``docs`` is replaced. ``docs`` should be read
     from a table: a task that is run again has to see the same rows in the same order.
     """
-    bounded_batches(docs.sparkSession)
+    _small_batches(docs.sparkSession)
     known, routes = model.known, model.known.routes
     kept = [c for c in docs.columns if c not in (text, "katz")]
     rows = docs.select(F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("_")]).alias("row"), docs[text].alias("text"),

@@ -76,6 +76,7 @@ def test_matches_brute_force(spark, monkeypatch, tmp_path, limits):
         monkeypatch.setattr(op, name, value)
     if limits[1] == 5:
         monkeypatch.setattr(op, "CHUNK", 7)
+        monkeypatch.setattr(op, "WINDOW", 40)
         monkeypatch.setattr(op, "SAMPLE_BYTES", 4000)  # hot words are looked for from an eighth of it on
     monkeypatch.setattr(op, "AT_ONCE", 50)
     docs = spark.createDataFrame([(i, t, i % 4 == 1, "k") for i, t in enumerate(TEXTS)], "id long, text string, held boolean, score string").repartition(3)

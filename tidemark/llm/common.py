@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # An Arrow batch that goes to Python holds about so many bytes, however long its texts are.
@@ -17,6 +19,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the files of finished shuffles deleted before the next large one.
+
+    Spark deletes them once nothing in the driver refers to them, which it only learns
+    from a garbage collection; a driver that does little may not have one for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bytes_of(text: str) -> Column:
     """The UTF-8 bytes of a string column; null stays null."""
     return F.col(text).cast("binary")

@@ -39,16 +39,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import ASCII_LOWER
+from tidemark.llm.common import ASCII_LOWER, let_go
 from tidemark.session import cut
 
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 16 << 20
 # A bucket's counts are rows of at most so many pairs.
 CHUNK = 1 << 16
 # Counts up to this are discounted.
 K = 5
 HOT = 500
 SAMPLE_BYTES = 16 << 20
+# Tokens whose pairs a task makes distinct at once.
+WINDOW = 1 << 20
 # Words whose hash a task remembers, bytes of text split at once, unseen tokens sent on at once.
 MEMORY = 150_000
 PART = 2 << 20
@@ -175,6 +177,19 @@ COUNTS = "bucket long, h binary, k binary, w binary, c binary"
 SEQ_BITS = 20
 
 
+def _windows(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """Arrays of batches joined to about ``WINDOW`` numbers."""
+    held, size = [], 0
+    for arrays in batches:
+        held.append(arrays)
+        size += len(arrays[0])
+        if size >= WINDOW:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _by_bucket(rows: DataFrame, key: str = "bucket", *then: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, *then)
 
@@ -238,19 +253,16 @@ def count(texts: DataFrame, routes: Routes) -> DataFrame:
 
     def tell(batches):
         hashes = Hashes()
-        for b in batches:
-            h, w, _ = pairs_of(b.column(0).to_pylist(), hashes)
-            bucket, h, w, n, _ = _distinct(h, w, routes)
+        for parts in _windows((pairs_of(b.column(0).to_pylist(), hashes)[:2] for b in batches)):
+            bucket, h, w, n, _ = _distinct(*parts, routes)
             yield from _records(((k, *_packed(h[s:e], w[s:e], n[s:e])) for k, s, e in _slices(bucket)), COUNTS)
 
     def add(batches):
         def out():
             for bucket, rows in _groups(batches):
-                parts = [[np.frombuffer(x, "<u8") for x in r[1:]] for r in rows]
-                h = np.concatenate([np.repeat(p[0], p[1].astype(np.int64)) for p in parts])
-                w, c = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+                h, w, c = (np.concatenate(x) for x in zip(*[_unpacked(*r[1:]) for r in rows]))
                 order = np.lexsort((w, h))
-                h, w, c = h[order], w[order], c[order].astype(np.int64)
+                h, w, c = h[order], w[order], c[order]
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
                 h, w, c = h[new], w[new], np.add.reduceat(c, new)
                 starts, _ = _runs(h)
@@ -275,7 +287,26 @@ def count(texts: DataFrame, routes: Routes) -> DataFrame:
 
 def _packed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[bytes]:
     starts, k = _runs(h)
-    return _pack((h[starts], "<u8"), (k, "<u8"), (w, "<u8"), (n, "<u8"))
+    return [*_pack((h[starts], "<u8"), (k, "<u4")), _pack_words(w), n.astype("<u8").tobytes()]
+
+
+def _pack_words(w: np.ndarray) -> bytes:
+    """Words as their number, the distinct ones and places among these."""
+    words, places = np.unique(w, return_inverse=True)
+    return b"".join(_pack((np.array([len(words)]), "<u8"), (words, "<u8"), (places, "<u2" if len(words) <= 1 << 16 else "<u4")))
+
+
+def _distinct_words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8", int(np.frombuffer(data, "<u8", 1)[0]), 8)
+
+
+def _words_of(data: bytes) -> np.ndarray:
+    words = _distinct_words(data)
+    return words[np.frombuffer(data, "<u2" if len(words) <= 1 << 16 else "<u4", offset=8 + 8 * len(words))]
+
+
+def _unpacked(h: bytes, k: bytes, w: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(h, "<u8"), np.frombuffer(k, "<u4")), _words_of(w), np.frombuffer(n, "<u8").astype(np.int64)
 
 
 # -------------------------------------------------------------------- model
@@ -373,7 +404,7 @@ def _ask(counts: DataFrame, known: Known) -> DataFrame:
         def out():
             for b in batches:
                 for chunk, w in zip(*[c.to_pylist() for c in b.columns]):
-                    asked = _asked(np.frombuffer(w, "<u8"), routes)
+                    asked = _asked(w, routes)
                     yield from ((k, 1, chunk, asked[s:e].tobytes(), None) for k, s, e in _slices(routes.of_words(asked)))
 
         yield from _records(out(), "to long, turn long, chunk long, w binary, n binary")
@@ -381,8 +412,8 @@ def _ask(counts: DataFrame, known: Known) -> DataFrame:
     return counts.select("chunk", "w").mapInArrow(run, "to long, turn long, chunk long, w binary, n binary")
 
 
-def _asked(w: np.ndarray, routes: Routes) -> np.ndarray:
-    w = np.unique(w)
+def _asked(w: bytes, routes: Routes) -> np.ndarray:
+    w = _distinct_words(w)
     return w[place_in(routes.hot, w) < 0]
 
 
@@ -427,13 +458,12 @@ def weigh(counts: DataFrame, known: Known) -> DataFrame:
         def out():
             for _, rows in _groups(batches):
                 _, _, _, bucket, h, k, w, c = next(rows)
-                h, k, w, c = (np.frombuffer(x, "<u8") for x in (h, k, w, c))
                 asked, answers = _asked(w, routes), [np.frombuffer(r[7], "<u8") for r in rows]
+                h, k, w, c = np.frombuffer(h, "<u8"), np.frombuffer(k, "<u4").astype(np.int64), _words_of(w), np.frombuffer(c, "<u8").astype(np.int64)
                 p = known.word_p(np.concatenate(answers)) if answers else np.zeros(0)
                 at, hot = place_in(asked, w), place_in(routes.hot, w)
                 p = np.where(at >= 0, p[at] if len(p) else 0.0, known.word_p(known.hot_n)[hot])
-                starts = np.cumsum(k.astype(np.int64)) - k.astype(np.int64)
-                c = c.astype(np.int64)
+                starts = np.cumsum(k) - k
                 total, left, lower = (np.add.reduceat(x, starts) for x in (c, known.left(c), p))
                 here = place_in(routes.hot, h) >= 0
                 yield (bucket, *_pack((h, "<u8"), (total, "<u8"), (left, "<f8"), (lower, "<f8")), h[here].view(np.int64).tolist(),
@@ -455,6 +485,7 @@ def fit(texts: DataFrame, text: str = "text", n_bytes: int | None = None) -> Mod
     routes = routes_of(texts, size)
     counts = cut(count(texts, routes))
     known = _known(counts, routes)
+    let_go(texts.sparkSession)
     weights = cut(weigh(counts, known))
     known.hot_left, known.hot_lower = np.zeros(len(routes.hot)), np.zeros(len(routes.hot))
     hot = weights.select(F.explode(F.arrays_zip("hot_h", "hot_left", "hot_lower")).alias("x")).select("x.*")
@@ -479,8 +510,8 @@ class Table:
     def __init__(self, known: Known, counts: list[tuple] = (), weights: list[tuple] = ()):
         self.known, hot = known, known.routes.hot
         joined = lambda rows, i, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[i], kind) for r in rows]])
-        of = np.repeat(joined(counts, 3, "<u8"), joined(counts, 4, "<u8").astype(np.int64))
-        w, c = joined(counts, 5, "<u8"), joined(counts, 6, "<u8").astype(np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        of, w, c = (np.concatenate(x) for x in zip(none, *[_unpacked(*r[3:7]) for r in counts]))
         keys = fused(of, w)
         order = np.argsort(keys)
         self.keys, self.h, self.w, self.c = keys[order], of[order], w[order], c[order]
@@ -533,7 +564,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                                  none("total"), none("left"), none("lower"), ends).unionByName(
         model.weights.select("bucket", turn(1), none("batch", "long"), "h", none("k"), none("w"), none("m"), none("d"), "total", "left", "lower", ends))
     told = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(_answers(known), f"{TOLD}, docs array<{row_type}>")
+    let_go(docs.sparkSession)
     told = cut(told)
+    let_go(docs.sparkSession)
     unseen = told.filter("part is null").select("to", F.lit(1).cast("long").alias("turn"), F.lit(None).cast("long").alias("more"),
                                                 "w", F.col("uid").alias("n"))
     backed = _by_bucket(_words(model.counts, "more").unionByName(unseen), "to", "turn").mapInArrow(_back_off(known), TOLD)
@@ -550,38 +583,45 @@ def _requests(known: Known):
     routes = known.routes
     keys = fused(routes.hot_pairs[:, 0], routes.hot_pairs[:, 1])
     order = np.argsort(keys)
-    keys, pairs, pair_n = keys[order], routes.hot_pairs[order], known.pair_n[order]
+    keys, pairs_, pair_n = keys[order], routes.hot_pairs[order], known.pair_n[order]
 
     def run(batches):
-        hashes, table = Hashes(), Table(known)
-        for b in batches:
-            h, w, n = pairs_of(b.column(1).to_pylist(), hashes)
-            batch, doc = b.column(2)[0].as_py(), np.repeat(np.arange(len(n)), n)
-            # hot words count here, as do ends; the start is no token
-            hot = place_in(routes.hot, h)
-            counts = np.where((hot >= 0) & (h != START), known.hot_n[hot], -1)
-            base = np.bincount(doc, np.where(counts >= 0, known.base(np.maximum(counts, 0)), 0.0), len(n)) + known.base(np.array([known.ends]))
-            n_known = np.bincount(doc, counts > 0, len(n)).astype(np.int64) + (known.ends > 0)
-            score_ = np.zeros(len(n))
-            which = place_in(keys, fused(h, w))
-            local = (which >= 0) & (pairs[which, 0] == h) & (pairs[which, 1] == w) if len(keys) else which >= 0
-            if local.any():
-                # a hot pair of the sample is in the corpus, and its history is hot: all there is to know of it is known
-                c = pair_n[which[local]]
-                p = np.log10(known.pair_d[np.minimum(c, K + 2)] * c / table.over[place_in(table.histories, h[local])])
-                score_ += np.bincount(doc[local], p, len(n))
-                h, w, doc = h[~local], w[~local], doc[~local]
-            bucket, h1, w1, m, doc = _distinct(h, w, routes, doc)
-            ends = np.cumsum(m)
-            yield _head(batch, _pack((n, "<u8"), (n_known, "<u8"), (base, "<f8"), (score_, "<f8")), b.column(0))
-            out = []
+        hashes, table, heads = Hashes(), Table(known), []
+
+        def pairs():
+            for b in batches:
+                h, w, n = pairs_of(b.column(1).to_pylist(), hashes)
+                batch, doc = b.column(2)[0].as_py(), np.repeat(np.arange(len(n)), n)
+                # hot words count here, as do ends; the start is no token
+                hot = place_in(routes.hot, h)
+                counts = np.where((hot >= 0) & (h != START), known.hot_n[hot], -1)
+                base = np.bincount(doc, np.where(counts >= 0, known.base(np.maximum(counts, 0)), 0.0), len(n)) + known.base(np.array([known.ends]))
+                n_known = np.bincount(doc, counts > 0, len(n)).astype(np.int64) + (known.ends > 0)
+                score_ = np.zeros(len(n))
+                which = place_in(keys, fused(h, w))
+                local = (which >= 0) & (pairs_[which, 0] == h) & (pairs_[which, 1] == w) if len(keys) else which >= 0
+                if local.any():
+                    # a hot pair of the sample is in the corpus, and its history is hot: all there is to know of it is known
+                    c = pair_n[which[local]]
+                    p = np.log10(known.pair_d[np.minimum(c, K + 2)] * c / table.over[place_in(table.histories, h[local])])
+                    score_ += np.bincount(doc[local], p, len(n))
+                    h, w, doc = h[~local], w[~local], doc[~local]
+                heads.append(_head(batch, _pack((n, "<u8"), (n_known, "<u8"), (base, "<f8"), (score_, "<f8")), b.column(0)))
+                # places in the partition of documents
+                yield h, w, doc + (batch & (1 << ROW_BITS) - 1), np.full(len(n), batch)
+
+        for h, w, doc, batch in _windows(pairs()):
+            yield from heads
+            row_type, first, wide = heads[0].column(heads[0].num_columns - 1).type.value_type, int(batch[0]), len(batch) >= 1 << 16
+            heads.clear()
+            bucket, h, w, m, doc = _distinct(h, w, routes, doc - (first & (1 << ROW_BITS) - 1))
+            ends, out = np.cumsum(m), []
             for k, s, e in _slices(bucket):
-                starts, runs = _runs(h1[s:e])
-                out.append((k, 2, batch, *_pack((h1[s:e][starts], "<u8"), (runs, "<u4"), (w1[s:e], "<u8"), (m[s:e], "<u4"),
-                                                (doc[ends[s] - m[s]:ends[e - 1]], "<u2" if len(n) < 1 << 16 else "<u4")),
-                            *_pack((np.array([len(n)]), "<u8")), None, None))
+                starts, runs = _runs(h[s:e])
+                out.append((k, 2, first, *_pack((h[s:e][starts], "<u8"), (runs, "<u4")), _pack_words(w[s:e]),
+                            *_pack((m[s:e], "<u4"), (doc[ends[s] - m[s]:ends[e - 1]], "<u4" if wide else "<u2")), bytes([wide]), None, None))
             for r in _records(iter(out), ASK):
-                yield _with_docs(r, b.column(0).type)
+                yield _with_docs(r, row_type)
 
     return run
 
@@ -631,10 +671,9 @@ def _answers(known: Known):
                 if table is None:
                     table = Table(known, counts, weights)
                     counts, weights = [], []
-                n_docs = int(np.frombuffer(row[8], "<u8")[0])
-                h, k, w, m = (np.frombuffer(x, t) for x, t in zip(row[3:7], ("<u8", "<u4", "<u8", "<u4")))
-                doc = np.frombuffer(row[7], "<u2" if n_docs < 1 << 16 else "<u4").astype(np.int64)
-                h, m = np.repeat(h, k.astype(np.int64)), m.astype(np.int64)
+                h, k, w, m = np.frombuffer(row[3], "<u8"), np.frombuffer(row[4], "<u4"), _words_of(row[5]), np.frombuffer(row[6], "<u4")
+                doc = np.frombuffer(row[7], "<u4" if row[8][0] else "<u2").astype(np.int64)
+                h, m = np.repeat(h, k), m.astype(np.int64)
                 total, p, seen = table.look_up(h, w)
                 hot_w = place_in(routes.hot, w)
                 p = p + np.where(~seen & (hot_w >= 0), hot_p[hot_w], 0.0)

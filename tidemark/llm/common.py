@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # An Arrow batch that goes to Python holds about so many bytes, however long its texts are.
@@ -19,6 +23,27 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers live on between tasks and operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU C library
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that gives memory back when the task ends."""
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the files of finished shuffles deleted before the next large one.
 

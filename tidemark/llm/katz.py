@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import ASCII_LOWER, let_go
+from tidemark.llm.common import ASCII_LOWER, let_go, tidy
 from tidemark.session import cut
 
 BUCKET_BYTES = 16 << 20
@@ -50,7 +50,7 @@ K = 5
 HOT = 500
 SAMPLE_BYTES = 16 << 20
 # Tokens whose pairs a task makes distinct at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 # Words whose hash a task remembers, bytes of text split at once, unseen tokens sent on at once.
 MEMORY = 150_000
 PART = 2 << 20
@@ -232,7 +232,7 @@ def routes_of(texts: DataFrame, n_bytes: int) -> Routes:
             yield from _records(iter(out), "kind long, h long, w long, n long")
 
     share = min(1.0, SAMPLE_BYTES / n_bytes)
-    seen = (texts if share == 1 else texts.sample(share, 7)).mapInArrow(run, "kind long, h long, w long, n long")
+    seen = (texts if share == 1 else texts.sample(share, 7)).mapInArrow(tidy(run), "kind long, h long, w long, n long")
     sums = cut(seen.groupBy("kind", "h", "w").agg(F.sum("n").alias("n")))
     total = sums.filter("kind = -1").agg(F.sum("n")).first()[0] or 0
     # each has more than a HOT-th of the sample: at most HOT words and HOT pairs
@@ -282,7 +282,7 @@ def count(texts: DataFrame, routes: Routes) -> DataFrame:
 
     full = COUNTS + ", chunk long, word binary, word_n binary" + "".join(f", {c} array<long>" for c in ("of_pairs", "of_words")) + ", tokens long" + "".join(
         f", {c} array<long>" for c in ("hot_h", "hot_n", "pair_h", "pair_w", "pair_n"))
-    return _by_bucket(texts.mapInArrow(tell, COUNTS)).mapInArrow(add, full)
+    return _by_bucket(texts.mapInArrow(tidy(tell), COUNTS)).mapInArrow(tidy(add), full)
 
 
 def _packed(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -409,7 +409,7 @@ def _ask(counts: DataFrame, known: Known) -> DataFrame:
 
         yield from _records(out(), "to long, turn long, chunk long, w binary, n binary")
 
-    return counts.select("chunk", "w").mapInArrow(run, "to long, turn long, chunk long, w binary, n binary")
+    return counts.select("chunk", "w").mapInArrow(tidy(run), "to long, turn long, chunk long, w binary, n binary")
 
 
 def _asked(w: bytes, routes: Routes) -> np.ndarray:
@@ -472,9 +472,9 @@ def weigh(counts: DataFrame, known: Known) -> DataFrame:
         yield from _records(out(), WEIGHTS)
 
     asked = _words(counts, "chunk").unionByName(_ask(counts, known))
-    told = _by_bucket(asked, "to", "turn").mapInArrow(tell, two)
+    told = _by_bucket(asked, "to", "turn").mapInArrow(tidy(tell), two)
     own = counts.select("chunk", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("to"), "bucket", "h", "k", "w", "c")
-    return _by_bucket(own.unionByName(told), "chunk", "turn", "to").mapInArrow(run, WEIGHTS)
+    return _by_bucket(own.unionByName(told), "chunk", "turn", "to").mapInArrow(tidy(run), WEIGHTS)
 
 
 def fit(texts: DataFrame, text: str = "text", n_bytes: int | None = None) -> Model:
@@ -556,24 +556,24 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("_")]).alias("row"), docs[text].alias("text"),
                        F.monotonically_increasing_id().alias("uid"))
     row_type = rows.schema["row"].dataType.simpleString()
-    asked = rows.mapInArrow(_requests(known), f"{ASK}, docs array<{row_type}>")
+    asked = rows.mapInArrow(tidy(_requests(known)), f"{ASK}, docs array<{row_type}>")
     none = lambda c, kind="binary": F.lit(None).cast(kind).alias(c)
     turn = lambda n: F.lit(n).cast("long").alias("turn")
     ends = none("docs", f"array<{row_type}>")
     tables = model.counts.select("bucket", turn(0), none("batch", "long"), "h", "k", "w", F.col("c").alias("m"), none("d"),
                                  none("total"), none("left"), none("lower"), ends).unionByName(
         model.weights.select("bucket", turn(1), none("batch", "long"), "h", none("k"), none("w"), none("m"), none("d"), "total", "left", "lower", ends))
-    told = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(_answers(known), f"{TOLD}, docs array<{row_type}>")
+    told = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(tidy(_answers(known)), f"{TOLD}, docs array<{row_type}>")
     let_go(docs.sparkSession)
     told = cut(told)
     let_go(docs.sparkSession)
     unseen = told.filter("part is null").select("to", F.lit(1).cast("long").alias("turn"), F.lit(None).cast("long").alias("more"),
                                                 "w", F.col("uid").alias("n"))
-    backed = _by_bucket(_words(model.counts, "more").unionByName(unseen), "to", "turn").mapInArrow(_back_off(known), TOLD)
+    backed = _by_bucket(_words(model.counts, "more").unionByName(unseen), "to", "turn").mapInArrow(tidy(_back_off(known)), TOLD)
     backed = backed.withColumn("docs", F.lit(None).cast(f"array<{row_type}>"))
     sums = told.filter("part is not null").unionByName(backed).select("part", "turn", "start", "ids", "known", "base", "score", "docs")
     sums = _by_bucket(sums, "part", "turn", "start").mapInArrow(
-        _sum_up(known), f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
+        tidy(_sum_up(known)), f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
     katz = F.struct("n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
     return sums.select(*[F.col("row")[c].alias(c) for c in kept], katz.alias("katz"))
 

@@ -14,7 +14,7 @@ many that a bucket covers about ``BUCKET_BYTES`` of text, and a bucket's counts
 
 * ``count``: tasks count the pairs of each batch and send them by bucket, where they are added up.
 * ``weigh``: buckets ask each other for the unigram counts of their followers, each word once.
-* ``score``: the batches' pairs go to the buckets, with the documents that hold them; what is
+* ``score``: in ``ROUNDS`` parts of the documents, the batches' pairs go to the buckets, with the documents that hold them; what is
   seen there is scored, what is not goes on to the bucket of the word. Sums come back by batch.
 
 A word (or pair) with over a ``HOT``-th of a sample's tokens is hot. A hot history's pairs are
@@ -51,6 +51,8 @@ HOT = 500
 SAMPLE_BYTES = 16 << 20
 # Tokens whose pairs a task makes distinct at once.
 WINDOW = 1 << 19
+# Documents are scored in so many rounds, which bounds the pairs that are under way at once.
+ROUNDS = 3
 # Words whose hash a task remembers, bytes of text split at once, unseen tokens sent on at once.
 MEMORY = 150_000
 PART = 2 << 20
@@ -556,16 +558,19 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in kept] or [F.lit(0).alias("_")]).alias("row"), docs[text].alias("text"),
                        F.monotonically_increasing_id().alias("uid"))
     row_type = rows.schema["row"].dataType.simpleString()
-    asked = rows.mapInArrow(tidy(_requests(known)), f"{ASK}, docs array<{row_type}>")
     none = lambda c, kind="binary": F.lit(None).cast(kind).alias(c)
     turn = lambda n: F.lit(n).cast("long").alias("turn")
     ends = none("docs", f"array<{row_type}>")
     tables = model.counts.select("bucket", turn(0), none("batch", "long"), "h", "k", "w", F.col("c").alias("m"), none("d"),
                                  none("total"), none("left"), none("lower"), ends).unionByName(
         model.weights.select("bucket", turn(1), none("batch", "long"), "h", none("k"), none("w"), none("m"), none("d"), "total", "left", "lower", ends))
-    told = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(tidy(_answers(known)), f"{TOLD}, docs array<{row_type}>")
-    let_go(docs.sparkSession)
-    told = cut(told)
+    told = None
+    for k in range(ROUNDS):
+        asked = rows.filter(F.pmod(F.spark_partition_id(), F.lit(ROUNDS)) == k).mapInArrow(tidy(_requests(known)), f"{ASK}, docs array<{row_type}>")
+        answers = _by_bucket(tables.unionByName(asked), "bucket", "turn").mapInArrow(tidy(_answers(known)), f"{TOLD}, docs array<{row_type}>")
+        let_go(docs.sparkSession)
+        answers = cut(answers)
+        told = answers if told is None else told.unionByName(answers)
     let_go(docs.sparkSession)
     unseen = told.filter("part is null").select("to", F.lit(1).cast("long").alias("turn"), F.lit(None).cast("long").alias("more"),
                                                 "w", F.col("uid").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -50,8 +51,10 @@ def let_go(spark: SparkSession) -> None:
     Spark deletes them once nothing in the driver refers to them, which it only learns
     from a garbage collection; a driver that does little may not have one for long.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python let go of is let go in the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bytes_of(text: str) -> Column:

@@ -1,11 +1,13 @@
 """Quality rules as a learned decision list, with DataFrame operations only.
 
 Sequential covering, as in incremental reduced error pruning: labelled rows are dealt
-into a part to grow on and a part to prune on. A rule is a conjunction of thresholds
+into parts, and each rule is grown on all but one and pruned on that one, a different one
+for each rule. A rule is a conjunction of thresholds
 on statistics. It grows by the threshold with the highest information gain (FOIL)
 until it covers no good row, then loses the conditions from its end that do not help
-on the pruning part, and is kept while it is precise there; the rows it covers leave
-both parts and the next rule is learned. The list ends where no precise rule is left.
+on the pruning part, and is kept if it is precise there; the rows it covers leave all
+parts and the next rule is learned. A rule that is not precise is tried on another part;
+after all parts the rows it covers are set aside. The list ends where no rule is left.
 
 Spark counts; the driver only sees, per step, the counts of at most ``bins`` + 1
 values per statistic. Thresholds are quantiles, so labelled rows become vectors of
@@ -31,6 +33,8 @@ MAX_RULES = 12
 MAX_CONDITIONS = 4
 MIN_PRECISION = 0.9
 MIN_COVERED = 3
+# Rows are dealt into so many parts; a rule is grown on all but one and pruned on that one.
+PARTS = 3
 FEATURES = [*st.RATES, "n_words"]
 
 
@@ -112,29 +116,34 @@ def learn(labelled: DataFrame, stats: str, label: str, key: str, features: list[
     """Rules for bad rows from rows with a struct ``stats`` and a ``label`` that is 1 for good and 0 for bad."""
     flat = labelled.filter(F.col(label).isNotNull()).select(
         *[F.col(f"{stats}.{f}").cast("double").alias(f) for f in features],
-        (F.col(label) == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64(key), F.lit(3)) > 0).alias("grow"))
+        (F.col(label) == 0).cast("int").alias("bad"), F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part"))
     at = [k / bins for k in range(1, bins)]
     # quantiles of either class, as bad rows may be few
     found = flat.groupBy("bad").agg(*[F.percentile_approx(f, at, 1000).alias(f) for f in features]).collect()
     if len(found) < 2:
         return []
     thresholds = {f: sorted({x for row in found for x in row[f]}) for f in features}
-    binned = cut(flat.select(*[sum((F.col(f) > t).cast("int") for t in thresholds[f]).alias(f) for f in features], "bad", "grow")
-                 .groupBy(*features, "bad", "grow").agg(F.count("*").alias("n")))
+    binned = cut(flat.select(*[sum((F.col(f) > t).cast("int") for t in thresholds[f]).alias(f) for f in features], "bad", "part")
+                 .groupBy(*features, "bad", "part").agg(F.count("*").alias("n")))
     rules: list[Rule] = []
-    left = binned
-    while len(rules) < max_rules:
-        rule = _grow(left.filter("grow"), thresholds, max_conditions)
+    left, turn, failed = binned, 0, 0
+    while len(rules) < max_rules and turn < 3 * max_rules:
+        # each rule is pruned on another part of the rows than the one before
+        pruning = F.col("part") == turn % PARTS
+        turn += 1
+        rule = _grow(left.filter(~pruning), thresholds, max_conditions)
         if not rule:
             break
-        counts = _counts(left.filter("not grow"), rule)
-        worth = [(b - g) / (b + g) if b + g else -1.0 for b, g in counts]
-        upto = worth.index(max(worth))
-        bad, good = counts[upto]
-        if bad < min_covered or bad < min_precision * (bad + good):
-            break
-        rules.append(rule[:upto + 1])
-        left = left.filter(~_all([c.on_bin() for c in rules[-1]]))
+        counts = _counts(left.filter(pruning), rule)
+        fair = [(b / (b + g), b, k) for k, (b, g) in enumerate(counts) if b >= min_covered and b >= min_precision * (b + g)]
+        if fair:
+            rules.append(rule[:max(fair)[2] + 1])
+            left, failed = left.filter(~_all([c.on_bin() for c in rules[-1]])), 0
+            continue
+        failed += 1
+        if failed == PARTS:
+            # rejected however the rows were dealt: what it covers is set aside, and other rules are looked for
+            left, failed = left.filter(~_all([c.on_bin() for c in rule])), 0
     return rules
 
 

@@ -72,3 +72,11 @@ def test_blocks_are_bounded(spark):
     assert max(sizes) <= 40 and min(sizes) > 0
     found = [(i, w) for b in blocks for i, d in b for w in op.windows_of(d)]
     assert sorted(found, key=str) == sorted({(i, w) for i, t in rows for w in op.windows_of(t.encode())}, key=str)
+
+
+@pytest.mark.parametrize("block_windows", [200_000, 30])
+def test_columns_of_any_name(spark, tables, block_windows):
+    _, bench = tables
+    docs = spark.createDataFrame([(1, TEXTS[3], "a", "b", "c")], "doc_id long, text string, __now string, row string, found string")
+    row = op.find(docs, bench, block_windows=block_windows).first()
+    assert (row["__now"], row["row"], row["found"]) == ("a", "b", "c") and row.contamination.spans

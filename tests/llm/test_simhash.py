@@ -129,3 +129,9 @@ def test_query_matches_brute_force(spark):
     groups = groups_of(sorted(docs), lambda a, b: near(docs[a], docs[b]))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op7_simhash"][0](spark, sf).collect()}
     assert got == {d: (f"{docs[d]:016x}", groups[d]) for d in docs}
+
+
+def test_keep_one_with_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x", "y", 7, "z"), (2, "a b c d e f", "p", "q", 8, "r"), (3, "something else entirely here now", "u", "v", 9, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __hash_of string, root int, row string")
+    assert sorted(map(tuple, op.keep_one(docs).collect())) == [rows[0], rows[2]]

@@ -34,9 +34,10 @@ def give_back() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over a task's batches that gives memory back when the task ends."""
+    """A function over a task's batches that gives back what earlier tasks left, and its own when it ends."""
     @wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        give_back()
         try:
             yield from run(batches)
         finally:

@@ -155,19 +155,20 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), bytes_of(item_text).alias("data")).filter("data is not null")
     parts = _parts(items, window, block_windows)
     n = 1 + (parts.agg(F.max("block")).first()[0] or 0)
-    out = docs.withColumn(into, _searched(bytes_of(text), _block(parts, 0), window))
+    # columns of documents may have any name, so they stay in one
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    data = F.col("row").getField(text).cast("binary")
+    out = rows.select("row", _searched(data, _block(parts, 0), window).alias("found"))
     for k in range(1, n):
         # what the block before has found is written before the next one is gathered
-        out = cut(out).withColumn("__now", _searched(bytes_of(text), _block(parts, k), window))
-        out = out.withColumn(into, F.struct(
-            F.col(f"{into}.n_words").alias("n_words"),
-            *[F.concat(f"{into}.{c}", f"__now.{c}").alias(c) for c in ("firsts", "lasts")],
-            F.array_union(f"{into}.items", "__now.items").alias("items"))).drop("__now")
-    pairs = F.arrays_zip(F.col(f"{into}.firsts").alias("first"), F.col(f"{into}.lasts").alias("last"))
+        out = cut(out).select("row", "found", _searched(data, _block(parts, k), window).alias("now")).select("row", F.struct(
+            "found.n_words", *[F.concat(f"found.{c}", f"now.{c}").alias(c) for c in ("firsts", "lasts")],
+            F.array_union("found.items", "now.items").alias("items")).alias("found"))
+    pairs = F.arrays_zip(F.col("found.firsts").alias("first"), F.col("found.lasts").alias("last"))
     if n > 1:
         pairs = _joined(pairs)
-    return out.withColumn(into, F.struct(
-        F.col(f"{into}.n_words").alias("n_words"), pairs.alias("spans"), F.array_sort(f"{into}.items").alias("items")))
+    found = F.struct("found.n_words", pairs.alias("spans"), F.array_sort("found.items").alias("items"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], found.alias(into))
 
 
 def _joined(pairs: Column) -> Column:

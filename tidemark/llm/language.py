@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches, bytes_of
+from tidemark.llm.common import bounded_batches, bytes_of, tidy
 from tidemark.session import cut
 
 BINS = 1 << 15
@@ -119,7 +119,7 @@ def fit(rows: DataFrame, text: str, label: str, block_languages: int = BLOCK_LAN
         yield from rows()
 
     counted = labelled.select(F.col(label).cast("string").alias("lang"), bytes_of(text).alias("data")).mapInPandas(
-        count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+        tidy(count), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     # a row per language, however many documents there are
     return Model(sorted(r.lang for r in counted.select("lang").distinct().collect()), None, counted, block_languages)

@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches, bytes_of, spaced_words
+from tidemark.llm.common import bounded_batches, bytes_of, spaced_words, tidy
 from tidemark.llm.components import components, stars
 from tidemark.session import cut
 
@@ -209,9 +209,9 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, hot_homes: int = HOT_HOMES
     if threshold > THRESHOLD:
         raise ValueError("the triples cover up to four differing bits")
     spark = fps.sparkSession
-    crowded = cut(fps.mapInPandas(_homes, "anchor bigint").groupBy("anchor").count().filter(F.col("count") > hot_homes)
+    crowded = cut(fps.mapInPandas(tidy(_homes), "anchor bigint").groupBy("anchor").count().filter(F.col("count") > hot_homes)
                   .select("anchor", F.ceil(F.col("count") / hot_homes).cast("bigint").alias("parts")))
-    rows = fps.mapInPandas(_replicas, "slot bigint, fp bigint")
+    rows = fps.mapInPandas(tidy(_replicas), "slot bigint, fp bigint")
     if not crowded.isEmpty():
         # a part of those at home meets everything else at the anchor; the part stands above the anchor's bits
         parts = rows.withColumn("anchor", F.shiftright("slot", 1)).join(crowded, "anchor", "left")
@@ -223,7 +223,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, hot_homes: int = HOT_HOMES
              .bitwiseOR(F.shiftleft("part", 36))).alias("slot"), "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, F.shiftright("slot", 1)).sortWithinPartitions("slot")
-    return dealt.mapInPandas(_compare(threshold), "a bigint, b bigint")
+    return dealt.mapInPandas(tidy(_compare(threshold)), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -253,9 +253,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresh
     chosen = cut(rows.groupBy("root").agg(F.min(F.struct(
         F.isnull("__id").alias("no"), F.col("__id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("__n").alias("__n")))
         .alias("x")).select("x.__id", "x.__hash", "x.__n"))
-    hashed = docs.withColumn("__hash_of", F.xxhash64(text))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash_of") == F.col("__hash"))
-    kept = hashed.join(chosen, on, "left_semi")
+    # columns of documents may have any name, so they stay in one
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    kept = hashed.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left_semi")
     if not chosen.filter("__n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__hash_of"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -28,10 +28,10 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, give_back
 
 # Words, pieces and pairs a task remembers; beyond this the oldest half goes.
-MEMORY = 80_000
+MEMORY = 120_000
 PAIRS = 250_000
 NEVER = 1 << 60
 # A space before white space or the end, where a match need not start.
@@ -60,6 +60,8 @@ class Vocabulary:
             self.ends.add_word(b.decode("latin-1"), (i, len(b)))
         self.ends.make_automaton()
         self._spines: dict[int, tuple[list[int], list[int]] | None] = {}
+        # bytes by id
+        self.table = np.array([self.bytes.get(i) for i in range(max(self.bytes) + 1)], object)
 
     @staticmethod
     def read(path: str) -> "Vocabulary":
@@ -203,6 +205,11 @@ class Encoder:
         # " x" always starts a match of a pattern whose word classes take one space before them
         self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
 
+    def forget(self) -> None:
+        """Let all remembered words, pieces and pairs go."""
+        for memory in (self.known, self.old_known, self.pieces, self.old_pieces, self.voc.pairs):
+            memory.clear()
+
     @staticmethod
     def remember(young: dict[str, bytes], old: dict[str, bytes], key: str, make) -> bytes:
         """What ``key`` stands for, from the older memory or made anew; what is used stays among the young."""
@@ -223,8 +230,13 @@ class Encoder:
         return self.pieces.get(piece) or self.remember(self.pieces, self.old_pieces, piece, self.encode)
 
     def word(self, word: str) -> bytes:
-        """The ids of a word and the space before it."""
-        return self.words(" " + word)
+        """The ids of a word and the space before it; the matches after the first begin without a space."""
+        first, *rest = self.split(" " + word)
+        start = first[1:]
+        if not rest:
+            return self.encode(first)
+        known = self.known.get(start) or self.remember(self.known, self.old_known, start, lambda _: self.encode(first))
+        return known + b"".join([self.piece(p) for p in rest])
 
     def words(self, text: str) -> bytes:
         return b"".join([self.piece(p) for p in self.split(text)])
@@ -321,9 +333,30 @@ def as_array(ids: Column) -> Column:
     return unpacked(ids)
 
 
+def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
+    """A struct of the packed ids of each text and the bytes that the rank file decodes them to, in one pass through Python."""
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
+        encoder = Encoder(_vocabulary(path), pattern)
+        table = encoder.voc.table
+        try:
+            for batch in batches:
+                ids = [encoder.text(t) for t in batch]
+                yield pd.DataFrame({"ids": ids, "decoded": [b"".join(table[np.frombuffer(b, "<u4")].tolist()) for b in ids]}, dtype=object)
+        finally:
+            encoder.forget()
+            give_back()
+
+    return both(text)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with the columns ``ids`` (packed) and ``decoded`` (bytes); every row and other column stays."""
+    """``docs`` with the columns ``ids`` (packed) and ``decoded`` (bytes); every row and other column stays, unless it has such a name."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(ids, encode(F.col(text), path, pattern)).withColumn(decoded, decode(F.col(ids), path))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    coded = docs.select(row.alias("row"), encode_and_decode(F.col(text), path, pattern).alias("coded"))
+    return coded.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in (ids, decoded)],
+                        F.col("coded.ids").alias(ids), F.col("coded.decoded").alias(decoded))
 
 

@@ -140,7 +140,8 @@ def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     ops = importlib.import_module("tidemark.llm.suffix_dedup")
     found = ops.strip(read_table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("deduplicated.n_bytes").alias("n_bytes"), ops.n_removed().alias("n_removed"),
-                        F.size("deduplicated.spans").cast("bigint").alias("n_spans"), F.sha2("deduplicated.kept", 256).alias("kept_sha256"))
+                        F.size("deduplicated.spans").cast("bigint").alias("n_spans"), F.sha2("deduplicated.kept", 256).alias("kept_sha256"),
+                        (F.size("deduplicated.spans") > 0).alias("repeated"))
 
 
 @register(QUERIES)

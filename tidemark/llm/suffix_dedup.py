@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, let_go, tidy
 from tidemark.session import cut
 
 LENGTH = 400
@@ -44,7 +44,7 @@ STEP = 16
 # Every difference modulo STEP is one of two of these.
 COVER = (0, 1, 2, 5, 8)
 HOT_RUNS = 20_000
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 BUCKET_BYTES = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15
@@ -334,7 +334,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     bounded_batches(spark)
     base = _keyed(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")), "text")
     drawn = cut(base.select("id", F.col("__key").alias("key"), F.col("__data").alias("data")).mapInArrow(
-        _sketch(length, gram), "id string, key binary, n_bytes bigint, buckets array<bigint>, firsts array<bigint>, lasts array<bigint>"))
+        tidy(_sketch(length, gram)), "id string, key binary, n_bytes bigint, buckets array<bigint>, firsts array<bigint>, lasts array<bigint>"))
     texts = cut(drawn.filter(F.col("n_bytes") >= length).groupBy("key").agg(
         F.count("*").alias("copies"), F.min("id").alias("id"), F.first("n_bytes").alias("n_bytes"),
         *[F.first(c).alias(c) for c in ("buckets", "firsts", "lasts")]))
@@ -347,12 +347,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     one = own.join(wanted.withColumnRenamed("id", "__id").withColumnRenamed("key", "__k"),
                    (F.col("key") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__id")))
     regions = cut(one.select("key", "data", "runs").mapInPandas(
-        _regions(length), "bucket bigint, region binary, digest binary, key binary, firsts array<bigint>"))
+        tidy(_regions(length)), "bucket bigint, region binary, digest binary, key binary, firsts array<bigint>"))
     distinct = cut(regions.groupBy("digest").agg(
         F.first("bucket").alias("bucket"), F.first("region").alias("region"), (F.sum(F.size("firsts")) > 1).alias("many")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = distinct.filter("region is not null").repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(
-        _sorted_buckets(length), "digest binary, a bigint, b bigint")
+        tidy(_sorted_buckets(length)), "digest binary, a bigint, b bigint")
     every = distinct.filter("many").select("digest", F.lit(0).cast("bigint").alias("a"),
                                            F.coalesce(F.length("region") - length, F.lit(0)).cast("bigint").alias("b"))
     ranges = cut(sorted_.union(every).withColumnRenamed("digest", "__digest"))

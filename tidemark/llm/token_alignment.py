@@ -33,7 +33,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import give_back, tidy
 from tidemark.session import cut
 
 SHARD_PAIRS = 200_000
@@ -42,6 +42,7 @@ BLOCK_PAIRS = 4_000_000
 FLUSH_PAIRS = 1_000_000
 # Vectors of a shard that one task adds up.
 FAN = 32
+BATCH_BYTES = 2 << 20
 # Longer texts go to tokenizer B in parts, cut where no piece can reach across.
 PART = 1 << 20
 # One space between two visible ASCII characters.
@@ -110,16 +111,22 @@ def encode(text: Column, a_path: str, b_path: str, pattern: str) -> Column:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a, b = _tokenizers(a_path, b_path, pattern)
         a_bytes, b_bytes = a.bytes.__getitem__, b.bytes.__getitem__
-        for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for text in batch:
-                if text:
-                    left, right, data = a.encode(text), b.encode(text), (" " + text).encode()
-                    if b"".join(map(a_bytes, left)) == data and b"".join(map(b_bytes, right)) == data:
-                        out.append((np.array(left, "<u4").tobytes(), np.array(right, "<u4").tobytes()))
-                        continue
-                out.append((b"", b""))
-            yield pd.DataFrame(out, columns=["a", "b"])
+        try:
+            for batch in batches:
+                out: list[tuple[bytes, bytes]] = []
+                for text in batch:
+                    if text:
+                        left, right, data = a.encode(text), b.encode(text), (" " + text).encode()
+                        if b"".join(map(a_bytes, left)) == data and b"".join(map(b_bytes, right)) == data:
+                            out.append((np.array(left, "<u4").tobytes(), np.array(right, "<u4").tobytes()))
+                            continue
+                    out.append((b"", b""))
+                yield pd.DataFrame(out, columns=["a", "b"])
+        finally:
+            # workers live on; the passes that follow need no tokenizers
+            del a, b, a_bytes, b_bytes
+            _tokenizers.cache_clear()
+            give_back()
 
     return both(text)
 
@@ -321,7 +328,7 @@ def distinct_pairs(ids: DataFrame, a_len: np.ndarray, b_len: np.ndarray) -> Data
                 held = held[:0]
         yield pa.record_batch([pa.array(held)], ["pair"])
 
-    return ids.mapInArrow(run, "pair long").distinct()
+    return ids.mapInArrow(tidy(run), "pair long").distinct()
 
 
 def count_pairs(ids: DataFrame, block, a_len: np.ndarray, b_len: np.ndarray) -> DataFrame:
@@ -344,7 +351,7 @@ def count_pairs(ids: DataFrame, block, a_len: np.ndarray, b_len: np.ndarray) ->
             total += np.frombuffer(vector, np.int64)
         return pd.DataFrame([(int(group["shard"].iloc[0]), total.tobytes())], columns=["shard", "counts"])
 
-    sums = cut(ids.mapInArrow(run, "shard long, counts binary"))
+    sums = cut(ids.mapInArrow(tidy(run), "shard long, counts binary"))
     most = sums.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     while most > 1:
         most = -(-most // FAN)
@@ -384,7 +391,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, text: str = "
     columns may have any name. The files must be at these places on every machine.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    # a batch becomes arrays of about 20 times its bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kept = [c for c in docs.columns if c not in (text, "alignment")]
     a_tokens, b_tokens = _tokenizers(a_path, b_path, pattern)
     a_len, b_len = (np.array([len(x) for x in t.bytes], np.int64) for t in (a_tokens, b_tokens))

@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bounded_batches, let_go, tidy
+from tidemark.llm.common import tidy
 from tidemark.session import cut
 
 LENGTH = 400
@@ -331,7 +331,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     Texts without repeats have no row.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    # sorting takes about 60 times the bytes of a batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BUCKET_BYTES))
     base = _keyed(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")), "text")
     drawn = cut(base.select("id", F.col("__key").alias("key"), F.col("__data").alias("data")).mapInArrow(
         tidy(_sketch(length, gram)), "id string, key binary, n_bytes bigint, buckets array<bigint>, firsts array<bigint>, lasts array<bigint>"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import bounded_batches, give_back
 
 # Words, pieces and pairs a task remembers; beyond this the oldest half goes.
-MEMORY = 120_000
+MEMORY = 250_000
 PAIRS = 250_000
 NEVER = 1 << 60
 # A space before white space or the end, where a match need not start.

@@ -93,3 +93,46 @@ def test_descendants(spark):
     folders = spark.createDataFrame([("/m",), ("/m/a",), ("/x",)], "folder string")
     assert {tuple(r) for r in G.descendants(folders, docs).collect()} == {
         ("/m", "/m/a/b.md", 2), ("/m/a", "/m/a/b.md", 1), ("/m", "/m/c.md", 1)}
+
+
+def reached_at(edges, seed, tx):
+    """Plain search over the edges that hold after a transaction."""
+    ahead = {}
+    for s, d, a, b in edges:
+        if a <= tx < b:
+            ahead.setdefault(s, set()).add(d)
+    todo, seen = list(ahead.get(seed, ())), set()
+    while todo:
+        n = todo.pop()
+        if n not in seen:
+            seen.add(n)
+            todo.extend(ahead.get(n, ()))
+    return seen
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_closure_in_time(spark, seed):
+    rng = random.Random(seed)
+    # cycles, loops, long chains, repeated and overlapping intervals
+    edges = [(rng.randrange(7), rng.randrange(7), a, a + rng.randrange(1, 9)) for a in (rng.randrange(20) for _ in range(40))]
+    edges += [(n, n + 1, 3, 15 + n) for n in range(10, 18)] + [(18, 10, 5, G.FOREVER), edges[0]]
+    table = spark.createDataFrame(edges, "src long, dst long, from_tx long, to_tx long")
+    seeds = [0, 3, 10, 99]
+    rows = G.closure_in_time(spark.createDataFrame([(x,) for x in seeds + [3]], "seed long"), table).collect()
+    for tx in range(-1, 32):
+        got = sorted((r.seed, r.node) for r in rows if r.from_tx <= tx < r.to_tx)
+        assert got == sorted((s, n) for s in seeds for n in reached_at(edges, s, tx)), tx
+    # the intervals of a pair neither overlap nor touch
+    spans = sorted((r.seed, r.node, r.from_tx, r.to_tx) for r in rows)
+    assert all(a[:2] != b[:2] or a[3] < b[2] for a, b in zip(spans, spans[1:]))
+
+
+def test_edges_in_time(spark):
+    log = [("a", 1, "put", ["x", "y", "x", None]), ("a", 4, "put", ["x"]), ("a", 6, "delete", None), ("a", 9, "put", ["x"]),
+           ("b", 2, "put", None), ("b", 3, "put", []), ("c", 5, "put", ["a"]), ("c", 7, "put", ["a", "b"])]
+    edges = G.edges_in_time(spark.createDataFrame(log, "id string, tx_id long, op string, refs array<string>"), F.col("refs"))
+    assert sorted(map(tuple, edges.collect())) == [
+        ("a", "x", 1, 6), ("a", "x", 9, G.FOREVER), ("a", "y", 1, 4), ("c", "a", 5, G.FOREVER), ("c", "b", 7, G.FOREVER)]
+    # without any versions there is nothing to reach
+    none = G.closure_in_time(spark.createDataFrame([("a",)], "seed string"), edges.limit(0))
+    assert none.columns == ["seed", "node", "from_tx", "to_tx"] and none.count() == 0

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.paths import ancestors
+from tidemark.operators.ordered import tx_bucket, with_next, with_previous, with_running_sum
 from tidemark.operators.skew import BROADCAST_ROWS, is_small
 from tidemark.session import cut
 
 
 # Up to so many different lengths of links are listed in the plan.
 MOST_LENGTHS = 1000
+# Ends of intervals of transactions that have no other end; intervals hold their start and not their end.
+EVER, FOREVER = -(1 << 63), (1 << 63) - 1
 
 
 def _jumps(edges: DataFrame, doublings: int, growth: int) -> DataFrame:
@@ -60,6 +63,60 @@ def forward_closure(seeds: DataFrame, edges: DataFrame, **options) -> DataFrame:
     return reverse_closure(seeds, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), **options)
 
 
+def edges_in_time(log: DataFrame, refs: Column) -> DataFrame:
+    """``(src, dst, from_tx, to_tx)``: while which transactions the newest version of a document held a reference.
+
+    ``log`` has id, tx_id and op; ``refs`` is an array of ids that a put's document refers to
+    (null: none). Versions that go on holding a reference are one interval. Nulls in the array are no references.
+    """
+    versions = with_next(log.select("id", "tx_id", "op", F.array_distinct(refs).alias("__refs")), ["id"], ["tx_id"],
+                         tx_bucket(F.col("tx_id")), {"__to": "tx_id"})
+    held = versions.filter(F.col("op") == "put").select(
+        F.col("id").alias("src"), F.explode("__refs").alias("dst"), F.col("tx_id").cast("bigint").alias("from_tx"),
+        F.coalesce("__to", F.lit(FOREVER)).cast("bigint").alias("to_tx")).filter("dst is not null")
+    # a document's versions never overlap: an interval goes on where the one before ends
+    keys, bucket = ["src", "dst"], tx_bucket(F.col("from_tx"))
+    placed = with_previous(held, keys, ["from_tx"], bucket, {"__before": "to_tx"})
+    starts = placed.withColumn("__new", (~F.col("__before").eqNullSafe(F.col("from_tx"))).cast("int"))
+    runs = with_running_sum(starts, keys, ["from_tx"], bucket, "__new", "__run")
+    return runs.groupBy(*keys, "__run").agg(F.min("from_tx").alias("from_tx"), F.max("to_tx").alias("to_tx")).drop("__run")
+
+
+def _covering(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest intervals that the intervals of each key cover without a gap."""
+    before = W.partitionBy(*keys).orderBy("from_tx", "to_tx").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("from_tx", "to_tx").rowsBetween(W.unboundedPreceding, 0)
+    new = spans.withColumn("__new", F.coalesce(F.col("from_tx") > F.max("to_tx").over(before), F.lit(True)).cast("int"))
+    runs = new.withColumn("__run", F.sum("__new").over(upto))
+    return runs.groupBy(*keys, "__run").agg(F.min("from_tx").alias("from_tx"), F.max("to_tx").alias("to_tx")).drop("__run")
+
+
+def closure_in_time(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(seed, node, from_tx, to_tx)``: while which transactions a seed reached a node, over one edge or more.
+
+    ``edges(src, dst, from_tx, to_tx)`` as of ``edges_in_time``. A path holds while all its
+    edges do, so intervals are intersected along paths and united over them; those of one
+    pair neither overlap nor touch. Semi-naïve: a round goes on from what the one before found
+    and no earlier one covers, so cycles end, and work grows with what seeds reach.
+    """
+    pair = ["seed", "node"]
+    step = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("__next"), F.col("from_tx").alias("__from"), F.col("to_tx").alias("__to")))
+    frontier = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(EVER).alias("from_tx"), F.lit(FOREVER).alias("to_tx"))
+    visited: DataFrame | None = None
+    while True:
+        new = frontier.join(step, "node").select(
+            "seed", F.col("__next").alias("node"), F.greatest("from_tx", "__from").alias("from_tx"), F.least("to_tx", "__to").alias("to_tx"))
+        new = _covering(new.filter("from_tx < to_tx").distinct(), pair)
+        if visited is not None:
+            known = visited.select(*pair, F.col("from_tx").alias("__from"), F.col("to_tx").alias("__to"))
+            same = [new[c] == known[c] for c in pair]
+            new = new.join(known, [*same, known["__from"] <= new["from_tx"], new["to_tx"] <= known["__to"]], "left_anti")
+        frontier = cut(new)
+        if frontier.isEmpty():
+            return frontier if visited is None else visited
+        visited = frontier if visited is None else cut(_covering(visited.unionByName(frontier), pair))
+
+
 def descendants(folders: DataFrame, docs: DataFrame, folder: str = "folder", id_: str = "id") -> DataFrame:
     """``(folder, id, depth)`` of everything below each folder.
 

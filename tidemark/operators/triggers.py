@@ -126,11 +126,20 @@ def fire_self(ops: DataFrame, triggers: DataFrame, *kinds: str, namespace: str =
 def fire_refs(
     ops: DataFrame, triggers: DataFrame, closure: DataFrame, namespace: str = NAMESPACE
 ) -> DataFrame:
-    """``refs``: documents that reach a changed document; ``closure(seed, node)`` as ids."""
+    """``refs``: documents that reach a changed document; ``closure(seed, node)`` as ids.
+
+    A closure with ``from_tx`` and ``to_tx`` counts for the transactions from one up to the
+    other only, so that references are those after each transaction.
+    """
     t = _of_kind(triggers, "refs")
+    timed = "from_tx" in closure.columns
+    if timed:
+        closure = closure.withColumnsRenamed({"from_tx": "__since", "to_tx": "__until"})
     # the pairs shrink to trigger documents before they meet the changes
     dependents = closure.join(t, closure["node"] == t["self_id"]).drop("node")
     hit = _puts(ops).join(dependents, F.col("id") == F.col("seed"))
+    if timed:
+        hit = hit.filter((F.col("__since") <= F.col("tx_id")) & (F.col("tx_id") < F.col("__until"))).drop("__since", "__until")
     return _firings(_live(hit), "refs", F.col("id"), namespace)
 
 

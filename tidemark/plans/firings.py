@@ -224,3 +224,41 @@ def stream_firings(spark, sf):
     from tidemark.streaming.firings import firings_of_stream
 
     return firings_of_stream(spark, sf)
+
+
+# users refer to lower users by what their newest event is; every fifth has a trigger on what it refers to
+_IN_TIME = f"""lives AS (
+  SELECT CAST(replace(id, '/users/', '') AS BIGINT) AS u, op, type, k, tx_id AS f,
+         coalesce(lead(tx_id) OVER (PARTITION BY id ORDER BY tx_id), {G.FOREVER}) AS t FROM tx),
+held AS (
+  SELECT u AS src, u // 2 AS dst, f, t FROM lives WHERE op = 'put' AND u > 0 AND type IN ('purchase', 'view')
+  UNION
+  SELECT u, u // 3, f, t FROM lives WHERE op = 'put' AND u > 0 AND type = 'view'
+  UNION
+  SELECT u, u - 1 - k % 3, f, t FROM lives WHERE op = 'put' AND u > k % 3 AND type = 'signup'),
+reached(owner, node, f, t) AS (
+  SELECT src, dst, f, t FROM held WHERE src % 5 = 3
+  UNION
+  SELECT c.owner, e.dst, greatest(c.f, e.f), least(c.t, e.t) FROM reached c JOIN held e ON e.src = c.node
+  WHERE greatest(c.f, e.f) < least(c.t, e.t)),
+fired AS (SELECT DISTINCT tx_id, '/users/' || owner AS self_id, id FROM tx
+  JOIN reached ON id = '/users/' || node AND f <= tx_id AND tx_id < t WHERE op = 'put')"""
+
+
+@query(f"WITH RECURSIVE {I.TX}, {_IN_TIME} SELECT {_select(4, 'refs', op_seq='tx_id', idx='0', vector='false')} FROM fired")
+def trig_refs_as_of(spark, sf):
+    """Firings on references as they were after each transaction."""
+    log = I.tx(spark, sf).withColumn("u", F.substring_index("id", "/", -1).cast("bigint"))
+    user = lambda n: F.concat(F.lit("/users/"), n.cast("bigint").cast("string"))
+    half, third, near = F.floor(F.col("u") / 2), F.floor(F.col("u") / 3), F.col("u") - 1 - F.col("k") % 3
+    refs = F.when(F.col("u") > 0, F.when(F.col("type") == "purchase", F.array(user(half))).when(
+        F.col("type") == "view", F.array(user(half), user(third))).when(
+        (F.col("type") == "signup") & (near >= 0), F.array(user(near))))
+    owners = log.filter(F.col("u") % 5 == 3).select(F.col("id").alias("seed")).distinct()
+    # who reaches a changed document: the owner is the node, the document the seed
+    closure = G.closure_in_time(owners, G.edges_in_time(log, refs)).select(
+        F.col("node").alias("seed"), F.col("seed").alias("node"), "from_tx", "to_tx")
+    none = F.lit(None).cast("bigint")
+    triggers = owners.select(F.col("seed").alias("self_id"), F.lit("refs").alias("on_k"), F.lit(0).alias("idx"),
+                             F.lit(False).alias("is_vector"), none.alias("from_tx"), none.alias("to_tx"))
+    return Tr.fire_refs(log.withColumn("op_seq", F.col("tx_id")), triggers, closure)

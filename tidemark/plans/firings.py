@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from tidemark.model import FIRING_COLUMNS
-from tidemark.operators import graph as G, queries as Q, schedule as Sc, store as St, triggers as Tr
+from tidemark.operators import graph as G, queries as Q, schedule as Sc, standing as Sq, store as St, triggers as Tr
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import register
 
@@ -262,3 +262,81 @@ def trig_refs_as_of(spark, sf):
     triggers = owners.select(F.col("seed").alias("self_id"), F.lit("refs").alias("on_k"), F.lit(0).alias("idx"),
                              F.lit(False).alias("is_vector"), none.alias("from_tx"), none.alias("to_tx"))
     return Tr.fire_refs(log.withColumn("op_seq", F.col("tx_id")), triggers, closure)
+
+
+# a query of each customer's own; a third of them ask another one later, some store without calling, some name themselves as path
+_STANDING = f"""asks AS (
+  SELECT c_custkey AS c, v, (c_custkey * 7 + v * 500) % (SELECT count(*) FROM events) AS from_tx, c_custkey + v * 11 AS s
+  FROM customer, (VALUES (0), (1)) w(v) WHERE v = 0 OR c_custkey % 3 = 0),
+standing AS (
+  SELECT c, s, '/triggers/q' || c || '.md' AS self_id, from_tx, lead(from_tx) OVER (PARTITION BY c ORDER BY from_tx) AS to_tx,
+         c % 13 = 5 AS own_path, c % 5 <> 4 AS has_call FROM asks),
+versions AS (
+  SELECT id, type, value, k, tx_id AS f, lead(tx_id) OVER (PARTITION BY id ORDER BY tx_id) AS t, op FROM tx),
+matched AS (
+  SELECT s.c, s.from_tx, f, t, md5(CASE s % 3 WHEN 0 THEN '"' || id || '"' || chr(31) || k WHEN 1 THEN '"' || type || '"' ELSE '"' || id || '"' END) AS d
+  FROM standing s JOIN versions ON op = 'put' AND CASE s % 4
+    WHEN 0 THEN type = ['purchase', 'signup', 'view', 'click'][1 + s % 3] AND value > s % 97
+    WHEN 1 THEN k = s % 100
+    WHEN 2 THEN value >= s % 211 AND value < s % 211 + 3 AND type <> 'view'
+    ELSE type < 's' AND k <= s % 7 END),
+steps AS (
+  SELECT c, from_tx AS v, tx_id, sum(n) AS n, sum(n * a) AS a, sum(n * b) AS b FROM (
+    SELECT c, from_tx, f AS tx_id, 1 AS n, ('0x' || substr(d, 1, 15))::HUGEINT AS a, ('0x' || substr(d, 16, 15))::HUGEINT AS b FROM matched
+    UNION ALL
+    SELECT c, from_tx, t, -1, ('0x' || substr(d, 1, 15))::HUGEINT, ('0x' || substr(d, 16, 15))::HUGEINT FROM matched WHERE t IS NOT NULL)
+  GROUP BY ALL),
+sums AS (
+  SELECT c, v, tx_id, sum(n) OVER w AS n, sum(a) OVER w AS a, sum(b) OVER w AS b FROM steps WINDOW w AS (PARTITION BY c, v ORDER BY tx_id)),
+seen AS (
+  SELECT c, from_tx AS tx_id, coalesce(n, 0) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (
+    SELECT s.c, s.from_tx, max_by(n, x.tx_id) AS n, max_by(a, x.tx_id) AS a, max_by(b, x.tx_id) AS b
+    FROM standing s LEFT JOIN sums x ON x.c = s.c AND x.v = s.from_tx AND x.tx_id <= s.from_tx GROUP BY ALL)
+  UNION ALL
+  SELECT s.c, x.tx_id, n, a, b FROM standing s JOIN sums x ON x.c = s.c AND x.v = s.from_tx AND x.tx_id > s.from_tx AND (s.to_tx IS NULL OR x.tx_id < s.to_tx)),
+stored AS (
+  SELECT * FROM (SELECT *, md5(n || ':' || a || ':' || b) AS results_hash, lag(md5(n || ':' || a || ':' || b)) OVER (PARTITION BY c ORDER BY tx_id) AS before FROM seen)
+  WHERE results_hash IS DISTINCT FROM before AND c % 13 <> 5)"""
+
+
+def _standing(spark, sf):
+    """Users' events and customers' query documents as one log of documents, and the queries of it."""
+    t = I.tx(spark, sf)
+    n = I.table(spark, sf, "events").agg(F.count("*")).scalar()
+    events = t.select("tx_id", F.col("tx_id").alias("op_seq"), "op", "id", F.when(
+        F.col("op") == "put", F.parse_json(F.to_json(F.struct("type", "value", "k")))).alias("doc"))
+    c, s = F.col("c_custkey"), F.col("s")
+    asks = I.table(spark, sf, "customer").select(c, F.explode(F.when(c % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("v"))
+    asks = asks.withColumn("s", c + F.col("v") * 11)
+    text = lambda x: x.cast("string")
+    kind = F.get(F.array(*[F.lit(x) for x in ("purchase", "signup", "view", "click")]), (s % 3).cast("int"))
+    where = (F.when(s % 4 == 0, F.concat(F.lit('["type","'), kind, F.lit('"],["value",">",'), text(s % 97), F.lit("]")))
+             .when(s % 4 == 1, F.concat(F.lit('["k",'), text(s % 100), F.lit("]")))
+             .when(s % 4 == 2, F.concat(F.lit('["value",">=",'), text(s % 211), F.lit('],["value","<",'), text(s % 211 + 3), F.lit('],["type","!=","view"]')))
+             .otherwise(F.concat(F.lit('["type","<","s"],["k","<=",'), text(s % 7), F.lit("]"))))
+    show = F.when(s % 3 == 0, '["id","k"]').when(s % 3 == 1, '["type"]').otherwise('["id"]')
+    path = F.concat(F.when(c % 13 == 5, F.concat(F.lit("q"), text(c), F.lit(".md"))).otherwise(F.concat(F.lit("q"), text(c), F.lit(".edn"))))
+    call = F.when(c % 5 != 4, ',"call":"note"').otherwise("")
+    doc = F.concat(F.lit('{"tide.on/query":{"where":['), where, F.lit('],"show":'), show, F.lit(',"path":"'), path, F.lit('"'), call, F.lit("}}"))
+    at = (c * 7 + F.col("v") * 500) % n
+    asked = asks.select(at.cast("bigint").alias("tx_id"), (at + n).cast("bigint").alias("op_seq"), F.lit("put").alias("op"),
+                        F.concat(F.lit("/triggers/q"), text(c), F.lit(".md")).alias("id"), F.parse_json(doc).alias("doc"))
+    log = events.unionByName(asked)
+    triggers = Tr.triggers_of(log)
+    return log, triggers, Sq.queries_of(triggers)
+
+
+@query(f"""WITH {I.TX}, {_STANDING} SELECT tx_id, '/triggers/q' || c || '.md' AS self_id, 0 AS idx,
+  '/triggers/q' || c || '.edn' AS results_path, CAST(n AS BIGINT) AS n, results_hash, c % 5 <> 4 AS has_call FROM stored""")
+def standing_results(spark, sf):
+    """What many different standing queries store, and after which transaction."""
+    log, _, queries = _standing(spark, sf)
+    return Sq.stored_results(log, queries)
+
+
+@query(f"""WITH {I.TX}, {_STANDING} SELECT {_select(7, 'query', "'/triggers/q' || c || '.md'", 'NULL', _NULL, '0', 'false')}, results_hash
+FROM stored WHERE c % 5 <> 4""")
+def trig_standing(spark, sf):
+    """Firings of standing queries: those with a call, when their results changed."""
+    log, triggers, queries = _standing(spark, sf)
+    return Tr.fire_query(Sq.stored_results(log, queries), triggers).drop("spec")

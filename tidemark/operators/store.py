@@ -136,13 +136,36 @@ def sync_ops(seen: DataFrame, stored: DataFrame) -> DataFrame:
         F.col("seen").alias("modified"))
 
 
+def manifest_of(path: str) -> str:
+    """Where a log says which transactions are whole: next to its folder."""
+    return f"{path.rstrip('/')}-transactions"
+
+
 def append_ops(ops: DataFrame, path: str, tx_id: int, tx_time: Column) -> None:
     """Append one transaction to a parquet log.
 
     The transaction has a folder of its own that is overwritten as a whole, so a
-    repeated attempt after a failure leaves the same rows.
+    repeated attempt after a failure leaves the same rows. A line in the log's
+    manifest follows once all its files are there. Without an ``op_seq`` the operations
+    have no order among them and are numbered by their ids, alike in every attempt.
     """
+    if "op_seq" not in ops.columns:
+        ops = ops.withColumn("op_seq", F.xxhash64("id"))
     ops.withColumn("tx_time", tx_time).write.mode("overwrite").parquet(f"{path}/tx_id={tx_id}")
+    line = ops.sparkSession.range(1).select(F.lit(tx_id).cast("bigint").alias("of_tx"))
+    line.write.mode("overwrite").json(f"{manifest_of(path)}/tx_id={tx_id}")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append many transactions at once: ``rows`` have ``tx_id``, ``op_seq`` and ``tx_time``.
+
+    Each goes to the folder that ``append_ops`` would write, however many files it
+    needs, and replaces what was there; the manifest follows when all are written.
+    """
+    rows = rows.withColumn("of_tx", F.col("tx_id"))
+    write = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tx_id")
+    write(rows.drop("of_tx")).parquet(path)
+    write(rows.select("tx_id", "of_tx").distinct()).json(manifest_of(path))
 
 
 def upsert(docs: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:

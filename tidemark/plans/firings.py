@@ -340,3 +340,32 @@ def trig_standing(spark, sf):
     """Firings of standing queries: those with a call, when their results changed."""
     log, triggers, queries = _standing(spark, sf)
     return Tr.fire_query(Sq.stored_results(log, queries), triggers).drop("spec")
+
+
+# the same documents with a day as transaction; a user's last event of a day counts
+_BY_DAY = I.TX.replace("tx AS (", "single AS (", 1) + """, tx AS (
+  SELECT date_diff('day', DATE '2024-01-01', CAST(tx_time AS DATE)) AS tx_id, tx_id AS op_seq, op, id, type, value, k FROM single
+  QUALIFY row_number() OVER (PARTITION BY id, CAST(tx_time AS DATE) ORDER BY single.tx_id DESC) = 1)"""
+
+
+@query(f"""WITH {_BY_DAY}, {_LOG_SPECS}
+SELECT l.tx_id, 3 AS rank, c.op_seq, on_k, l.id AS self_id, idx,
+  'tide.on/modify' || CASE WHEN is_vector THEN '/' || idx ELSE '' END AS on_path, l.id AS target_id, spec
+FROM lives l JOIN tx c ON c.id = l.id AND c.tx_id = l.tx_id WHERE on_k = 'modify'
+UNION ALL
+SELECT c.tx_id, 5, c.op_seq, on_k, l.id, idx, 'tide.on/pattern', CASE WHEN c.op = 'put' THEN c.id END, spec
+FROM lives l JOIN tx c ON c.tx_id >= l.tx_id AND (l.to_tx IS NULL OR c.tx_id < l.to_tx) AND starts_with(c.id, l.id) AND length(c.id) = length(l.id) + 1
+WHERE on_k = 'pattern'""")
+def stream_log_firings(spark, sf):
+    """A log of a transaction a day, appended, streamed a week at a time and read back."""
+    from tidemark.session import scratch
+    from tidemark.streaming.firings import start_log_firings
+
+    day = F.datediff(F.to_date("tx_time"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    docs = _log_of_documents(spark, sf).join(I.tx(spark, sf).select("tx_id", "tx_time"), "tx_id").withColumn("tx_id", day)
+    last = docs.groupBy("id", "tx_id").agg(F.max("op_seq").alias("op_seq"))
+    log = scratch(spark, "log")
+    St.append_log(docs.join(last, ["id", "tx_id", "op_seq"], "left_semi"), log)
+    out = scratch(spark, "firings")
+    start_log_firings(spark, log, out, scratch(spark, "offsets"), transactions_at_once=7).awaitTermination()
+    return spark.read.schema("rank int, op_seq long, on_k string, self_id string, idx int, on_path string, target_id string, spec string, tx_id long").parquet(out)

@@ -16,7 +16,7 @@ from tidemark.session import cut
 from tidemark.sources import files as Fs, markdown as Md, readers as R
 from tidemark.sources.edn import edn_reader
 
-_LOGGED = "id string, op string, modified timestamp, parent string, doc variant, tx_time timestamp, tx_id long"
+_LOGGED = "id string, op string, modified timestamp, parent string, doc variant, op_seq long, tx_time timestamp, tx_id long"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -45,7 +45,7 @@ STEP = 16
 COVER = (0, 1, 2, 5, 8)
 HOT_RUNS = 20_000
 AT_ONCE = 1 << 19
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -222,6 +222,7 @@ class Sorter:
         for k in range(8):
             eight |= padded[k:n + k] << np.uint64(56 - 8 * k)
         r8 = dense(eight)
+        del padded, eight
         self.near = dense(r8, shifted(r8, 8))
         # ranks of cover positions; the one STEP bytes further is len(COVER) entries further
         cover = np.flatnonzero(ORDINAL[np.arange(STEP)] >= 0)
@@ -378,30 +379,42 @@ def merged(starts, stops) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_out(data: Column, starts: Column, stops: Column) -> Column:
-    @F.pandas_udf("kept binary, firsts array<bigint>, ends array<bigint>")
+def _cut_out(data: Column, starts: Column, stops: Column, characters: bool) -> Column:
+    kind = "string" if characters else "binary"
+
+    @F.pandas_udf(f"kept {kind}, firsts array<bigint>, ends array<bigint>")
     def cut_out(data: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
         rows = []
         for d, a, b in zip(data, starts, stops):
-            spans = merged(a, b) if a is not None else []
+            if a is None:
+                rows.append((None, [], []))
+                continue
+            spans = merged(a, b)
             at, parts = 0, []
             for x, y in spans:
                 parts.append(d[at:x])
                 at = y
-            rows.append((b"".join(parts) + d[at:] if spans else d, [x for x, _ in spans], [y for _, y in spans]))
+            kept = b"".join(parts) + d[at:]
+            rows.append((kept.decode("utf-8", "ignore") if characters else kept, [x for x, _ in spans], [y for _, y in spans]))
         return pd.DataFrame(rows, columns=["kept", "firsts", "ends"])
 
-    return cut_out(data, starts, stops)
+    # a text without repeats need not go to Python
+    return cut_out(F.when(starts.isNotNull(), data), starts, stops)
+
 
+def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into: str = "deduplicated", characters: bool = False,
+          **options) -> DataFrame:
+    """``docs`` with a struct ``into``: n_bytes, kept (the bytes that stay), spans (removed, as start and stop).
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into: str = "deduplicated", **options) -> DataFrame:
-    """``docs`` with a struct ``into``: n_bytes, kept (the bytes that stay), spans (removed, as start and stop)."""
+    With ``characters``, kept is a string without the characters of which only some bytes stay.
+    """
     spans = cut(repeats(docs, id_col, text, **options).withColumnRenamed("key", "__span_key"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = _keyed(docs.select(F.col(text).alias("__text"), row.alias("__row")), "__text").drop("__text")
     joined = keyed.join(spans, F.col("__key") == F.col("__span_key"), "left").withColumn(
-        "__cut", _cut_out(F.col("__data"), F.col("starts"), F.col("stops")))
-    found = F.struct(F.length("__data").cast("bigint").alias("n_bytes"), F.col("__cut.kept").alias("kept"),
+        "__cut", _cut_out(F.col("__data"), F.col("starts"), F.col("stops"), characters))
+    whole = F.coalesce(F.col("__row").getField(text), F.lit("")) if characters else F.col("__data")
+    found = F.struct(F.length("__data").cast("bigint").alias("n_bytes"), F.coalesce("__cut.kept", whole).alias("kept"),
                      F.arrays_zip(F.col("__cut.firsts").alias("start"), F.col("__cut.ends").alias("stop")).alias("spans"))
     return joined.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != into], found.alias(into))
 
@@ -415,11 +428,6 @@ def strip_text(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **op
 
     A character of which only some bytes are repeated goes as a whole. Null stays null.
     """
-    @F.pandas_udf("string")
-    def characters(kept: pd.Series) -> pd.Series:
-        return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
-
-    found = strip(docs, id_col, text, into="__deduplicated", **options)
-    new = F.when(F.col(text).isNotNull(), F.when(F.size("__deduplicated.spans") == 0, F.col(text)).otherwise(
-        characters(F.col("__deduplicated.kept"))))
+    found = strip(docs, id_col, text, into="__deduplicated", characters=True, **options)
+    new = F.when(F.col(f"`{text}`").isNotNull(), F.col("__deduplicated.kept"))
     return found.select(*[(new if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -156,22 +156,25 @@ class Prefixes:
         self.data += data
         # a token that ends at a new byte begins no earlier than here
         base = max(0, start - voc.longest + 1)
-        fits, pairs = voc.fits, voc.pairs.get
+        fits, pairs, put, n = voc.fits, voc.pairs.get, last.append, len(last)
+        due = n - base
         for end, (token, length) in voc.ends.iter(self.data[base:].decode("latin-1")):
-            end += base + 1
-            if end != len(last) + 1:
-                if end > len(last):
+            if end != due:
+                if end > due:
                     break
                 continue
-            begin = end - length
-            if begin == 0:
-                good = voc.is_own(token)
-            else:
-                good = pairs((last[begin - 1], token))
+            begin = n + 1 - length
+            if begin:
+                left = last[begin - 1]
+                good = pairs((left, token))
                 if good is None:
-                    good = fits(last[begin - 1], token)
+                    good = fits(left, token)
+            else:
+                good = voc.is_own(token)
             if good:
-                last.append(token)
+                put(token)
+                n += 1
+                due += 1
         if len(last) != len(self.data):
             raise ValueError(f"no token for byte {self.data[len(last)]}")
 
@@ -204,6 +207,8 @@ class Encoder:
         self.old_pieces: dict[str, bytes] = {}
         # " x" always starts a match of a pattern whose word classes take one space before them
         self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
+        # nothing but the letter class matches a space and letters, so no match ends among them
+        self.by_letters = self.by_words and all(a.startswith("'") for a in pattern.split(r"| ?\p{L}+|")[0].split("|"))
 
     def forget(self) -> None:
         """Let all remembered words, pieces and pairs go."""
@@ -231,6 +236,8 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of a word and the space before it; the matches after the first begin without a space."""
+        if self.by_letters and word.isascii() and word.isalpha():
+            return self.encode(" " + word)
         first, *rest = self.split(" " + word)
         start = first[1:]
         if not rest:

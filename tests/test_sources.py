@@ -109,6 +109,38 @@ def test_multipart(spark):
     assert got[2].split() == ["a", "b"] and got[3] == "plain"
 
 
+def test_mail_is_read_in_the_charsets_of_its_parts(spark):
+    plain = "Subject: s\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\nGrüße\n".encode("latin-1")
+    parts = b"\n".join([
+        b"Subject: t\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=cut\n",
+        b"--cut\nContent-Type: text/plain; charset=windows-1252\nContent-Transfer-Encoding: 8bit\n", "„zehn €“".encode("cp1252"),
+        b"--cut\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n", "naïve".encode(),
+        b"--cut\nContent-Type: text/plain; charset=none-such\nContent-Transfer-Encoding: 8bit\n", b"\xff", b"--cut--\n"])
+    rows = [(1, bytearray(plain)), (2, bytearray(parts)), (3, bytearray(b"Subject: u\n\nascii")), (4, None), (5, bytearray(b""))]
+    df = spark.createDataFrame(rows, "n int, raw binary").withColumn("text", Ml.text_of_bytes(F.col("raw")))
+    got = {r["n"]: (r["subject"], r["text"]) for r in Ml.read_messages(df, data="raw").collect()}
+    assert got[1] == ("s", "Grüße\n") and got[3] == ("u", "ascii")
+    assert got[2] == ("t", f"„zehn €“\nnaïve\n{Ml.UNSUPPORTED}")
+    assert got[4][0] is None and got[5][0] is None
+    # without the bytes only what is UTF-8 can be read
+    lossy = {r["n"]: r["text"] for r in Ml.read_messages(df.drop("raw")).collect()}
+    assert lossy[1] == "Gr\ufffd\ufffde\n" and lossy[3] == "ascii"
+
+
+def test_files_that_are_not_utf8_keep_their_bytes(spark, tmp_path):
+    latin = "Subject: s\nContent-Type: text/plain; charset=iso-8859-1\n\nGrüße".encode("latin-1")
+    (tmp_path / "a.eml").write_bytes(latin)
+    (tmp_path / "b.eml").write_bytes("Subject: t\n\nGrüße".encode())
+    (tmp_path / "c.eml").write_bytes(b"")
+    listed = spark.createDataFrame([(f"/m/{n}", str(tmp_path / n)) for n in ("a.eml", "b.eml", "c.eml", "gone.eml")], "id string, path string")
+    files = Fs.read_paths(listed)
+    read = {r["id"]: (r["text"], r["raw"]) for r in files.collect()}
+    assert read["/m/a.eml"][1] == latin and "\ufffd" in read["/m/a.eml"][0]
+    assert read["/m/b.eml"] == ("Subject: t\n\nGrüße", None) and read["/m/c.eml"] == ("", None) and read["/m/gone.eml"] == (None, None)
+    docs = {r[0]: json.loads(r[1]) for r in Ml.eml_reader(files).select("id", F.to_json("doc")).collect()}
+    assert docs["/m/a.eml"]["text"] == docs["/m/b.eml"]["text"] == "Grüße"
+
+
 def test_eml_documents(spark):
     doc = Ml.eml_reader(spark.createDataFrame([("/m/a.eml", MAIL)], "id string, text string")).select(F.to_json("doc")).first()[0]
     doc = json.loads(doc)

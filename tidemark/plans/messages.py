@@ -102,3 +102,17 @@ def mime_text(spark, sf):
               "--cut\nContent-Type: text/plain; charset=utf-8\n\nplain body of "), key,
         F.lit("\n\n--cut\nContent-Type: text/html; charset=utf-8\n\n"), F.col("html"), F.lit("\n--cut--\n"))
     return Ml.read_messages(p.select("page_id", raw.alias("text"))).select("page_id", "text", "subject")
+
+
+@query(r"""SELECT page_id, 'Page ' || page_id AS subject, 'Grüße von Seite ' || page_id || chr(10) ||
+  replace(regexp_replace(coalesce(html, ''), '[^\x{0}-\x{FF}]', '?', 'g'), chr(13) || chr(10), chr(10)) AS text FROM pages""")
+def mail_charset(spark, sf):
+    """Pages sent as 8-bit Latin-1 mail, source and all; what Latin-1 has no sign for is a question mark."""
+    p = I.spread(I.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    key = F.col("page_id").cast("string")
+    head = F.concat(F.lit("Subject: Page "), key, F.lit(
+        "\nMIME-Version: 1.0\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\n"))
+    body = F.concat(F.lit("Grüße von Seite "), key, F.lit("\n"), F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x{0}-\x{FF}]", "?"))
+    sent = p.select("page_id", F.concat(F.encode(head, "ISO-8859-1"), F.encode(body, "ISO-8859-1")).alias("raw"))
+    read = Ml.read_messages(sent.withColumn("text", Ml.text_of_bytes(F.col("raw"))), data="raw")
+    return read.select("page_id", "subject", "text")

@@ -46,22 +46,29 @@ def _list_folders(batches: Iterator[pd.DataFrame], must_exist: bool) -> Iterator
 def _read_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
 
-    def text_of(path: str) -> str | None:
+    def bytes_of(path: str) -> bytes | None:
         store, plain = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
         try:
             with store.open_input_stream(plain) as f:
-                return f.read().decode("utf-8", errors="replace")
+                return f.read()
         except FileNotFoundError:
             return None
 
     for batch in batches:
         for row in batch.itertuples(index=False):  # one file in memory at a time
-            yield pd.DataFrame([(row.id, row.path, text_of(row.path))], columns=["id", "path", "text"])
+            data = bytes_of(row.path)
+            try:
+                text, raw = None if data is None else data.decode("utf-8"), None
+            except UnicodeDecodeError:
+                text, raw = data.decode("utf-8", errors="replace"), data
+            yield pd.DataFrame([(row.id, row.path, text, raw)], columns=["id", "path", "text", "raw"])
 
 
 def read_paths(files: DataFrame) -> DataFrame:
-    """``(id, path, text)`` of listed files ``(id, path)``: only these are opened, by the tasks.
+    """``(id, path, text, raw)`` of listed files ``(id, path)``: only these are opened, by the tasks.
 
+    ``raw`` holds the bytes of files that are not UTF-8, for readers that know their charset;
+    in their text what cannot be read is replaced.
     The number of tasks follows from the bytes to read where the listing knows them, and
     is set explicitly: paths are tiny, so sizes of shuffled paths would put them all in one.
     """
@@ -69,7 +76,7 @@ def read_paths(files: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if "length" in files.columns:
         n = max(n, -(-(files.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
-    return files.select("id", "path").repartition(n, "path").mapInPandas(_read_paths, "id string, path string, text string")
+    return files.select("id", "path").repartition(n, "path").mapInPandas(_read_paths, "id string, path string, text string, raw binary")
 
 
 def qualified(spark: SparkSession, path: str) -> str:

@@ -150,7 +150,7 @@ def is_multipart(message: Column) -> Column:
 
 
 def _leaf(part) -> tuple[str, str]:
-    kind = part.get("Content-Type") or part.get_content_type()
+    kind = str(part.get("Content-Type") or part.get_content_type())
     if part.get_content_maintype() != "text":
         return kind, ""
     try:
@@ -177,12 +177,12 @@ def _leaves(part) -> list[tuple[str, str]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("body", T.StringType())])))
 def mime_parts(messages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Content type and decoded text of each part of a MIME message."""
+    """Content type and decoded text of each part of a MIME message, given as bytes."""
     from email import message_from_bytes
 
     for batch in messages:
         yield batch.map(lambda m: None if m is None else [
-            {"kind": k, "body": b} for k, b in _leaves(message_from_bytes(m.encode("utf-8")))])
+            {"kind": k, "body": b} for k, b in _leaves(message_from_bytes(bytes(m)))])
 
 
 def parts_text(parts: Column) -> Column:
@@ -200,18 +200,30 @@ def parts_text(parts: Column) -> Column:
     return F.coalesce(X.unix_newlines(F.array_join(F.transform(parts, one), "\n")), F.lit(NO_BODY))
 
 
-def read_messages(messages: DataFrame, message: str = "text") -> DataFrame:
-    """Like ``parse_messages``; only messages that need MIME decoding pass through Python."""
-    raw = messages.withColumn("__raw", F.when(is_multipart(F.col(message)), F.col(message)))
-    parsed = parse_messages(raw, message)
+def text_of_bytes(data: Column) -> Column:
+    """Bytes as UTF-8 text; what is not UTF-8 is replaced."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def read_messages(messages: DataFrame, message: str = "text", data: str | None = None) -> DataFrame:
+    """Like ``parse_messages``; only messages that need MIME decoding pass through Python.
+
+    ``data`` names a column with the bytes of messages whose text is not all UTF-8 and null for
+    the others: each part of these is read in its own charset.
+    """
+    eight_bit = F.lit(None).cast("binary") if data is None else F.col(data)
+    whole = F.coalesce(eight_bit, F.col(message).cast("binary"))
+    raw = messages.withColumn("__raw", F.when(eight_bit.isNotNull() | is_multipart(F.col(message)), whole))
+    parsed = parse_messages(raw.drop(data) if data else raw, message)
     # one pass: the others go to Python as nulls
     text = F.when(F.col("__raw").isNotNull(), parts_text(mime_parts(F.col("__raw")))).otherwise(F.col("text"))
     return parsed.withColumn("text", text).drop("__raw")
 
 
 def eml_reader(files: DataFrame) -> DataFrame:
-    """Messages as documents; attributes without a value are left out."""
-    rows = read_messages(files.select("id", "text"))
+    """Messages as documents; attributes without a value are left out. A column ``raw`` is read as ``read_paths`` gives it."""
+    data = [c for c in files.columns if c == "raw"]
+    rows = read_messages(files.select("id", "text", *data), data=data[0] if data else None)
     names = [c for c in rows.columns if c != "id"]
     entries = F.array(*[
         F.struct(F.lit(c).alias("key"), F.to_variant_object(F.array(F.col(c))).alias("v")) for c in names])

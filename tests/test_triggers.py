@@ -119,3 +119,20 @@ def test_firings_say_what_to_call(spark):
     got = Tr.compute_firings(log.select("tx_id", "op_seq", "op", "id"), Tr.triggers_of(log), query_changes=changes, ticks=ticks)
     assert [(r["tx_id"], r["rank"], r["on_k"], json.loads(r["spec"])["call"], r["results_hash"], r["ts"]) for r in Tr.in_order(got).collect()] == [
         (1, 9, "schedule", "t", None, 77), (2, 7, "query", "c", "h", None)]
+
+
+def test_an_ignored_put_keeps_a_schedule(spark):
+    """A put replaces a document's schedules, a delete ends them; an ignored put does neither."""
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    every = '{"tide.on/schedule": {"every": [2, "seconds"], "call": "t"}}'
+    rows = [(1, at(0), "put", "a", every, False), (2, at(3), "put", "a", '{"tide.on/schedule": {"every": 1, "call": "u"}}', True),
+            (3, at(7), "put", "a", "{}", False), (4, at(1), "put", "b", '{"tide.on/schedule": {"every": 3000}}', None),
+            (5, at(5), "delete", "b", None, None), (6, at(8), "put", "c", every, False), (7, at(8), "put", "d", '{"tide.on/schedule": {"every": "soon"}}', None)]
+    log = spark.createDataFrame(rows, "tx_id long, tx_time timestamp_ntz, op string, id string, j string, ignore boolean").withColumn(
+        "doc", F.try_parse_json("j")).drop("j")
+    ticks = Sc.schedule_ticks(log, F.lit(at(10)).cast("timestamp_ntz"))
+    zero = 1_704_067_200_000_000
+    got = sorted((r["self_id"], r["tx_id"], (r["ts"] - zero) / 1e6) for r in ticks.collect())
+    assert got == [("a", 1, 0), ("a", 1, 2), ("a", 1, 4), ("a", 1, 6), ("b", 4, 1), ("b", 4, 4), ("c", 6, 8)]
+    fired = Tr.fire_schedule(ticks, Tr.triggers_of(log.filter("not coalesce(ignore, false)")))
+    assert fired.count() == 7

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.values import duration_ms
+from tidemark.model import NAMESPACE
+from tidemark.operators import store as St, triggers as Tr
+
 # Ticks made from one row at a time; longer runs are split before they are made.
 TICKS_PER_ROW = 10_000
 
@@ -23,12 +27,14 @@ def expand_every(schedules: DataFrame, start: str = "start", end: str = "end", e
     """
     step = F.col(every_ms) * _MICROS
     total = F.ceil((F.col(end) - F.col(start)) / step).cast("bigint")
+    # with a number, as the runs are tiny and adaptive execution would put them all in one task
+    n = int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (
         schedules.filter((F.col(every_ms) > 0) & (F.col(end) > F.col(start)))
         .withColumn("__total", total)
         .withColumn("__from", F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.col("__total") - 1, F.lit(TICKS_PER_ROW).cast("bigint"))))
-        .repartition("__from", start)
+        .repartition(n, "__from", start)
     )
     last = F.least(F.col("__from") + TICKS_PER_ROW, F.col("__total")) - 1
     ticks = runs.withColumn("n", F.explode(F.sequence(F.col("__from"), last)))
@@ -109,3 +115,32 @@ def schedule_windows(history: DataFrame, until: Column) -> DataFrame:
     """
     return history.filter(F.col("op") == "put").withColumn(
         "end", F.coalesce(F.least("valid_to", until), until)).withColumnRenamed("valid_from", "start")
+
+
+def _micros(ts: Column, zoneless: bool) -> Column:
+    ts = ts.cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(ts, F.current_timezone()) if zoneless else ts)
+
+
+def schedule_ticks(log: DataFrame, until: Column, namespace: str = NAMESPACE) -> DataFrame:
+    """Ticks of the schedules that documents of a log carry: ``self_id, idx, tx_id, ts`` (microseconds), before ``until``.
+
+    ``log`` has ``tx_id, tx_time, op, id, doc`` (VARIANT) and the optional columns of ``normalise_ops``.
+    A schedule is ``{"every": ms}``, ``{"every": [n, unit]}`` or ``{"cron": line}``. It runs from its put to the
+    next put or delete of its document; operations that do not count, such as a put that asks to be
+    ignored, leave it running and start none. Specs without a readable time do not tick.
+    """
+    ops = St.normalise_ops(log)
+    specs = Tr.triggers_of(ops, namespace).filter("on_k = 'schedule'").select("self_id", "idx", "spec", F.col("from_tx").alias("tx_id"))
+    lives = schedule_windows(St.history(ops.select("id", "tx_id", "tx_time", "op")), until)
+    zoneless = dict(lives.dtypes)["start"] == "timestamp_ntz"
+    lives = lives.select(F.col("id").alias("self_id"), "tx_id", _micros(F.col("start"), zoneless).alias("start"),
+                         _micros(F.col("end"), zoneless).alias("end"))
+    at = lambda path: F.get_json_object("spec", path)
+    timed = specs.join(lives, ["self_id", "tx_id"]).select(
+        "self_id", "idx", "tx_id", "start", "end", at("$.cron").alias("cron"),
+        duration_ms(F.coalesce(at("$.every[0]"), at("$.every")).try_cast("bigint"), at("$.every[1]")).alias("every_ms"))
+    every = expand_every(timed.filter("every_ms is not null"))
+    cron = expand_cron(timed.filter("cron is not null and every_ms is null"))
+    names = ["self_id", "idx", "tx_id", F.col("at").alias("ts")]
+    return every.select(*names).unionByName(cron.select(*names))

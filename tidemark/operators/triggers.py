@@ -221,7 +221,12 @@ def fire_query(changes: DataFrame, triggers: DataFrame, namespace: str = NAMESPA
 def fire_schedule(ticks: DataFrame, triggers: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     """``schedule``: one firing per tick, ``ticks(self_id, idx, tx_id, ts)``, of the version put at ``tx_id``."""
     t = _of_kind(triggers, "schedule")
-    hit = ticks.select("self_id", "idx", "tx_id", "ts").join(t, ["self_id", "idx"])
+    hit = ticks.select("self_id", "idx", "tx_id", "ts")
+    if "from_tx" in triggers.columns:
+        # a tick meets its own version only, however many its document had
+        hit = hit.withColumn("from_tx", F.col("tx_id")).join(t, ["self_id", "idx", "from_tx"])
+    else:
+        hit = hit.join(t, ["self_id", "idx"])
     return _firings(_live(hit).withColumn("op_seq", F.lit(None).cast("bigint")), "schedule", F.lit(None), namespace)
 
 

@@ -217,6 +217,40 @@ def schedule_cron(spark, sf):
     return Sc.expand_cron(w).select("id", "tx_id", "at")
 
 
+# documents that carry schedules: every k hours, or two in a vector; some views ask to be ignored and change none
+@query(f"""WITH {I.TX}, counted AS (SELECT * FROM tx WHERE NOT (op = 'put' AND type = 'view' AND k % 3 = 0)),
+h AS (SELECT *, lead(tx_time) OVER (PARTITION BY id ORDER BY tx_id) AS next FROM counted),
+win AS (SELECT id, tx_id, type, k, epoch_us(tx_time) AS t0, epoch_us(coalesce(least(next, TIMESTAMP '{I.UNTIL}'), TIMESTAMP '{I.UNTIL}')) AS t1
+  FROM h WHERE op = 'put'),
+every AS (
+  SELECT id, tx_id, 0 AS idx, t0, t1, k * 3600000000 AS step, 'tide.on/schedule' AS on_path,
+    '{{"call":"tick","every":[' || k || ',"hours"]}}' AS spec FROM win WHERE type = 'signup' AND k > 0 AND t1 > t0
+  UNION ALL
+  SELECT id, tx_id, 1, t0, t1, 86400000000, 'tide.on/schedule/1', '{{"call":"daily","every":86400000}}' FROM win WHERE type = 'purchase' AND t1 > t0),
+hours AS (SELECT *, unnest(generate_series(t0 - t0 % 3600000000, t1, 3600000000)) AS hr FROM win WHERE type = 'purchase'),
+cron AS (SELECT *, hr + (k % 60) * 60000000 AS ts FROM hours WHERE hour(make_timestamp(hr)) % 6 = 0 AND dayofweek(make_timestamp(hr)) BETWEEN 1 AND 5)
+SELECT tx_id, 9 AS rank, id AS self_id, idx, on_path, spec, t0 + n * step AS ts
+FROM (SELECT *, unnest(generate_series(0, CAST(ceil((t1 - t0) / (step * 1.0)) AS BIGINT) - 1)) AS n FROM every)
+UNION ALL
+SELECT tx_id, 9, id, 0, 'tide.on/schedule/0', '{{"call":"note","cron":"' || k % 60 || ' */6 * * MON-FRI"}}', ts
+FROM cron WHERE ts >= t0 AND ts < t1""")
+def trig_schedule(spark, sf):
+    """Firings of the schedules in the documents of a log."""
+    t = I.tx(spark, sf)
+    k = F.col("k").cast("string")
+    text = (
+        F.when(F.col("type") == "signup", F.concat(F.lit('{"tide.on/schedule": {"every": ['), k, F.lit(', "hours"], "call": "tick"}}')))
+        .when(F.col("type") == "purchase", F.concat(F.lit('{"tide.on/schedule": [{"cron": "'), (F.col("k") % 60).cast("string"), F.lit(
+            ' */6 * * MON-FRI", "call": "note"}, {"every": 86400000, "call": "daily"}]}')))
+        .otherwise(F.lit('{"seen": true}')))
+    put = F.col("op") == "put"
+    log = t.select("tx_id", "tx_time", "op", "id", F.when(put, F.parse_json(text)).alias("doc"),
+                   (put & (F.col("type") == "view") & (F.col("k") % 3 == 0)).alias("ignore"))
+    ticks = Sc.schedule_ticks(log, I.ntz(I.UNTIL))
+    fired = Tr.fire_schedule(ticks, Tr.triggers_of(St.normalise_ops(log)))
+    return fired.select("tx_id", "rank", "self_id", "idx", "on_path", "spec", "ts")
+
+
 @query(f"""WITH {_BASE} {_SELF(3, 'modify')} UNION ALL {_PATTERN} UNION ALL {_TX} UNION ALL {_SELF(6, 'startup')}
 UNION ALL {_SAVED}""".replace("FROM ops", "FROM user_ops").replace(f"WITH {_BASE}", f"""WITH {_BASE}, user_ops AS (
   SELECT ops.* FROM ops WHERE id LIKE '/users/%')"""))

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators import store as St
@@ -53,3 +55,20 @@ def test_lifecycle(spark, tmp_path):
     assert ops == {"/test/file.txt": "delete"} and "/test/file.txt" not in docs
     h = St.history(read_log(spark, log)).filter("id = '/test/file.txt'")
     assert [r["op"] for r in h.orderBy("tx_id").collect()] == ["put", "put", "delete"]
+
+
+def test_a_log_that_cannot_be_read_is_not_empty(spark, tmp_path):
+    assert read_log(spark, str(tmp_path / "none")).count() == 0
+
+    class Reader:
+        def schema(self, _):
+            return self
+
+        def parquet(self, _):
+            raise AnalysisException("denied")
+
+    class Session:
+        read = Reader()
+
+    with pytest.raises(AnalysisException):
+        read_log(Session(), "log")

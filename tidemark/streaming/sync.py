@@ -20,10 +20,12 @@ _LOGGED = "id string, op string, modified timestamp, parent string, doc variant,
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log below ``path``; empty before its first transaction."""
+    """The log below ``path``; empty before its first transaction. One that is there and cannot be read is an error."""
     try:
         return spark.read.schema(_LOGGED).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _LOGGED)
 
 

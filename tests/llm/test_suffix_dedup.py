@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.llm import suffix_dedup as op
@@ -92,6 +93,13 @@ def test_matches_brute_force(spark, seed, length, hot):
         assert bytes(got.kept) == bytes(np.frombuffer(data[i], np.uint8)[keep]) and got.n_bytes == len(data[i])
 
 
+def test_buckets_keep_their_value_next_to_rows_without_one():
+    bucket, passage = (1 << 60) + 1, bytes(range(256)) * 2
+    runs = [{"first": 0, "last": 9, "bucket": bucket, "hot": False}, {"first": 10, "last": 11, "bucket": 7, "hot": True}]
+    out = next(op._regions(400)(iter([pd.DataFrame({"key": [b"k"], "data": [passage], "runs": [runs]})])))
+    assert [None if pd.isna(b) else int(b) for b in out["bucket"]] == [bucket, None, None]
+
+
 def test_ids_that_repeat_or_are_null(spark):
     long = "some words of a longer text " * 20
     rows = [(None, long), (1, long + "x"), (1, long + "x"), (None, None), (2, "short")]

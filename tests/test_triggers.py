@@ -136,3 +136,16 @@ def test_an_ignored_put_keeps_a_schedule(spark):
     assert got == [("a", 1, 0), ("a", 1, 2), ("a", 1, 4), ("a", 1, 6), ("b", 4, 1), ("b", 4, 4), ("c", 6, 8)]
     fired = Tr.fire_schedule(ticks, Tr.triggers_of(log.filter("not coalesce(ignore, false)")))
     assert fired.count() == 7
+
+
+def test_globs_meet_only_ids_that_start_as_they_do(spark, monkeypatch):
+    ids = spark.createDataFrame([(f"/u/{n}",) for n in range(100, 300)] + [("/v/a.log",)], "id string")
+    globs = spark.createDataFrame([(f"/u/{n}?",) for n in range(10, 30)] + [("**.log",), ("/u/{10,11}0",), ("/u/[12]*5",), ("/u/120",)], "glob string")
+    for listed in (100, 3):
+        monkeypatch.setattr(Tr, "LISTED_STARTS", listed)
+        got = sorted(tuple(r) for r in Tr.match_globs(ids, globs).select("id", "glob").collect())
+        want = [(f"/u/{n}", f"/u/{n // 10}?") for n in range(100, 300)] + [("/v/a.log", "**.log"), ("/u/100", "/u/{10,11}0"), ("/u/110", "/u/{10,11}0"), ("/u/120", "/u/120")]
+        assert got == sorted(want + [(f"/u/{n}", "/u/[12]*5") for n in range(105, 300, 10)])
+    monkeypatch.setattr(Tr, "matches_parts", lambda id_, parts: F.lit(True))
+    assert Tr.match_globs(ids, globs.filter("glob like '/u/__?'")).count() == 200
+    assert "BroadcastExchange" in Tr.match_globs(ids, globs)._jdf.queryExecution().toString()

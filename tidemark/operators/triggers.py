@@ -15,15 +15,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.paths import ancestors, glob_folder, glob_parts, matches_parts
+from tidemark.functions.paths import glob_parts, matches_parts
 from tidemark.functions.text import out_name
 from tidemark.functions.values import call_specs
 from tidemark.model import FIRING_COLUMNS, FIRING_DETAILS, NAMESPACE, TRIGGER_RANK, trigger_attr
 from tidemark.operators.ordered import TX_SPAN, tx_bucket, with_next
-from tidemark.operators.skew import is_small
+from tidemark.operators.skew import BROADCAST_KEYS, is_small
 
-# Up to this many folders that globs start in are listed in the plan.
-LISTED_FOLDERS = 500
+# Up to this many texts that globs start with are listed in the plan.
+LISTED_STARTS = 100
 
 
 def expand_specs(docs: DataFrame, kind: str, specs: Column, keep: list[str] = ()) -> DataFrame:
@@ -146,22 +146,26 @@ def fire_refs(
 def match_globs(ids: DataFrame, globs: DataFrame, id_: str = "id", glob: str = "glob") -> DataFrame:
     """Join ids with the globs that match them.
 
-    Each glob names literally the folder it starts in; an id can only match globs
-    that start in one of its own ancestor folders. Joining on that folder makes it
-    an equi-join whose expansion is bounded by path depth; the glob itself then
-    decides.
+    An id can only match globs whose literal text before their first wildcard it starts
+    with. Joining on that text makes it an equi-join whose expansion is bounded by the
+    number of lengths such texts have; the glob itself then decides.
     """
-    g = globs.withColumn("__folder", glob_folder(F.col(glob))).withColumn(
-        "__glob", glob_parts(F.col(glob)))
-    folders = ancestors(F.col(id_))
-    starts = g.select("__folder").distinct().limit(LISTED_FOLDERS + 1).collect()
-    if len(starts) <= LISTED_FOLDERS:
-        # few folders that globs start in: an id only keeps those of its own that are among them
-        listed = F.array(*[F.lit(r[0]) for r in starts]).cast("array<string>")
-        folders = F.array_intersect(folders, listed)
-    i = ids.withColumn("__folder", F.explode(folders))
-    return i.join(g, "__folder").filter(
-        matches_parts(F.col(id_), F.col("__glob"))).drop("__folder", "__glob")
+    g = globs.withColumn("__glob", glob_parts(F.col(glob))).withColumn("__start", F.col("__glob.prefix"))
+    first = g.select("__start").distinct().limit(LISTED_STARTS + 1).collect()
+    if len(first) <= LISTED_STARTS:
+        listed = F.array(*[F.lit(r[0]) for r in first]).cast("array<string>")
+        starts = F.filter(listed, lambda x: F.col(id_).startswith(x))
+    else:
+        lengths = sorted(r[0] for r in g.select(F.length("__start")).distinct().collect() if r[0] is not None)
+        starts = F.transform(
+            F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(id_)),
+            lambda n: F.substring(F.col(id_), F.lit(1), n))
+    if is_small(globs, BROADCAST_KEYS):
+        # few globs go to the ids, which are not gathered by how they start
+        g = F.broadcast(g)
+    i = ids.withColumn("__start", F.explode(starts))
+    return i.join(g, "__start").filter(
+        matches_parts(F.col(id_), F.col("__glob"))).drop("__start", "__glob")
 
 
 def fire_pattern(ops: DataFrame, triggers: DataFrame, namespace: str = NAMESPACE) -> DataFrame:

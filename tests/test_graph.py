@@ -136,3 +136,11 @@ def test_edges_in_time(spark):
     # without any versions there is nothing to reach
     none = G.closure_in_time(spark.createDataFrame([("a",)], "seed string"), edges.limit(0))
     assert none.columns == ["seed", "node", "from_tx", "to_tx"] and none.count() == 0
+
+
+def test_a_document_leaves_python_as_one_row():
+    import pandas as pd
+
+    frame = pd.DataFrame({"id": ["a", "b", "c"], "doc": ['{"x": {"y": {"é": 1}}}', '{"x": 1}', None]})
+    (out,) = Ex._pieces(iter([frame]))
+    assert out["source"].tolist() == ["a"] and [p["path"] for p in json.loads(out["pieces"][0])] == ["x.y", "x", "root"]

@@ -128,6 +128,22 @@ def test_closure_in_time(spark, seed):
     assert all(a[:2] != b[:2] or a[3] < b[2] for a, b in zip(spans, spans[1:]))
 
 
+def test_a_round_in_time_does_not_write_what_was_visited_again(spark, monkeypatch):
+    written, cut = [], G.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    # a long chain beside many short references
+    edges = [(n, n + 1, 0, 9) for n in range(8)] + [(0, n, 0, 9) for n in range(100, 200)]
+    rows = G.closure_in_time(spark.createDataFrame([(0,)], "seed long"), spark.createDataFrame(edges, "src long, dst long, from_tx long, to_tx long"))
+    assert sorted(r.node for r in rows.collect()) == [*range(1, 9), *range(100, 200)]
+    assert sum(written) <= 5 * len(edges)
+
+
 def test_edges_in_time(spark):
     log = [("a", 1, "put", ["x", "y", "x", None]), ("a", 4, "put", ["x"]), ("a", 6, "delete", None), ("a", 9, "put", ["x"]),
            ("b", 2, "put", None), ("b", 3, "put", []), ("c", 5, "put", ["a"]), ("c", 7, "put", ["a", "b"])]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.paths import ancestors
@@ -91,30 +93,44 @@ def _covering(spans: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "__run").agg(F.min("from_tx").alias("from_tx"), F.max("to_tx").alias("to_tx")).drop("__run")
 
 
-def closure_in_time(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def _with_part(parts: list[tuple[int, DataFrame]], part: DataFrame, most: int) -> list[tuple[int, DataFrame]]:
+    """``parts`` and one more; ``most`` of one level become one of the next, so a row is written anew a few times only."""
+    parts = [*parts, (0, part)]
+    while len(parts) >= most and parts[-most][0] == parts[-1][0]:
+        merged = reduce(DataFrame.unionByName, [df for _, df in parts[-most:]])
+        parts = [*parts[:-most], (parts[-1][0] + 1, cut(merged))]
+    return parts
+
+
+def closure_in_time(seeds: DataFrame, edges: DataFrame, compact_every: int = 8) -> DataFrame:
     """``(seed, node, from_tx, to_tx)``: while which transactions a seed reached a node, over one edge or more.
 
     ``edges(src, dst, from_tx, to_tx)`` as of ``edges_in_time``. A path holds while all its
     edges do, so intervals are intersected along paths and united over them; those of one
     pair neither overlap nor touch. Semi-naïve: a round goes on from what the one before found
-    and no earlier one covers, so cycles end, and work grows with what seeds reach.
+    and no earlier one covers, so cycles end, and work grows with what seeds reach. What was
+    visited stays in parts: a round reads of them the pairs it found, and they are united at the end.
     """
     pair = ["seed", "node"]
     step = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("__next"), F.col("from_tx").alias("__from"), F.col("to_tx").alias("__to")))
     frontier = seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(EVER).alias("from_tx"), F.lit(FOREVER).alias("to_tx"))
-    visited: DataFrame | None = None
+    parts: list[tuple[int, DataFrame]] = []
     while True:
         new = frontier.join(step, "node").select(
             "seed", F.col("__next").alias("node"), F.greatest("from_tx", "__from").alias("from_tx"), F.least("to_tx", "__to").alias("to_tx"))
-        new = _covering(new.filter("from_tx < to_tx").distinct(), pair)
-        if visited is not None:
-            known = visited.select(*pair, F.col("from_tx").alias("__from"), F.col("to_tx").alias("__to"))
-            same = [new[c] == known[c] for c in pair]
-            new = new.join(known, [*same, known["__from"] <= new["from_tx"], new["to_tx"] <= known["__to"]], "left_anti")
-        frontier = cut(new)
+        frontier = cut(_covering(new.filter("from_tx < to_tx").distinct(), pair))
+        if parts and not frontier.isEmpty():
+            visited = reduce(DataFrame.unionByName, [df for _, df in parts])
+            known = _covering(visited.join(frontier.select(*pair), pair, "left_semi"), pair).select(
+                *pair, F.col("from_tx").alias("__from"), F.col("to_tx").alias("__to"))
+            same = [frontier[c] == known[c] for c in pair]
+            frontier = cut(frontier.join(known, [*same, known["__from"] <= frontier["from_tx"], frontier["to_tx"] <= known["__to"]], "left_anti"))
         if frontier.isEmpty():
-            return frontier if visited is None else visited
-        visited = frontier if visited is None else cut(_covering(visited.unionByName(frontier), pair))
+            break
+        parts = _with_part(parts, frontier, compact_every)
+    if len(parts) <= 1:
+        return parts[0][1] if parts else frontier
+    return cut(_covering(reduce(DataFrame.unionByName, [df for _, df in parts]), pair))
 
 
 def descendants(folders: DataFrame, docs: DataFrame, folder: str = "folder", id_: str = "id") -> DataFrame:

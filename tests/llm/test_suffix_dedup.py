@@ -93,6 +93,29 @@ def test_matches_brute_force(spark, seed, length, hot):
         assert bytes(got.kept) == bytes(np.frombuffer(data[i], np.uint8)[keep]) and got.n_bytes == len(data[i])
 
 
+@pytest.mark.parametrize("limit", [0, 3000])
+def test_large_buckets_are_counted(spark, monkeypatch, limit):
+    real = op._sorted_buckets
+
+    def limited(length):
+        def sort(batches):
+            batches = list(batches)
+            sizes = pd.concat([b.assign(n=b["region"].str.len()) for b in batches]).groupby("bucket")["n"].sum() if batches else pd.Series([0])
+            if sizes.max() > limit:
+                raise ValueError(f"a bucket of {sizes.max()} bytes is sorted in one task")
+            yield from real(length)(iter(batches))
+
+        return sort
+
+    monkeypatch.setattr(op, "_sorted_buckets", limited)
+    # one passage in many different surroundings: a large bucket of few runs
+    texts = corpus(4, 48) + [f"{k} " * 9 + "the same passage stands between " + f" {k}" * 9 for k in range(100, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in op.strip(docs, length=48, gram=16, hot_bytes=limit).collect()}
+    for i, want in enumerate(brute([(t or "").encode() for t in texts], 48)):
+        assert [(s.start, s.stop) for s in rows[i].deduplicated.spans] == want, (i, texts[i])
+
+
 def test_buckets_keep_their_value_next_to_rows_without_one():
     bucket, passage = (1 << 60) + 1, bytes(range(256)) * 2
     runs = [{"first": 0, "last": 9, "bucket": bucket, "hot": False}, {"first": 10, "last": 11, "bucket": 7, "hot": True}]

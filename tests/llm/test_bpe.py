@@ -54,6 +54,21 @@ def test_edits(text, new, i, j):
     assert t.ids() == TIKTOKEN.encode_ordinary(text[:start] + new + text[stop:])
 
 
+def test_pieces_go_on_from_stored_first_bytes(monkeypatch):
+    seen = []
+    real = bpe.Prefixes.append
+
+    def append(self, data):
+        seen.append(data)
+        real(self, data)
+
+    monkeypatch.setattr(bpe.Prefixes, "append", append)
+    enc = bpe.Encoder(VOC, public.PATTERN)
+    words = ["menteciónaa", "menteciónbo", "mentequxxz", "ñandúñandúz", "ñandúñanzz"]
+    assert [ids(enc.text("x " + w)) for w in words] == [TIKTOKEN.encode_ordinary("x " + w) for w in words]
+    assert seen.count(b" mente") == 1 and "ciónbo".encode() in seen
+
+
 def test_edit_is_local():
     t = bpe.Text(ENC, "some words " * 2000)
     t.edit(11000, 11004, "other")

@@ -9,7 +9,8 @@ Two tokens may stand side by side when encoding their joined bytes gives just th
 back; that is decided once per pair and remembered.
 
 Appending therefore never changes what is stored, and an edit only asks for the
-pieces whose split can have changed (``Text.edit``).
+pieces whose split can have changed (``Text.edit``). Words go on from the stored
+entries of their first bytes (``Encoder.stems``).
 
 Texts are cut into the matches of ``pattern``, each encoded on its own without
 special tokens; a match that is a token as a whole is that token. Null is the empty
@@ -19,6 +20,7 @@ text, which has no tokens. Unknown ids decode to an error.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,9 @@ from tidemark.llm.common import bounded_batches, give_back
 # Words, pieces and pairs a task remembers; beyond this the oldest half goes.
 MEMORY = 250_000
 PAIRS = 250_000
+# Of so many first bytes of a piece the entries are remembered, for so many different ones.
+STEM = 6
+STEMS = 100_000
 NEVER = 1 << 60
 # A space before white space or the end, where a match need not start.
 BLANKS = regex.compile(r" (?:\s|\Z)")
@@ -147,8 +152,9 @@ class Vocabulary:
 class Prefixes:
     """The last token of every prefix of one growing byte string."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", stem: bytes = b"", known: tuple[int, ...] = ()):
+        """``known``: what is stored of ``stem``, to which ``data`` is appended."""
+        self.vocabulary, self.data, self.last = vocabulary, stem, list(known)
         self.append(data)
 
     def append(self, data: bytes) -> None:
@@ -156,13 +162,13 @@ class Prefixes:
         self.data += data
         # a token that ends at a new byte begins no earlier than here
         base = max(0, start - voc.longest + 1)
-        fits, pairs, put, n = voc.fits, voc.pairs.get, last.append, len(last)
+        fits, pairs, own, put, n = voc.fits, voc.pairs.get, voc._spines.get, last.append, len(last)
         due = n - base
         for end, (token, length) in voc.ends.iter(self.data[base:].decode("latin-1")):
-            if end != due:
-                if end > due:
-                    break
+            if end < due:
                 continue
+            if end > due:
+                break
             begin = n + 1 - length
             if begin:
                 left = last[begin - 1]
@@ -170,7 +176,7 @@ class Prefixes:
                 if good is None:
                     good = fits(left, token)
             else:
-                good = voc.is_own(token)
+                good = own(token) or voc.is_own(token)
             if good:
                 put(token)
                 n += 1
@@ -187,12 +193,20 @@ class Prefixes:
         return out[::-1]
 
 
-def encode_piece(voc: Vocabulary, data: bytes) -> list[int]:
-    """One match of the pattern."""
+def encode_piece(voc: Vocabulary, data: bytes, stems: dict[bytes, tuple[int, ...]]) -> list[int]:
+    """One match of the pattern; ``stems`` has the entries of first bytes seen before, and gets these."""
     whole = voc.ranks.get(data)
     if whole is not None:
         return [whole]
-    return Prefixes(voc, data).tokens()
+    if len(data) <= STEM:
+        return Prefixes(voc, data).tokens()
+    stem = data[:STEM]
+    known = stems.get(stem)
+    if known is None:
+        if len(stems) >= STEMS:
+            stems.clear()
+        known = stems[stem] = tuple(Prefixes(voc, stem).last)
+    return Prefixes(voc, data[STEM:], stem, known).tokens()
 
 
 class Encoder:
@@ -205,6 +219,7 @@ class Encoder:
         self.old_known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
         # " x" always starts a match of a pattern whose word classes take one space before them
         self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
         # nothing but the letter class matches a space and letters, so no match ends among them
@@ -212,7 +227,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Let all remembered words, pieces and pairs go."""
-        for memory in (self.known, self.old_known, self.pieces, self.old_pieces, self.voc.pairs):
+        for memory in (self.known, self.old_known, self.pieces, self.old_pieces, self.stems, self.voc.pairs):
             memory.clear()
 
     @staticmethod
@@ -228,7 +243,8 @@ class Encoder:
         return ids
 
     def encode(self, piece: str) -> bytes:
-        return np.array(encode_piece(self.voc, piece.encode()), "<u4").tobytes()
+        ids = encode_piece(self.voc, piece.encode(), self.stems)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, piece: str) -> bytes:
         """The ids of a match, as little-endian unsigned 32-bit integers."""
@@ -236,7 +252,8 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of a word and the space before it; the matches after the first begin without a space."""
-        if self.by_letters and word.isascii() and word.isalpha():
+        # letters of blocks that are the same in all versions of Unicode
+        if self.by_letters and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
             return self.encode(" " + word)
         first, *rest = self.split(" " + word)
         start = first[1:]

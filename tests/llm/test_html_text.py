@@ -110,3 +110,13 @@ def test_rows_stay(spark):
     out = op.extract(pages)
     assert out.columns == ["page_id", "html", "title", "text"] and sorted(str(r.text) for r in out.collect()) == ["", "None", "a", "a"]
     assert op.extract(pages.limit(0)).count() == 0
+
+
+def test_a_text_is_put_at_once_and_shallow_pages_are_not_searched_for_depth(monkeypatch):
+    puts, searched = [], []
+    put, flatten = op.Lines.put, op.flatten
+    monkeypatch.setattr(op.Lines, "put", lambda self, text: (puts.append(text), put(self, text))[1])
+    monkeypatch.setattr(op, "flatten", lambda root: (searched.append(root), flatten(root))[1])
+    assert op.to_text("<p> one\n two\t\tthree <b> four</b>five \f<i>\xa0</i> six") == "one two three four" + "five \xa0 six"
+    assert puts == ["one two three", " four", "five", " \xa0", " six"] and not searched
+    assert op.to_text("<b>" * op.MAX_DEPTH + "x") == "x" and len(searched) == 1

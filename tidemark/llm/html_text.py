@@ -88,8 +88,8 @@ class Node:
 
 def attributes_of(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(source):
-        out.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+    for name, double, single, bare in ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), unescape(double or single or bare))
     return out
 
 
@@ -98,14 +98,10 @@ def parse(html: str) -> Node:
     root = Node("", {})
     stack = [root]
     # where in the stack the open elements of a name are, and those of SCOPE, so that depth costs no search
-    places: dict[str, list[int]] = {}
+    places: dict[str, list[int]] = {"svg": [], "math": []}
+    svg, math = places["svg"], places["math"]
     scopes: list[int] = []
-
-    def push(node: Node) -> None:
-        places.setdefault(node.name, []).append(len(stack))
-        if node.name in SCOPE:
-            scopes.append(len(stack))
-        stack.append(node)
+    deep = False
 
     def nearest(name: str) -> int:
         return places[name][-1] if places.get(name) else 0
@@ -124,31 +120,31 @@ def parse(html: str) -> Node:
         if inside:
             close_to(min(inside))
 
-    at = 0
-    while at < len(html):
+    at, size = 0, len(html)
+    while at < size:
         m = TOKEN.search(html, at)
         text = html[at:m.start()] if m else html[at:]
         if text:
             text = unescape(text) if "&" in text else text
             if stack[-1].name == "head" and SPACE.sub("", text):
                 close_to(len(stack) - 1)
-            drawing = nearest("svg")
-            if not drawing or max(map(nearest, SVG_TEXT)) > drawing:
+            if not svg or max(map(nearest, SVG_TEXT)) > svg[-1]:
                 stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
-        if m["name"] is None:
+        end, name, attributes = m.groups()
+        if name is None:
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        name = name.lower()
+        if end:
             k = nearest(name)
             if k and (name in ("table", "html", "body", "tr", "tbody", "thead", "tfoot") or not scopes or scopes[-1] <= k):
                 close_to(k)
             elif not k and not scopes and name in ("br", "p"):
                 stack[-1].children.append(Node(name, {}))
             continue
-        around = max(nearest("svg"), nearest("math"))
+        around = max(nearest("svg"), nearest("math")) if svg or math else 0
         foreign = around > max(0, *map(nearest, INTEGRATION)) if around else False
         if foreign and name in BREAKOUT:
             roots = [places.get(n, []) for n in ("svg", "math")]
@@ -157,28 +153,33 @@ def parse(html: str) -> Node:
             foreign = False
         if name in ENDS_P and not foreign:
             k = nearest("p")
-            if k > max([nearest("button"), *scopes[-1:]]):
+            if k and k > max([nearest("button"), *scopes[-1:]]):
                 close_to(k)
         if name in IMPLIED:
             imply(*IMPLIED[name])
         elif name not in HEAD_MATTER and stack[-1].name == "head":
             close_to(len(stack) - 1)
-        node = Node(name, attributes_of(m["attributes"]) if m["attributes"].strip(" \t\n\r\f/") else {})
+        node = Node(name, attributes_of(attributes) if attributes and attributes.strip(" \t\n\r\f/") else {})
         if foreign and (name in SVG_HIDDEN and nearest("svg") == around or node.attributes.get("display") == "none"
                         or node.attributes.get("visibility") == "hidden"):
             node.attributes["hidden"] = ""
         stack[-1].children.append(node)
-        if name in VOID or (foreign or name in ("svg", "math")) and m["attributes"].endswith("/"):
+        if name in VOID or (foreign or name in ("svg", "math")) and attributes.endswith("/"):
             continue
         if name in RAW and not (foreign and name in ("title", "textarea", "xmp", "iframe", "noembed", "noframes")):
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             body = html[at:end.start()] if end else html[at:]
             if body:
                 node.children.append(unescape(body) if name in ("textarea", "title") else body)
-            at = end.end() if end else len(html)
+            at = end.end() if end else size
             continue
-        push(node)
-    flatten(root)
+        places.setdefault(name, []).append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
+        stack.append(node)
+        deep = deep or len(stack) >= MAX_DEPTH
+    if deep:
+        flatten(root)
     return root
 
 
@@ -221,6 +222,11 @@ def hidden(node: Node) -> bool:
         "hidden" in a or node.name == "input" or node.name == "dialog" and "open" not in a or "style" in a and bool(UNSEEN.search(a["style"])))
 
 
+def collapsed(text: str) -> str:
+    """Text with a space for each run of white space; most texts have nothing but single spaces."""
+    return SPACE.sub(" ", text) if "\n" in text or "  " in text or "\t" in text or "\r" in text or "\f" in text else text
+
+
 class Lines:
     """Text under construction: lines, collapsed white space, and blank lines owed."""
 
@@ -230,12 +236,13 @@ class Lines:
         self.gap = self.space = self.fresh = False
 
     def text(self, text: str) -> None:
-        for k, word in enumerate(SPACE.split(text)):
-            if k:
-                self.space = True
-            if word:
-                self.put((" " if self.space and self.now and not self.fresh else "") + word)
-                self.space = self.fresh = False
+        text = collapsed(text)
+        words = text.strip(" ")
+        if words:
+            self.put((" " if (self.space or text[0] == " ") and self.now and not self.fresh else "") + words)
+            self.fresh, self.space = False, text[-1] == " "
+        elif text:
+            self.space = True
 
     def put(self, text: str) -> None:
         if not self.now and self.gap and self.lines:

@@ -149,3 +149,19 @@ def test_globs_meet_only_ids_that_start_as_they_do(spark, monkeypatch):
     monkeypatch.setattr(Tr, "matches_parts", lambda id_, parts: F.lit(True))
     assert Tr.match_globs(ids, globs.filter("glob like '/u/__?'")).count() == 200
     assert "BroadcastExchange" in Tr.match_globs(ids, globs)._jdf.queryExecution().toString()
+
+
+def test_results_of_standing_queries_are_not_gathered_by_trigger(spark):
+    """Few triggers go to the many results that standing queries store."""
+    changes = spark.createDataFrame([(3, "/q", 0, "h")], "tx_id long, self_id string, idx int, results_hash string")
+    triggers = spark.createDataFrame([("/q", "query", 0, False, None, True, 1, 3), ("/q", "query", 0, False, None, True, 3, None)],
+                                     "self_id string, on_k string, idx int, is_vector boolean, glob string, has_call boolean, from_tx long, to_tx long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fired = Tr.fire_query(changes, triggers)
+        plan = fired._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [(r["tx_id"], r["self_id"], r["results_hash"]) for r in fired.collect()] == [(3, "/q", "h")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
